@@ -8,21 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import sql
 from rasterloom.llm.minhash import near_duplicates
+from rasterloom.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between vectors, and the classes that they make."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by the Jaccard similarity of their sets of two-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_vectors": sql.OP7,
     "op8_minhash": sql.OP8,
 }

@@ -18,3 +18,18 @@ root as (select a, min(b) as component_id from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, r.component_id, d.doc_id = r.component_id as kept
 from documents d left join n on n.doc_id = d.doc_id join root r on r.a = d.doc_id
 """
+
+OP7 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+root as (select a, min(b) as component_id from reach group by 1),
+n as (select a, count(*) as n from link group by 1)
+select e.vec_id, coalesce(n.n, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept
+from embeddings e join root r on r.a = e.vec_id left join n on n.a = e.vec_id
+"""
