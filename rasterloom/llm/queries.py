@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import sql
+from rasterloom.llm import langid, mixing, packing, sql
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -15,6 +16,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc(column: str):
+    """crc32 of a number written as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from two thirds of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, _crc("doc_id") % 3 != 1).withColumnRenamed("id", "doc_id")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of sources weighing 3, 1, 2 in turn takes of every document."""
+    out = mixing.plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, repeats=2)
+    return out.select(out["id"].alias("doc_id"), "size", "source_size", "target", "taken", "position")
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more between vectors, and the classes that they make."""
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
@@ -26,11 +51,15 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_language": op3_language,
+    "op6_mixing": op6_mixing,
     "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_mixing": sql.OP6,
     "op7_vectors": sql.OP7,
     "op8_minhash": sql.OP8,
 }

@@ -33,3 +33,30 @@ n as (select a, count(*) as n from link group by 1)
 select e.vec_id, coalesce(n.n, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept
 from embeddings e join root r on r.a = e.vec_id left join n on n.a = e.vec_id
 """
+
+OP6 = f"""
+with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")}) as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+r as (select *, row_number() over (order by encode(source) nulls last) - 1 as turn from s),
+w as (select *, ([3.0, 1.0, 2.0])[turn % 3 + 1]::double as weight, 2.0::double * source_size as stop from r),
+l as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(stop) over (order by stop / weight, turn rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by stop / weight, turn rows between current row and unbounded following) as level
+  from w),
+p as (select *, (select arg_min(level, stop / weight) from l where stop / weight > level) as per from l),
+t as (select source, source_size, turn, least(stop, coalesce(per * weight, stop)) as target from p),
+o as (
+  select d.doc_id, d.size, t.source_size, t.turn, t.target, floor(t.target + 0.5)::bigint as goal,
+    (coalesce(sum(d.size) over (partition by t.turn order by md5(concat(coalesce(d.doc_id::varchar, ''), '/', d.size::varchar)), d.doc_id
+      rows between unbounded preceding and 1 preceding), 0))::bigint as lead_words
+  from d join t on d.source is not distinct from t.source),
+k as (
+  select *, (case when source_size > 0 then goal // source_size else 0 end) as whole from o),
+q as (select *, (whole * size + least(greatest(goal - whole * source_size - lead_words, 0), size))::bigint as taken from k),
+u as (select *, case when taken > 0 then lead_words / greatest(target, 1.0) end as x from q)
+select doc_id, size, source_size, target, taken,
+  case when turn % 3 = 0 then least(x, 1.0)
+       when turn % 3 = 1 then (case when x < 1.0 then sqrt(0.25 + 2.0 * x) - 0.5 else 1.0 end)
+       when x < 0.625 then 1.5 - sqrt(greatest(2.25 - 2.0 * x, 0)) when x < 1.0 then 0.5 + (1.0 - sqrt(greatest(1.0 - 2.0 * (x - 0.625), 0))) else 1.0 end as position
+from u
+"""
