@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, mixing, packing, sql
+from rasterloom.llm import langid, mixing, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -34,6 +34,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, _crc("doc_id") % 3 != 1).withColumnRenamed("id", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to a content-addressed archive and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of sources weighing 3, 1, 2 in turn takes of every document."""
     out = mixing.plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, repeats=2)
@@ -53,12 +58,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
+    "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_warc": sql.OP4,
     "op6_mixing": sql.OP6,
     "op7_vectors": sql.OP7,
     "op8_minhash": sql.OP8,

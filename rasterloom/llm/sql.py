@@ -60,3 +60,16 @@ select doc_id, size, source_size, target, taken,
        when x < 0.625 then 1.5 - sqrt(greatest(2.25 - 2.0 * x, 0)) when x < 1.0 then 0.5 + (1.0 - sqrt(greatest(1.0 - 2.0 * (x - 0.625), 0))) else 1.0 end as position
 from u
 """
+
+OP4 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (
+  select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as k,
+    array_to_string(list_transform(range(0, 8), lambda i: translate(to_base(('0x' || substring(sha1(html), (5 * i + 1)::int, 5))::bigint, 32, 4),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') as payload_digest
+  from p),
+t as (select *, max(page_id) over (partition by k) as top from d)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to
+from t
+"""
