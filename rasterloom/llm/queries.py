@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, mixing, packing, sql, warc
+from rasterloom.llm import chat, langid, mixing, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -55,6 +55,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, formatted and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
+    "op9_chat": op9_chat,
 }
 
 ORACLE: dict[str, str] = {
@@ -69,4 +78,5 @@ ORACLE: dict[str, str] = {
     "op6_mixing": sql.OP6,
     "op7_vectors": sql.OP7,
     "op8_minhash": sql.OP8,
+    "op9_chat": sql.OP9,
 }

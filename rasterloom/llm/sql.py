@@ -73,3 +73,20 @@ select page_id, payload_bytes, payload_digest, case when page_id = top then 'res
   case when page_id <> top then top end as refers_to
 from t
 """
+
+_ESCAPED = "replace({0}, '\\', '\\\\')"
+for _c in ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+OP9 = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r0, text as t0 from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, r0 nulls first, t0 nulls first)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, r0 nulls first, t0 nulls first) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(20 + case when role = 'assistant' then 0 else 13 end + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::bigint as formatted_chars
+from c group by conv_id
+"""
