@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, langid, mixing, packing, sql, warc
+from rasterloom.llm import chat, langid, lm, mixing, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -39,6 +39,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and unigram scores of all texts, learned from four fifths of them."""
+    return lm.score(_table(spark, sf_dir, "documents"), _crc("doc_id") % 5 != 1).withColumnRenamed("id", "doc_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of sources weighing 3, 1, 2 in turn takes of every document."""
     out = mixing.plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, repeats=2)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_warc": op4_warc,
+    "op5_scoring": op5_scoring,
     "op6_mixing": op6_mixing,
     "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
