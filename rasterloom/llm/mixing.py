@@ -29,7 +29,7 @@ REPEATS = 2
 #: Schedules in turn: (time, relative weight) knots from time 0 to 1.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 #: Rows of a bucket, in expectation.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: float = REPEATS) -> DataFrame:
