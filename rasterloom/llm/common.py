@@ -120,7 +120,8 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is a minimum
     per node, aggregated before the shuffle, and a join that Spark may split where a hub
-    is hot.  A step's edges are written before the next one reads them.  ``component`` is
+    is hot.  A step's edges are written before the next one reads them; the steps end
+    when the edges are stars.  ``component`` is
     the smallest node reached.  Edges with a null end are ignored.
     """
     spark = edges.sparkSession
@@ -128,12 +129,11 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{label}-edges",
     )
-    before = None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+        ends = e.select(F.col("u").alias("x"), "v", F.lit(True).alias("leaf")).union(e.select("v", F.lit(None).cast("long"), F.lit(False)))
+        role = ends.groupBy("x").agg((F.min("v") != F.max("v")).alias("two"), (F.max("leaf") != F.min("leaf")).alias("inner"))
+        if not role.agg(F.count_if(F.col("two") | F.col("inner"))).first()[0]:
+            break  # every node hangs on one root
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
