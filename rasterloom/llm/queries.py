@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, langid, lm, mixing, packing, sql, warc
+from rasterloom.llm import ann, chat, langid, lm, mixing, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -21,6 +21,11 @@ def _crc(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10).withColumnRenamed("id", "vec_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
     import public_tokenizers
@@ -69,6 +74,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_warc": op4_warc,
