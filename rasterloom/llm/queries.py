@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, chat, langid, lm, mixing, packing, sql, warc
+from rasterloom.llm import ann, chat, langid, licenses, lm, mixing, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -73,6 +73,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, declared in a line or inherited.
+
+    The path of a document is its source, the tens of its id, its id.  A document that
+    opens with a notice (its first line) is its directory's licence file.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    tens = F.floor(F.col("doc_id") / 10).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), tens, F.col("doc_id").cast("string"))
+    out = licenses.license_scan(docs, path, F.col("line") == 0)
+    return out.select(out["id"].alias("doc_id"), "path", "license", "score", "origin", "license_dir")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -83,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_vectors": op7_vectors,
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE: dict[str, str] = {
@@ -91,4 +105,5 @@ ORACLE: dict[str, str] = {
     "op7_vectors": sql.OP7,
     "op8_minhash": sql.OP8,
     "op9_chat": sql.OP9,
+    "op10_licenses": sql.OP10,
 }

@@ -90,3 +90,42 @@ select conv_id, count(*) as n_turns,
   sum(20 + case when role = 'assistant' then 0 else 13 end + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::bigint as formatted_chars
 from c group by conv_id
 """
+
+
+def _op10() -> str:
+    """Every word of every line against every template."""
+    from rasterloom.llm.licenses import TEMPLATES, THRESHOLD
+
+    notices = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    n = len(TEMPLATES)
+    bag = "unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))"
+    return f"""
+with t(i, license, notice) as (values {notices}),
+tt as (select i, license, {bag.format("notice")} as term from t),
+tf as (select i, license, term, count(*) as k from tt group by all),
+idf as (select term, ln({1 + n}::double / (1 + count(*))) + 1 as idf from tf group by 1),
+tv as (select i, license, term, k * idf as w, sqrt(sum((k * idf) ** 2) over (partition by i)) as norm from tf join idf using (term)),
+l as (select doc_id, unnest(string_split_regex(text, '[\\n\\r]')) as words, generate_subscripts(string_split_regex(text, '[\\n\\r]'), 1) - 1 as line from documents where text is not null),
+lt as (select doc_id, line, {bag.format("words")} as term from l),
+lf as (select doc_id, line, term, count(*) as k from lt group by all),
+lw as (select doc_id, line, term, k * coalesce(idf, ln({1 + n}::double) + 1) as w from lf left join idf using (term)),
+ln_ as (select doc_id, line, sqrt(sum(w * w)) as norm from lw group by all),
+s as (
+  select lw.doc_id, lw.line, tv.i, tv.license, least(sum(lw.w * tv.w / tv.norm) / min(ln_.norm), 1.0) as score
+  from lw join tv using (term) join ln_ on ln_.doc_id = lw.doc_id and ln_.line = lw.line group by all),
+b as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, line, license) as r from s where score >= {THRESHOLD} - 1e-12),
+f as (
+  select d.doc_id, concat(coalesce(d.source, ''), '/', floor(d.doc_id / 10)::bigint) as dir, b.license, b.score, b.line
+  from documents d left join b on b.doc_id = d.doc_id and b.r = 1),
+p as (select *, concat(dir, '/', doc_id) as path from f),
+g as (select dir, license, score, row_number() over (partition by dir order by path) as r from p where line = 0),
+u as (
+  select p.*, a.dir as from1, a.license as l1, a.score as s1 from p left join g a on a.dir = p.dir and a.r = 1)
+select doc_id, path, coalesce(license, l1) as license, coalesce(score, s1) as score,
+  case when license is not null then 'header' when l1 is not null then 'inherited' else 'none' end as origin,
+  case when license is null then from1 end as license_dir
+from u
+"""
+
+
+OP10 = _op10()
