@@ -238,12 +238,12 @@ def mosaic(items: DataFrame, pixels: DataFrame, bands: list[str], grid: Grid) ->
     return Cube(rows.groupBy("t", "y", "x").agg(*first).select("t", "y", "x", *[f"`{b}`" for b in bands]), tuple(bands), grid)
 
 
-def load_stac(spark: SparkSession, path: str, pixels: DataFrame, grid: Grid, bands: dict[str, BandInfo], **how: Any) -> Cube:
+def load_stac(spark: SparkSession, path: str, pixels: DataFrame, grid: Grid, known: dict[str, BandInfo], **how: Any) -> Cube:
     """A cube out of item documents (JSON, one per line or file) and a table of pixels."""
     raw = spark.read.schema("id string, collection string, bbox array<double>, properties map<string,string>").option("multiLine", True).json(path)
     at = F.try_to_timestamp(F.try_element_at("properties", F.lit("datetime"))).cast("timestamp_ntz")
     items = raw.where(at.isNotNull()).select("id", "collection", at.alias("datetime"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))], "properties")
-    return load_collection(Collection("stac", items, pixels, grid, bands), **how)
+    return load_collection(Collection("stac", items, pixels, grid, known), **how)
 
 
 def load_table(spark: SparkSession, path: str, bands: list[str], grid: Grid, at: Any = REDUCED) -> Cube:
