@@ -225,8 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = seen.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands", "marks")).alias("r"))
     one = cut(group.select("d1", "d2", "n", "r.*"), "sets")
     entries = one.select("id", F.explode("bands").alias("key"))
-    buckets = cut(entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    buckets = entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = cut(entries.join(buckets, "key"), "members")
     small = one.select("id", "n", "marks")
+    # ids grow with the documents, so they are not broadcast; hashing them spares the sort of the texts
+    texts = cut(src.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         """Confirmed pairs."""
@@ -235,18 +238,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ask = pairs.select("a", "unit", "b", F.col("b").alias("id")).union(
             pairs.select("a", "unit").distinct().select("a", "unit", F.lit(None).cast("long"), F.col("a").alias("id"))
         )
-        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = cut(src.join(need, "id", "left_semi"), "texts")
         rows = ask.join(texts, "id").select("a", "unit", "b", "text")
         return rows.repartition("a", "unit").sortWithinPartitions("a", "unit", "b").mapInArrow(_confirm(shingle, percent), "a long, b long")
 
-    pairs = entries.join(buckets, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     seen_a, seen_b = (small.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
     likely = pairs.join(seen_a, "a").join(seen_b, "b").select("a", "b", "na", "nb", "ma", "mb")
     links = cut(with_texts(cut(likely.mapInArrow(_sieve(percent), "a long, b long"), "pairs")), "links")
     labels = connected_components(links, "components")
 
-    members = entries.join(buckets.where("size > 2"), "key")
+    members = members.where("size > 2")
     low, high = 0, 4
     while True:
         now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))

@@ -28,7 +28,7 @@ SLACK = 8
 FAN_IN = 32
 END_ID = 1
 #: Words, and parts of words, whose ids a worker keeps; beyond, it starts afresh.
-CACHE = 500_000
+CACHE = 200_000
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 _PLAIN = re.compile(r"[\x00-įı-ɏ]*")
