@@ -98,12 +98,12 @@ class Cube:
         return self.df.unpivot(list(KEYS), [f"`{b}`" for b in self.bands], "band", "value")
 
     def dense(self, times: list[datetime] | DataFrame) -> Cube:
-        """With a row for every cell at every one of ``times``."""
+        """With a row for every cell at every one of ``times``, whose number reaches the driver."""
         spark = self.df.sparkSession
-        if isinstance(times, list):
-            times = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
-        cells = self.grid.cells(spark).withColumn("one", F.lit(1))
-        frame = cells.join(F.broadcast(times.withColumn("one", F.lit(1))), "one").select(*KEYS)
+        if not isinstance(times, list):
+            times = [r[0] for r in times.select("t").distinct().orderBy("t").collect()]
+        labels = F.array(*[F.lit(t).cast("timestamp_ntz") for t in times]).cast("array<timestamp_ntz>")
+        frame = self.grid.cells(spark).select(F.explode(labels).alias("t"), "y", "x")
         return self.with_df(frame.join(self.df, list(KEYS), "left").select(*KEYS, *[self.band(b) for b in self.bands]))
 
 

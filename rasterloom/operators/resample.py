@@ -55,7 +55,8 @@ def to_grid(data: Cube, grid: Grid, method: str = "near") -> Cube:
 
     ``near`` takes the source cell under a target cell's centre.  Aggregates are over the
     source cells whose centres lie in a target cell.  Kernels weigh the valid source cells
-    around a target centre.  Target cells without source values are missing.
+    around a target centre; where the cell under the centre is missing, so is the result.
+    Target cells without source values are missing.
     """
     method = {"nearest": "near", "cubic_spline": "cubicspline"}.get(method, method)
     if method not in METHODS:
@@ -86,9 +87,14 @@ def to_grid(data: Cube, grid: Grid, method: str = "near") -> Cube:
     weight = kernel(F.abs(F.col("_fy") - 0.5 - F.col("y"))) * kernel(F.abs(F.col("_fx") - 0.5 - F.col("x")))
     cells = cells.where(F.col("y").between(0, old.height - 1) & F.col("x").between(0, old.width - 1)).withColumn("_w", weight)
     cells = cells.where(F.col("_fy").between(0, old.height) & F.col("_fx").between(0, old.width))
+    cells = cells.withColumn("_c", (F.floor("_fy") == F.col("y")) & (F.floor("_fx") == F.col("x")))
     df = cells.join(data.df, ["y", "x"]).groupBy("t", F.col("_y").alias("y"), F.col("_x").alias("x"))
-    sums = [F.try_divide(F.sum(F.col("_w") * data.band(b)), F.sum(F.when(data.band(b).isNotNull(), F.col("_w")))).alias(b) for b in bands]
-    return data.with_df(df.agg(*sums), grid=grid).dense(times)
+
+    def weighed(v: Column) -> Column:
+        total = F.try_divide(F.sum(F.col("_w") * v), F.sum(F.when(v.isNotNull(), F.col("_w"))))
+        return F.when(F.bool_or(F.col("_c") & v.isNotNull()), total)
+
+    return data.with_df(df.agg(*[weighed(data.band(b)).alias(b) for b in bands]), grid=grid).dense(times)
 
 
 def resample_cube_spatial(data: Cube, target: Cube, method: str = "near") -> Cube:

@@ -464,26 +464,40 @@ def resample_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "resample_bilinear",
     f"{EV}, k as (select v.y::int as y, u.x::int as x, (v.y + 0.5) / 2 - 0.5 as fy, (u.x + 0.5) / 2 - 0.5 as fx from range(16) v(y), range(16) u(x)), "
-    "w as (select k.y, k.x, c.t, (1 - abs(fy - c.y)) * (1 - abs(fx - c.x)) as w, "
+    "w as (select k.y, k.x, c.t, floor(fy + 0.5) = c.y and floor(fx + 0.5) = c.x as near, (1 - abs(fy - c.y)) * (1 - abs(fx - c.x)) as w, "
     + ", ".join(EVENT_BANDS)
     + " from k join c on abs(fy - c.y) < 1 and abs(fx - c.x) < 1) "
-    + f"select t, y, x, {_each('sum(w * {b}) / nullif(sum(w) filter (where {b} is not null), 0)')} from w group by t, y, x",
+    + f"select t, y, x, {_each('case when bool_or(near and {b} is not null) then sum(w * {b}) / nullif(sum(w) filter (where {b} is not null), 0) end')} from w group by t, y, x",
 )
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(resample.to_grid(events_cube(spark, sf_dir), DOUBLE, "bilinear"))
 
 
-@query("resample_cubic")
-def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(resample.to_grid(events_cube(spark, sf_dir), DOUBLE, "cubic"))
+def _kernel(name: str, radius: int, weight: str) -> None:
+    """``weight`` is SQL of a distance ``d``."""
+    w = f"({weight.format(d='abs(fy - c.y)')}) * ({weight.format(d='abs(fx - c.x)')})"
 
+    @query(
+        f"resample_{name}",
+        f"{EV}, k as (select v.y::int as y, u.x::int as x, (v.y + 0.5) / 2 - 0.5 as fy, (u.x + 0.5) / 2 - 0.5 as fx from range(16) v(y), range(16) u(x)), "
+        f"w as (select k.y, k.x, c.t, floor(fy + 0.5) = c.y and floor(fx + 0.5) = c.x as near, {w} as w, {', '.join(EVENT_BANDS)} from k join c on abs(fy - c.y) < {radius} and abs(fx - c.x) < {radius}) "
+        f"select t, y, x, {_each('case when bool_or(near and {b} is not null) then sum(w * {b}) / nullif(sum(w) filter (where {b} is not null), 0) end')} from w group by t, y, x",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rows(resample.to_grid(events_cube(spark, sf_dir), DOUBLE, name))
 
-@query("resample_lanczos")
-def resample_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(resample.to_grid(events_cube(spark, sf_dir), DOUBLE, "lanczos"))
 
+_kernel("cubic", 2, "case when {d} <= 1 then 1.5 * {d} ** 3 - 2.5 * {d} ** 2 + 1 else -0.5 * {d} ** 3 + 2.5 * {d} ** 2 - 4 * {d} + 2 end")
+_kernel("cubicspline", 2, "case when {d} <= 1 then 2.0 / 3 - {d} ** 2 + {d} ** 3 / 2 else (2 - {d}) ** 3 / 6 end")
+_kernel("lanczos", 3, "case when {d} = 0 then 1 else 3 * sin(pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d}) ** 2 end")
 
-@query("resample_reproject")
+
+@query(
+    "resample_reproject",
+    f"{EV}, o as (select 6378137.0 as r, 6378137.0 * ln(tan(pi() / 4 + radians(8) / 2)) as top), "
+    "k as (select v.y::int as y, floor(8 - degrees(2 * atan(exp(top * (1 - (v.y + 0.5) / 8) / r)) - pi() / 2))::int as source from o, range(8) v(y)) "
+    f"select c.t, k.y, c.x, {_each('c.{b}')} from k join c on c.y = k.source",
+)
 def resample_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(resample.resample_spatial(events_cube(spark, sf_dir), projection=3857))
 
@@ -685,7 +699,16 @@ RGB = {
 }
 
 
-@query("graph_json_rgb")
+_RGB_IN = "((trunc(greatest(least({b}, 50), 0) / 50 * 255)::bigint % 256) / 255.0)"
+_RGB_OUT = "255 * (" + _SIG.format(v="pow(" + _RGB_IN + ", 1 / 1.5)") + ")"
+
+
+@query(
+    "graph_json_rgb",
+    SCENES.replace("from p group by all", "from p where right(item, 1)::int <= 5 group by all")
+    + ", f as (select y, x, arg_min(quantity, t) as quantity, arg_min(discount, t) as discount, arg_min(tax, t) as tax from s where t >= '1996-03-01' and t < '1996-06-01' group by y, x) "
+    + f"select y, x, {_each('case when {b} is not null then greatest(0, least(255, ' + _RGB_OUT + ')) end', ('quantity', 'discount', 'tax'))} from f",
+)
 def graph_json_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(execute(RGB, loaders={"load_collection": bind(load_collection, {"scenes": scenes(spark, sf_dir)})}), time=False)
 
