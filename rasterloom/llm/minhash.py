@@ -14,7 +14,7 @@ Steps, all of them Spark jobs:
    below), confirm the others on the full sets of their texts;
 4. components of the confirmed links;
 5. pairs of one bucket in different components, none of which is the head, are
-   candidates too.  They come in rounds: up to 4, 16, 64 ... partners for a document and a
+   candidates too.  They come in rounds: up to 16, 256, 4096 ... partners for a document and a
    component of its bucket, best estimate first.  Links merge components between rounds,
    and the rounds end when no untested pair is left, so none is skipped.
 """
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links, "components")
 
     members = members.where("size > 2")
-    low, high = 0, 4
+    low, high = 0, 16
     while True:
         now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.union(cut(with_texts(found), "links"))
         labels = connected_components(links, "components")
-        low, high = high, 4 * high
+        low, high = high, 16 * high
 
     sets = one.select("d1", "d2", "n", F.col("id").alias("rep"))
     out = seen.select("id", "n", "d1", "d2").join(sets, ["d1", "d2", "n"], "left")
