@@ -89,8 +89,8 @@ def _apply(name: str, f: Callable, expression: str) -> None:
 
 FLAGSHIP = {
     "process_graph": {
-        "load": {"process_id": "load_events", "arguments": {}},
-        "when": {"process_id": "filter_temporal", "arguments": {"data": {"from_node": "load"}, "extent": ["2024-01-05", "2024-01-20"]}},
+        "load": {"process_id": "load_events", "arguments": {"temporal_extent": ["2024-01-01", "2024-01-20"]}},
+        "when": {"process_id": "filter_temporal", "arguments": {"data": {"from_node": "load"}, "extent": ["2024-01-05", None]}},
         "index": {
             "process_id": "reduce_dimension",
             "arguments": {
@@ -113,7 +113,7 @@ FLAGSHIP = {
 
 @query("flagship_nd_mean", f"{EV} select y, x, {r('avg((purchase - click) / nullif(purchase + click, 0))', 'nd')} from c where t >= '2024-01-05' and t < '2024-01-20' group by y, x")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = execute(FLAGSHIP, loaders={"load_events": lambda: events_cube(spark, sf_dir)})
+    out = execute(FLAGSHIP, loaders={"load_events": lambda temporal_extent: events_cube(spark, sf_dir, temporal_extent=temporal_extent)})
     return rows(out.df.select("y", "x", F.col("band1").alias("nd")))
 
 

@@ -63,7 +63,8 @@ def normalize_summaries(summaries: dict) -> dict:
 
 
 def _prop(name: str) -> Column:
-    return F.try_element_at(F.col("properties"), F.lit(name.removeprefix("properties.")))
+    # a map's item, and no coalesce around a test, so that plain columns behind the map are pushed to the scan
+    return F.col("properties").getItem(name.removeprefix("properties."))
 
 
 def _compare(op: Callable[[Column, Column], Column]) -> Callable[[Column, dict], Column]:
@@ -143,7 +144,7 @@ def property_filter(properties: dict | None) -> Column:
                 continue
         else:
             test = _compare(lambda a, b: a == b)(p, {"y": rule})
-        out = out & F.coalesce(test, F.lit(False))
+        out = out & test
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.cube import Cube, Grid, clean
+from rasterloom.operators.temporal import within
 from rasterloom.sources.catalog import BandInfo, Collection, mosaic
 
 EVENT_BANDS = ("click", "error", "purchase", "signup", "view")
@@ -18,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_cube(spark: SparkSession, sf_dir: str, hours: int = 24) -> Cube:
-    """Mean value by event type, users on an 8 x 8 grid, a slice per ``hours``."""
+def events_cube(spark: SparkSession, sf_dir: str, hours: int = 24, temporal_extent: list | None = None) -> Cube:
+    """Mean value by event type, users on an 8 x 8 grid, a slice per ``hours``.
+
+    An extent (its ends are starts of slices) is a predicate on the stored column, so it
+    reaches the Parquet scan.
+    """
     ev = table(spark, sf_dir, "events")
+    if temporal_extent:
+        ev = ev.where(within(temporal_extent, F.col("ts").cast("timestamp_ntz")))
     day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
     at = day if hours == 24 else (day + F.make_dt_interval(hours=(F.floor(F.hour("ts") / hours) * hours).cast("int"))).cast("timestamp_ntz")
     rows = ev.select(at.alias("t"), (F.col("user_id") % 8).cast("int").alias("y"), (F.expr("user_id div 8") % 8).cast("int").alias("x"), "event_type", clean(F.col("value")).alias("value"))
