@@ -13,10 +13,11 @@ Steps, all of them Spark jobs:
 3. drop pairs whose sketches can't reach the threshold (over six standard deviations
    below), confirm the others on the full sets of their texts;
 4. components of the confirmed links;
-5. pairs of one bucket in different components, none of which is the head, are
-   candidates too.  They come in rounds: up to 16, 256, 4096 ... partners for a document and a
-   component of its bucket, best estimate first.  Links merge components between rounds,
-   and the rounds end when no untested pair is left, so none is skipped.
+5. what is left are pairs of one bucket in different components, neither of which is the
+   head.  The bucket's largest component and its other documents are dealt into blocks; a
+   unit of work compares two blocks, tests each likely pair on full sets in the first
+   bucket that the pair shares, and emits what ties components together, not pairs.  No pair
+   of a bucket is skipped, and pairs within one component are not listed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import connected_components, cut, grouped
+from rasterloom.llm.common import connected_components, cut, grouped, roots
 
 BINS = 128
 ROWS = 4
@@ -126,12 +127,12 @@ def _describe(size: int, rows: int):
     return run
 
 
-def _alike(marks_a: np.ndarray, marks_b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal marks of each pair, and whether the pair may still reach the threshold."""
+def _alike(marks_a: np.ndarray, marks_b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each pair may reach the threshold, by its equal marks and its sizes."""
     same = (marks_a == marks_b).sum(axis=-1)
     p = percent / 100
     least = BINS * p - 6.3 * np.sqrt(BINS * p * (1 - p))
-    return same, (same >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    return (same >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
 def _marks(column: pa.ChunkedArray) -> np.ndarray:
@@ -143,7 +144,7 @@ def _sieve(percent: int):
         for batch in batches:
             if batch.num_rows:
                 c = {name: batch.column(name) for name in batch.schema.names}
-                _, ok = _alike(_marks(c["ma"]), _marks(c["mb"]), c["na"].to_numpy(), c["nb"].to_numpy(), percent)
+                ok = _alike(_marks(c["ma"]), _marks(c["mb"]), c["na"].to_numpy(), c["nb"].to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -173,39 +174,73 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _partners(percent: int, low: int, high: int):
-    """Pairs of a unit in different components, neither of which is the bucket's head.
+def _first_common(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """True for pairs (rows of band keys) that share no bucket of an earlier band."""
+    return ~(a[:, :band] == b[:, :band]).any(axis=1)
 
-    For each document and component: the partners ranked low (exclusive) to high.
+
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (sorted by ``left``) reach the threshold on their full sets."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    held = np.zeros(len(codes) + 1, dtype=bool)
+    out = np.zeros(len(left), dtype=bool)
+    at = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+    for s, e in zip(at, np.r_[at[1:], len(left)], strict=True):
+        own = codes[ends[left[s]] - sizes[left[s]] : ends[left[s]]]
+        held[own] = True
+        for b in range(s, e, 256):
+            part = right[b : min(e, b + 256)]
+            where = np.concatenate([codes[ends[r] - sizes[r] : ends[r]] for r in part])
+            both = np.add.reduceat(held[where].astype(np.int64), np.r_[0, np.cumsum(sizes[part])[:-1]])
+            out[b : b + len(part)] = 100 * both >= percent * (sizes[left[s]] + sizes[part] - both)
+        held[own] = False
+    return out
+
+
+def _cross(size: int, percent: int):
+    """Links between documents of a bucket that are in different components.
+
+    A unit has the rows of one block (``side`` = i) and of another (j), or of one only.  A
+    pair is tested in the first bucket that it shares.  For each set of documents that the
+    unit ties together its smallest row comes out with each of the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, ["key", "i", "j"]):
-            ids, comp, n, head = (table[c].to_numpy() for c in ("id", "comp", "n", "head"))
+            ids, comp, n, key = (table[c].to_numpy() for c in ("id", "comp", "n", "key"))
             side, i, j = (table[c].to_numpy() for c in ("side", "i", "j"))
-            marks, left, right = _marks(table["marks"]), [], []
+            marks = _marks(table["marks"])
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            out_a, out_b = [], []
             for s, e in zip(at[:-1], at[1:], strict=True):
-                use = s + np.flatnonzero(ids[s:e] != head[s:e])
-                one = use[side[use] == i[s]]
-                two = use[side[use] == j[s]]
+                one, two = s + np.flatnonzero(side[s:e] == i[s]), s + np.flatnonzero(side[s:e] == j[s])
+                left, right = [], []
                 for k in one:
                     other = two[comp[two] != comp[k]]
                     if i[s] == j[s]:
-                        other = other[ids[other] > ids[k]]
+                        other = other[other > k]
                     if not len(other):
                         continue
-                    same, ok = _alike(marks[other], marks[k], n[other], n[k], percent)
-                    other, same = other[ok], same[ok]
-                    order = np.lexsort((ids[other], -same, comp[other]))
-                    other = other[order]
-                    first = np.flatnonzero(np.r_[True, comp[other][1:] != comp[other][:-1]]) if len(other) else np.empty(0, int)
-                    rank = np.arange(len(other)) - np.repeat(first, np.diff(np.r_[first, len(other)]))
-                    other = other[(rank >= low) & (rank < high)]
-                    left.append(np.full(len(other), ids[k]))
-                    right.append(ids[other])
-            a = np.concatenate(left) if left else np.empty(0, np.int64)
-            b = np.concatenate(right) if right else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    other = other[_alike(marks[other], marks[k], n[other], n[k], percent)]
+                    band = int(np.argmax(bands[k] == key[s]))
+                    other = other[_first_common(np.broadcast_to(bands[k], (len(other), bands.shape[1])), bands[other], band)]
+                    left.append(np.full(len(other), k))
+                    right.append(other)
+                if not left or not sum(map(len, left)):
+                    continue
+                a, b = np.concatenate(left), np.concatenate(right)
+                used, back = np.unique(np.r_[a, b], return_inverse=True)
+                a, b = back[: len(a)], back[len(a) :]
+                good = _linked([shingle_set(table["text"][int(r)].as_py(), size) for r in used], a, b, percent)
+                top = roots(a[good], b[good], len(used))
+                tied = np.flatnonzero(top != np.arange(len(used)))
+                out_a.append(ids[used[top[tied]]])
+                out_b.append(ids[used[tied]])
+            a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
+            b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -247,23 +282,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(with_texts(cut(likely.mapInArrow(_sieve(percent), "a long, b long"), "pairs")), "links")
     labels = connected_components(links, "components")
 
-    members = members.where("size > 2")
-    low, high = 0, 16
-    while True:
-        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        side = F.pmod(F.xxhash64("id"), parts).cast("int")
-        rows = now.join(mixed, "key", "left_semi").withColumn("parts", parts).withColumn("side", side)
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "head", "comp").join(small, "id")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = cut(rows.mapInArrow(_partners(percent, low, high), "a long, b long").distinct(), "partners")
-        if found.isEmpty():
-            break
-        links = links.union(cut(with_texts(found), "links"))
-        labels = connected_components(links, "components")
-        low, high = high, 16 * high
+    # what is left: pairs of a bucket in different components, neither of which is the head
+    rest = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    per = rest.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max_by(F.struct("comp", "k"), F.struct("k", "comp")).alias("most"), F.count("*").alias("kinds"))
+    split = per.where("kinds > 1").select(
+        "key", F.col("most.comp").alias("main"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("pm"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).cast("int").alias("po")
+    )
+    main = F.col("comp") == F.col("main")
+    rest = rest.where("id <> head").join(split, "key")
+    rest = rest.withColumn("side", F.when(main, -1 - F.pmod(F.xxhash64("id"), F.col("pm"))).otherwise(F.pmod(F.xxhash64("id"), F.col("po"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("po") - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    units = F.when(main, F.transform(others, lambda o: pair(F.col("side"), o))).otherwise(
+        F.concat(F.transform(F.sequence(F.lit(1), F.col("pm")), lambda p: pair(-p, F.col("side"))), F.transform(others, lambda o: pair(F.least("side", o), F.greatest("side", o))))
+    )
+    rows = rest.select("key", "id", "comp", "side", F.explode(units).alias("u")).select("key", "u.i", "u.j", "side", "id", "comp")
+    rows = rows.join(one.select("id", "n", "marks", "bands"), "id").join(texts, "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    more = cut(rows.mapInArrow(_cross(shingle, percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), "components")
 
     sets = one.select("d1", "d2", "n", F.col("id").alias("rep"))
     out = seen.select("id", "n", "d1", "d2").join(sets, ["d1", "d2", "n"], "left")
