@@ -27,8 +27,9 @@ WINDOWS = 64
 SLACK = 8
 FAN_IN = 32
 END_ID = 1
-#: Words, and parts of words, whose ids a worker keeps; beyond, it starts afresh.
-CACHE = 200_000
+#: Words and parts of words whose ids a worker keeps; beyond, it starts afresh and keeps those
+#: until then for as many more.
+CACHE = 250_000
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 _PLAIN = re.compile(r"[\x00-įı-ɏ]*")
@@ -59,41 +60,39 @@ class Ids:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.coded = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.coded[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+
+    def _part(self, part: str) -> bytes:
+        ids = self.words.get(part) or self.older.get(part)
+        if ids is None:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.coded[t.id] for t in self.model.tokenize(shown)])
+        self.words[part] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
-            return self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
-        out = b""
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
-                shown = part.encode().decode("latin-1").translate(self.letters)
-                ids = self.parts[part] = self._bytes([t.id for t in self.model.tokenize(shown)])
-            out += ids
-        return out
+            return self._whole(word)
+        return b"".join(map(self._part, _PARTS.findall(word.lower())))
 
     def __call__(self, text: str) -> bytes:
         """Unsigned little-endian 32-bit ids."""
         if _ODD.search(text):
-            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+            return self._whole(text)
         words = text.split()
-        known = self.words
-        new = [w for w in set(words) if w not in known]
+        new = set(words).difference(self.words)
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
+            if len(self.words) + len(new) > CACHE:
+                self.older, self.words = self.words, {}
+                new = set(words)
             for w in new:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+                self.words[w] = self.older.get(w) or self._word(w)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _loaded: dict[str, Ids] = {}
