@@ -7,8 +7,8 @@ nearest ancestor directory.
 
 A line can only reach the threshold if it has one of the *key words*: those are added per
 template, rarest first, until the rest of the template, on its own, stays below the threshold
-(Cauchy-Schwarz).  So texts without any key word are passed over exactly, and only lines
-with one are taken apart.
+(Cauchy-Schwarz).  So texts and lines without any key word are passed over exactly, and so
+are lines with too many words that no template has; only the others are taken apart.
 
 Everything is DataFrame expressions.
 """
@@ -48,7 +48,7 @@ def terms(text: str) -> list[str]:
     return re.findall(_TERM, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def weigh(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, float]], float, list[str]]:
+def weigh(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple[int, str, str, float]], float, list[str]]:
     """Unit vectors of the templates as rows, the weight of an unknown word, and the key words.
 
     idf is ln((1 + n) / (1 + df)) + 1.  A template is told from others by its number.
@@ -65,7 +65,7 @@ def weigh(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, float]], float
         own = sorted(((w, t) for j, _, t, w in rows if j == i and t not in keys), reverse=True)
         left = sum(w * w for w, _ in own)
         for w, t in own:
-            if left < (THRESHOLD * 0.999) ** 2:
+            if left < (threshold * 0.999) ** 2:
                 break
             keys.add(t)
             left -= w * w
@@ -80,7 +80,7 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     lines without words declare nothing.
     """
     spark = files.sparkSession
-    rows, unknown, keys = weigh(templates)
+    rows, unknown, keys = weigh(templates, threshold)
     idf: dict[str, float] = {}
     n = len(templates)
     df = Counter(t for _, text in templates for t in set(terms(text)))
@@ -89,13 +89,12 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))
 
-    low = lower_ascii(F.col(f"`{text_col}`"))
-    any_key: Column = F.lit(False)
-    for key in keys:
-        any_key = any_key | F.contains(low, F.lit(key))
-    told = files.where(any_key).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(low, "[\n\r]")).alias("line", "words"))
-    word_list = F.regexp_extract_all("words", F.lit(_TERM), F.lit(0))
-    lines = told.select("id", "line", word_list.alias("bag")).where(F.arrays_overlap("bag", F.array(*[F.lit(k) for k in keys])))
+    text, any_key = F.col(f"`{text_col}`"), "(?i)(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
+    told = files.where(text.rlike(any_key)).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(text, "[\n\r]")).alias("line", "words"))
+    bag = F.regexp_extract_all(lower_ascii(F.col("words")), F.lit(_TERM), F.lit(0))
+    # in an array of one, a bag is made once, whatever reads it
+    bags = F.filter(F.array(bag), lambda b: F.arrays_overlap(b, F.array(*[F.lit(k) for k in keys])) & _may_reach(b, idf, unknown, threshold))
+    lines = told.where(F.col("words").rlike(any_key)).select("id", "line", F.explode_outer(bags).alias("bag")).where("bag is not null")
     lines = cut(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
     tf = lines.select("id", "line", "at", F.explode("bag").alias("term")).groupBy("id", "line", "at", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(weights, "term", "left").withColumn("w1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
@@ -107,6 +106,24 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     return scored.where(F.col("score") >= threshold - 1e-12).groupBy("id").agg(best.alias("b")).select("id", "b.license", "b.score", "b.line")
 
 
+def _may_reach(bag: Column, idf: dict[str, float], unknown: float, threshold: float) -> Column:
+    """Whether a line's cosine with any template can reach the threshold.
+
+    With K the square of its known words' vector and U that of the others, no cosine squared
+    exceeds K / (K + U), and U is at least the number of other words times ``unknown`` squared.
+    """
+    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
+    least = (threshold * 0.999) ** 2
+
+    def enough(known: Column) -> Column:
+        square = lambda t: F.pow(F.size(F.filter(known, lambda x: x == t)) * weight[t], F.lit(2.0))
+        k = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda total, t: total + square(t))
+        return k * (1 - least) >= (F.size(bag) - F.size(known)) * (least * unknown * unknown)
+
+    known = F.filter(bag, lambda x: F.array_contains(F.array(*[F.lit(t) for t in sorted(idf)]), x))
+    return F.exists(F.array(known), enough)
+
+
 def _reverse(text: str) -> Column:
     """A key that sorts short ASCII texts the other way round."""
     return F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: -F.ascii(F.substring(F.col(text), i, F.lit(1))))
