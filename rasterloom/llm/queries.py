@@ -86,6 +86,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out["id"].alias("doc_id"), "path", "license", "score", "origin", "license_dir")
 
 
+def op10_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, declared in any line or inherited from any level above.
+
+    Documents of even id are named LICENSE.id and are licence files, wherever their notice
+    stands: every fifth of them lies in the directory of its source, others whose id is
+    divisible by four in that of their hundreds, the rest, like all other documents, in that of
+    their tens.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    name = F.when(i % 2 == 0, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(i.cast("string"))
+    hundreds = F.when(i % 10 != 0, F.floor(i / 100).cast("string"))
+    tens = F.when((i % 10 != 0) & (i % 4 != 0), F.floor(i / 10).cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), hundreds, tens, name)
+    out = licenses.license_scan(docs, path)
+    return out.select(out["id"].alias("doc_id"), "path", "license", "score", "origin", "license_dir")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -97,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
+    "op10_license_tree": op10_license_tree,
 }
 
 ORACLE: dict[str, str] = {
@@ -106,4 +125,5 @@ ORACLE: dict[str, str] = {
     "op8_minhash": sql.OP8,
     "op9_chat": sql.OP9,
     "op10_licenses": sql.OP10,
+    "op10_license_tree": sql.OP10_TREE,
 }

@@ -129,3 +129,23 @@ from u
 
 
 OP10 = _op10()
+
+#: The scan of OP10, and every licence file above a document rather than its own directory's.
+OP10_TREE = (
+    OP10[: OP10.index("\nf as (") + 1]
+    + """f as (
+  select d.doc_id, d.doc_id % 2 = 0 as named,
+    concat_ws('/', coalesce(d.source, ''), case when d.doc_id % 10 <> 0 then floor(d.doc_id / 100)::bigint::varchar end,
+      case when d.doc_id % 10 <> 0 and d.doc_id % 4 <> 0 then floor(d.doc_id / 10)::bigint::varchar end) as dir, b.license, b.score
+  from documents d left join b on b.doc_id = d.doc_id and b.r = 1),
+p as (select *, concat(dir, '/', case when named then 'LICENSE.' else '' end, doc_id) as path from f),
+g as (select dir, license, score, row_number() over (partition by dir order by path) as r from p where named and license is not null),
+u as (
+  select p.path, a.dir as from1, a.license as l1, a.score as s1, row_number() over (partition by p.path order by length(a.dir) desc) as r
+  from (select distinct path, dir from p) p join g a on a.r = 1 and (a.dir in (p.dir, '') or starts_with(p.dir, a.dir || '/')))
+select p.doc_id, p.path, coalesce(p.license, u.l1) as license, coalesce(p.score, u.s1) as score,
+  case when p.license is not null then 'header' when u.l1 is not null then 'inherited' else 'none' end as origin,
+  case when p.license is null then u.from1 end as license_dir
+from p left join u on u.path = p.path and u.r = 1
+"""
+)

@@ -121,3 +121,16 @@ def test_licences_are_declared_and_inherited(spark):
         5: ("Apache-2.0", "header", None), 6: (None, "none", None), 7: (None, "none", None), 8: (None, "none", None),
     }
     assert licenses.license_scan(df.limit(0), F.col("name")).count() == 0
+
+
+def test_tree_inherits_across_levels(spark, tmp_path):
+    from rasterloom.llm.queries import QUERIES
+
+    notice = {20: "MIT", 104: "MPL-2.0", 112: "GPL-3.0"}
+    told = {k: f"intro\n{next(t for n, t in licenses.TEMPLATES if n == v)}\nend" for k, v in notice.items()}
+    spark.createDataFrame([(i, told.get(i, "words of a text"), "web") for i in (1, 15, 20, 104, 107, 112, 115, 203)] + [(301, "x", "books")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in QUERIES["op10_license_tree"](spark, str(tmp_path)).collect()}
+    assert all(out[i][:2] == (v, "header") for i, v in notice.items())
+    assert all(out[i] == ("MPL-2.0", "inherited", "web/1") for i in (107, 115))  # hundreds, one level up
+    assert all(out[i] == ("MIT", "inherited", "web") for i in (1, 15, 203))  # source, two levels up
+    assert out[301] == (None, "none", None)
