@@ -1,14 +1,17 @@
 """Class-based n-gram scoring in the manner of Brown et al.
 
-Every word has a class: the most frequent words by themselves, all others by the ending of
-their spelling (their *type*).  Exchange clustering moves one type at a time to the class that
-gives the class bigrams the highest likelihood.  A text's probability is the product, over
-its words and one end, of P(class | previous class) and P(word | class), both smoothed.
-
-What is gathered: counts of all training words (a distributed table that grows with the
-corpus) and counts of neighbouring types, at most ``(WORDS + ENDINGS + 1)`` squared, summed
-over the tasks in Spark.  Only these bounded type counts, and the ``LOOKUP`` most frequent
-words, reach the driver.  Counts of all other words meet the documents in a join.
+Every word has a class.  Exchange clustering on the driver moves one type at a time to the class
+that gives the class bigrams the highest likelihood; types are the most frequent words (the
+*core*) and, for the others, the ending of their spelling.  Then every other training word
+takes the class of largest exchange gain for its own neighbours, in Spark; an ending's
+class is left to words unseen in training.  A text's probability is the product, over its
+words and one end, of P(class | previous class) and P(word | class), both smoothed.
+
+What is gathered: counts of all training words and of the classes beside each (distributed tables
+that grow with the corpus) and counts of neighbouring types, at most ``(WORDS + ENDINGS + 1)``
+squared, summed over the tasks in Spark.  Only these bounded type counts, counts of class
+bigrams and the ``LOOKUP`` most frequent words reach the driver.  Counts and classes of
+all other words meet the documents in a join.
 """
 
 from __future__ import annotations
@@ -190,49 +193,118 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return cls
 
 
-def _by_type(own: dict[bytes, int]):
+def _contexts(own: dict[bytes, int], cls: np.ndarray):
+    """Counts of the classes beside each word outside the core.
+
+    ``place`` is the class on the left, ``CLASSES`` and the class on the right, or twice
+    ``CLASSES`` for the word beside itself, which counts in neither of the others.
+    """
+    span = 2 * CLASSES + 1
+
+    def out(ids: dict[bytes, int], codes: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()).take(pa.array(at // span)), pa.array(at % span, pa.int64()), pa.array(n, pa.int64())], names=["word", "place", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = WORDS + ENDINGS
-        total, words = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        ids: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        endings: dict[bytes, int] = {}
+        held = 0
         for batch in batches:
-            t = _types(batch.column("word").to_pylist(), own, {})
-            total += np.bincount(t, weights=batch.column("n").to_numpy(), minlength=size).astype(np.int64)
-            words += np.bincount(t, minlength=size)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(words[at])], names=["type", "n", "words"])
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                types = _types(words, own, endings)
+                c = np.zeros(len(words) + 2, dtype=np.int64)
+                c[1:-1] = cls[types]
+                others = np.flatnonzero(types >= WORDS)
+                w = np.full(len(words) + 2, -1, dtype=np.int64)
+                w[others + 1] = [ids.setdefault(words[i], len(ids)) for i in others.tolist()]
+                at = others + 1
+                left, right = w[at - 1] == w[at], w[at + 1] == w[at]
+                codes.append(w[at[~left]] * span + c[at[~left] - 1])
+                codes.append(w[at[~right]] * span + CLASSES + c[at[~right] + 1])
+                codes.append(w[at[left]] * span + 2 * CLASSES)
+                held += 2 * len(at)
+                if len(ids) > HELD or held > 4_000_000:
+                    yield out(ids, codes)
+                    ids, codes, held = {}, [], 0
+        yield out(ids, codes)
 
     return run
 
 
-def _score(model: dict):
-    schema = pa.schema(
-        [("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
-    )
+def best_classes(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """The class of largest exchange gain of each word, the others staying where they are.
+
+    ``n`` counts class bigrams, with the words in their classes ``own``; ``left`` and
+    ``right`` count the classes beside a word (a row each), ``beside`` the word beside itself.
+    """
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1.0))
 
+    k, rows = len(own), np.arange(len(own))
+    gain = np.zeros((k, len(n)))
+    for table, mine, other in ((n.T, right, left), (n, left, right)):
+        # counts with the word taken out; only where it has a neighbour do they change
+        w, d = np.nonzero(mine)
+        base = table[d].astype(np.float64)
+        base[np.arange(len(w)), own[w]] -= mine[w, d]
+        self = np.flatnonzero(d == own[w])
+        base[self] -= other[w[self]]
+        base[self, own[w[self]]] -= beside[w[self]]
+        more = f(base + mine[w, d][:, None]) - f(base)
+        if len(w):
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[first]] += np.add.reduceat(more, first, axis=0)
+    same = np.repeat(np.diag(n).astype(np.float64)[None], k, axis=0)
+    same[rows, own] -= left[rows, own] + right[rows, own] + beside
+    gain += f(same + left + right + beside[:, None]) - f(same + left) - f(same + right) + f(same)
+    for total, mine in ((n.sum(axis=1), right), (n.sum(axis=0), left)):
+        weight = mine.sum(axis=1) + beside
+        rest = np.repeat(total.astype(np.float64)[None], k, axis=0)
+        rest[rows, own] -= weight
+        gain -= f(rest + weight[:, None]) - f(rest)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
+
+
+def _assign(n: np.ndarray, cls: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model["value"].value if "value" in model else model
-        index = {w: i for i, w in enumerate(m["words"])}
-        kinds = np.array([i if i < WORDS else ending(w) for i, w in enumerate(m["words"])], dtype=np.int64)
-        logs, cls, step, room, all_room, docs = m["logs"], m["cls"], m["step"], m["room"], m["all_room"], m["docs"]
-        endings: dict[bytes, int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                words, lists = batch.column("word"), batch.column("beside")
+                flat = lists.flatten()
+                seen = np.zeros((len(batch), 2 * CLASSES + 1))
+                sizes = np.diff(lists.offsets.to_numpy())
+                seen[np.repeat(np.arange(len(batch)), sizes), flat.field("place").to_numpy()] = flat.field("n").to_numpy()
+                left, right, self = seen[:, :CLASSES], seen[:, CLASSES:-1], seen[:, -1]
+                own = cls[[ending(w) for w in words.to_pylist()]]
+                total = (left.sum(axis=1) + self).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(best_classes(n, own, left, right, self), pa.int64())], names=["word", "n", "cls"])
+
+    return run
+
+
+def _code(model: dict):
+    """Words of each text as places in the list of frequent words, or -1, -2, ... for its other words."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("guess", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model["value"].value
+        index, cls = {w: i for i, w in enumerate(m["words"])}, m["cls"]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
             for id_, text, held_out in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
                 words = words_of(text.as_py())
-                at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                known = at >= 0
-                types = np.empty(len(words), dtype=np.int64)
-                types[known] = kinds[at[known]]
-                rare = [words[i] for i in np.flatnonzero(~known).tolist()]
-                types[~known] = _types(rare, {}, endings)
-                c = np.zeros(len(words) + 2, dtype=np.int64)
-                c[1:-1] = cls[types]
-                emitted = float(logs[at[known]].sum()) + _HALF * len(rare)
-                score = float(step[c[:-1], c[1:]].sum()) + emitted - float(room[c[1:-1]].sum())
-                base = emitted + float(np.log10(docs + 0.5)) - all_room * (len(words) + 1)
-                times = Counter(rare)
-                out.append((row, id_, held_out, len(words) + 1, int(known.sum()) + (docs > 0), base, score, list(times), list(times.values())))
+                at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                rare: dict[bytes, int] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    at[i] = -1 - rare.setdefault(words[i], len(rare))
+                out.append((row, id_, held_out, at, list(rare), [int(cls[ending(w)]) for w in rare]))
                 row += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -240,6 +312,62 @@ def _score(model: dict):
     return run
 
 
+def _resolve(model: dict):
+    """Classes of each text's words and the sum of the logarithms of their counts."""
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("emitted", pa.float64()), ("classes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model["value"].value
+        logs, word_cls = m["logs"], m["word_cls"]
+        for batch in batches:
+            out: list[tuple] = []
+            for id_, held_out, codes, guess, met in zip(*(batch.column(c) for c in ("id", "held_out", "codes", "guess", "met")), strict=True):
+                at, c = codes.values.to_numpy(), guess.values.to_numpy().copy()
+                log, hit = np.full(len(c), _HALF), np.zeros(len(c), dtype=bool)
+                if met.is_valid:
+                    k = met.values.field("k").to_numpy()
+                    c[k], log[k], hit[k] = met.values.field("cls").to_numpy(), np.log10(met.values.field("n").to_numpy() + 0.5), True
+                known, rare = at[at >= 0], -1 - at[at < 0]
+                classes = np.empty(len(at), dtype=np.uint8)
+                classes[at >= 0], classes[at < 0] = word_cls[known], c[rare]
+                out.append((id_.as_py(), held_out.as_py(), len(known) + int(hit[rare].sum()), float(logs[known].sum() + log[rare].sum()), classes.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _steps(classes: bytes) -> np.ndarray:
+    c = np.zeros(len(classes) + 2, dtype=np.int64)
+    c[1:-1] = np.frombuffer(classes, dtype=np.uint8)
+    return c
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for batch in batches:
+        for classes in batch.column(0).to_pylist():
+            c = _steps(classes)
+            total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def _score(step: np.ndarray, room: np.ndarray, all_room: float, docs: int):
+    names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            emitted = batch.column("emitted").to_numpy()
+            steps = [_steps(classes) for classes in batch.column("classes").to_pylist()]
+            n = np.array([len(c) - 1 for c in steps], dtype=np.int64)
+            score = np.array([step[c[:-1], c[1:]].sum() - room[c[1:-1]].sum() for c in steps], dtype=np.float64)
+            known = batch.column("n_known").to_numpy() + (docs > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n), pa.array(known), pa.array(emitted + np.log10(docs + 0.5) - all_room * n), pa.array(emitted + score)], names=names)
+
+    return run
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit on the rows where ``train`` holds and score every whole text.
 
@@ -273,37 +401,40 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     for a, b, n in sums.toLocalIterator():
         pairs[a, np.frombuffer(b, "<i4")] = np.frombuffer(n, "<i8")
     cls = exchange(pairs)
-    by_type = vocab.mapInArrow(_by_type(own), "type long, n long, words long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+    hot = np.zeros((size, CLASSES))
+    hot[np.arange(size), cls] = 1
+    beside = fitted.mapInArrow(_contexts(own, cls), "word binary, place long, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
+    beside = beside.groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("beside"))
+    others = cut(beside.mapInArrow(_assign(hot.T @ pairs @ hot, cls), "word binary, n long, cls long"), "classes")
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for t, n, k in by_type:
-        tokens[cls[t]] += n
-        distinct[cls[t]] += k
+    for c, n, k in others.groupBy("cls").agg(F.sum("n"), F.count("*")).collect():
+        tokens[c] += n
+        distinct[c] += k
+    for w, n in frequent[:WORDS]:
+        tokens[cls[own[w]]] += n
+        distinct[cls[own[w]]] += 1
     n_tokens = int(tokens.sum()) + n_docs
     n_distinct = int(distinct.sum()) + (n_docs > 0)
-    hot = np.zeros((size, CLASSES))
-    hot[np.arange(size), cls] = 1
-    between = hot.T @ pairs @ hot
-    prior = (between.sum(axis=0) + 1) / (between.sum() + CLASSES)
+    found = {} if least is None else {bytes(w): c for w, c in others.where(step >= least).select("word", "cls").collect()}
     model = {
         "words": [w for w, _ in frequent],
+        "word_cls": np.array([cls[i] if i < WORDS else found[w] for i, (w, _) in enumerate(frequent)], dtype=np.uint8),
         "logs": np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 0.5),
         "cls": cls,
-        "step": np.log10((between + PRIOR * prior) / (between.sum(axis=1, keepdims=True) + PRIOR)),
-        "room": np.log10(tokens + 0.5 * (distinct + 1)),
-        "all_room": float(np.log10(n_tokens + 0.5 * (n_distinct + 1))),
-        "docs": n_docs,
     }
     shared = {"value": spark.sparkContext.broadcast(model)}
-    fields = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
-    scored = cut(rows.mapInArrow(_score(shared), fields), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    seen = vocab if least is None else vocab.where(step < least)
-    more = rare.join(seen.hint("shuffle_hash"), "word")
-    more = more.groupBy("row").agg(F.sum(F.col("k") * (F.log10(F.col("n") + 0.5) - _HALF)).alias("more"), F.sum("k").alias("met"))
-    out = scored.drop("words", "times").join(more, "row", "left")
-    return out.select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
-
-
+    coded = cut(rows.mapInArrow(_code(shared), "row long, id long, held_out boolean, codes array<int>, words array<binary>, guess array<int>"), "coded")
+    rare = coded.select("row", F.posexplode("words").alias("k", "word"))
+    seen = others if least is None else others.where(step < least)
+    met = rare.join(seen.hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("met"))
+    known = coded.drop("words").join(met, "row", "left").select("id", "held_out", "codes", "guess", "met")
+    known = cut(known.mapInArrow(_resolve(shared), "id long, held_out boolean, n_known long, emitted double, classes binary"), "resolved")
+    between = np.zeros(CLASSES * CLASSES)
+    for at, n in known.where("not held_out").select("classes").mapInArrow(_bigrams, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        between[at] = n
+    between = between.reshape(CLASSES, CLASSES)
+    prior = (between.sum(axis=0) + 1) / (between.sum() + CLASSES)
+    steps = np.log10((between + PRIOR * prior) / (between.sum(axis=1, keepdims=True) + PRIOR))
+    fields = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = known.mapInArrow(_score(steps, np.log10(tokens + 0.5 * (distinct + 1)), float(np.log10(n_tokens + 0.5 * (n_distinct + 1))), n_docs), fields)
+    return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -163,3 +163,37 @@ def test_a_models_words_have_probability_one():
     prior = (between.sum(axis=0) + 1) / (between.sum() + 3)
     p = (between + lm.PRIOR * prior) / (between.sum(axis=1, keepdims=True) + lm.PRIOR)
     assert np.allclose(p.sum(axis=1), 1)
+
+
+def test_best_classes_have_the_highest_likelihood():
+    rng = np.random.default_rng(1)
+    size, classes = 30, 5
+    m = rng.integers(0, 6, (size, size)) * (rng.random((size, size)) < 0.4)
+    cls = np.append(rng.integers(1, classes, size - 1), 0)
+
+    def likelihood(c):
+        hot = np.eye(classes)[c]
+        n = hot.T @ m @ hot
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(n) - f(n.sum(axis=0)) - f(n.sum(axis=1))
+
+    hot = np.eye(classes)[cls]
+    words = np.arange(size - 1)
+    off = m - np.diag(np.diag(m))
+    got = lm.best_classes(hot.T @ m @ hot, cls[words], (off.T @ hot)[words], (off @ hot)[words], np.diag(m)[words].astype(float))
+    for w in words:
+        every = [likelihood(np.where(np.arange(size) == w, c, cls)) for c in range(1, classes)]
+        assert every[got[w] - 1] >= max(every) - 1e-6
+
+
+def test_other_words_have_the_class_of_their_neighbours(spark, monkeypatch):
+    """Words that end alike but stand where different frequent words do are told apart."""
+    monkeypatch.setattr(lm, "LOOKUP", 700)
+    texts = [" ".join(f"f{i + k}" for k in range(20)) for i in range(0, 600, 20)] * 5 + ["aa xx bb cc yy dd"] * 400
+    for i in range(0, 600, 4):
+        texts += [" ".join(f"aa x{j}end bb cc y{j}end dd" for j in range(i, i + 4))] * 3
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "aa x5end bb"), (1001, "aa y5end bb")]
+    out = {r["id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    like, unlike = out[1000], out[1001]
+    assert like["n_known"] == unlike["n_known"] == 4
+    assert (like["score"] - like["base_score"]) - (unlike["score"] - unlike["base_score"]) > 2
