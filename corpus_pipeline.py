@@ -17,14 +17,21 @@ from rasterloom.llm.packing import pack
 
 #: Below this cosine with every prototype, a text is of no learned language.
 LEAST_COSINE = 0.1
+#: Letters from which a low cosine says something; of shorter texts it is small in any language.
+LEAST_LETTERS = 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without letters or unlike every learned language; fill in missing languages."""
+    """Drop texts without letters, and long ones unlike every learned language; fill in missing languages.
+
+    A text has about as many trigrams as letters and blanks; with few, its cosine is small
+    even where its language is right, so short texts stay.
+    """
     names = docs.columns
     prototypes = langid.fit(docs, "text", "lang", F.xxhash64("doc_id", "text"))
     seen = langid.predict(docs, prototypes, pred_col="__pred", score_col="__score")
-    fine = (F.col("__pred") != "und") & (F.col("__score") >= LEAST_COSINE) if prototypes else F.lit(True)
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < LEAST_LETTERS
+    fine = (F.col("__pred") != "und") & ((F.col("__score") >= LEAST_COSINE) | short) if prototypes else F.lit(True)
     return seen.where(fine).withColumn("lang", F.coalesce("lang", "__pred")).select(*names)
 
 

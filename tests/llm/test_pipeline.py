@@ -23,3 +23,18 @@ def test_components_of_chains_and_stars(spark):
     out = {tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert out == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 140)} | {(200, 200), (300, 200)}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_short_texts_of_every_language_stay(spark):
+    prose = {
+        "en": "the house stands near the river and has many windows of glass in every room",
+        "fr": "la maison se trouve au bord de la rivière et ses fenêtres donnent sur le jardin",
+        "de": "das haus steht nahe am fluss und hat viele fenster aus glas in jedem zimmer",
+        "es": "la casa está cerca del río y tiene muchas ventanas de vidrio en cada cuarto",
+    }
+    rows = [(100 * k + i, f"{text} {text[i:]} {text[: 40 - i]}", lang) for k, (lang, text) in enumerate(prose.items()) for i in range(20)]
+    short = [(1000, "A.", "en"), (1001, "Onhaha sh.", "en"), (1002, "Avec.", "fr"), (1003, "Zwölf", "de"), (1004, "Ñu", "es"), (1005, "Zyx", None)]
+    foreign = [(2000, " ".join(chr(0x4E00 + k) * 3 for k in range(200)), None), (2001, "12 !", "en")]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows + short + foreign, "doc_id long, text string, lang string"), "").collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows + short}
+    assert all(r["lang"] for r in out)
