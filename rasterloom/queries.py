@@ -664,6 +664,27 @@ def tiles_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.tiles_summary(_state(spark, sf_dir), "s1")
 
 
+def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile for every customer: two services, eight tiles to a row, as many rows as it takes."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("s"), (key % 2).cast("string")).alias("service_id"), F.col("c_name").alias("user_id"), (key % 8).cast("int").alias("x"), F.expr("cast(c_custkey div 8 as int)").alias("y"),
+        F.lit(5).alias("z"), F.when(key % 3 == 0, "submitted").otherwise("claimed").alias("stage"), F.lit(None).cast("string").alias("data"),
+    )
+
+
+@query("tile_claim_available_all", "select x::int as x, y::int as y from range(8) u(x), (select unnest(range(max(c_custkey) // 8 + 2)) as y from customer) v where not exists (select 1 from customer where c_custkey % 2 = 0 and c_custkey % 8 = x and c_custkey // 8 = y)")
+def tile_claim_available_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _assignments(spark, sf_dir)
+    last = state.agg(F.max("y")).first()[0]
+    return tiles.available(state, "s0", 5, (0, 7), (0, -1 if last is None else last + 1))
+
+
+@query("tiles_summary_all", "select (c_custkey % 8)::int as x, (c_custkey // 8)::int as y, 5::int as z, case when c_custkey % 3 = 0 then 'submitted' else 'claimed' end as stage, c_name as user_id, null::varchar as data from customer where c_custkey % 2 = 1")
+def tiles_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tiles_summary(_assignments(spark, sf_dir), "s1")
+
+
 @query("xyz_to_bbox", f"select z::int as z, {r('-20037508.342789244 + 3 * 2 * 20037508.342789244 / pow(2, z)', 'west')}, {r('20037508.342789244 - 2 * 20037508.342789244 / pow(2, z)', 'south')} from range(2, 12) t(z)")
 def xyz_to_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = [(z, spatial.xyz_to_bbox({"x": 3, "y": 0, "z": z})) for z in range(2, 12)]

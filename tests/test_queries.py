@@ -41,3 +41,12 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_every_customer_holds_a_tile(spark):
+    d = "/root/testdata/sf0.001"
+    if not Path(d).exists():
+        pytest.skip("no tables")
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    assert n > 40 and QUERIES["tiles_summary_all"](spark, d).count() == (n + 1) // 2
+    assert QUERIES["tile_claim_available_all"](spark, d).count() == 8 * (n // 8 + 2) - n // 2
