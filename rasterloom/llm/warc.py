@@ -3,13 +3,15 @@
 Two tables: ``payloads`` holds each distinct payload once under its SHA-256, ``headers``
 holds for every record the exact bytes that precede the payload (the WARC header block and
 the HTTP header block) and the payload's key.  Original records come back by a join.  Digests
-are verified when the archive is written (equal keys must mean equal bytes) and when it is read.
+are verified when the archive is written (rows of one key must agree in size and in their
+SHA-1 too) and when it is read (a payload must have its key's digest).
 
 Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from rasterloom.llm.common import cut, scratch_dir
 
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Records of one payload from which its headers are dealt into parts.
+HOT = 1000
 
 
 def base32(hex_digest: Column) -> Column:
@@ -48,21 +52,28 @@ def _lines(*lines: Column) -> Column:
     return F.concat(*[F.concat(x, F.lit("\r\n")) for x in lines], F.lit("\r\n"))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, hot: int = HOT) -> None:
     """Write a record per row to ``path``/headers and each payload once to ``path``/payloads.
 
     Of the records with one payload of at least ``least_bytes`` bytes, those with the
     largest id are responses and the others revisits that refer to it; smaller payloads are
     all responses.  A null payload is empty.  A null id counts as smaller than any other.
     Repeated rows are records of their own.  White space and control characters in a URL
-    become %20; a null URL is ``about:blank``.  Other columns play no part.
+    become %20; a null URL is ``about:blank``.  Other columns play no part.  An empty table
+    gives an empty archive.
+
+    Both tables are bucketed by key, so that a payload moves once, when copies are dropped,
+    and meets its headers where it lies.  ``part`` deals the headers of a payload
+    of more than ``hot`` records into parts of about that size and is null elsewhere.
     """
     text = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), text.alias("payload"))
     rows = rows.withColumn("key", F.sha2(F.col("payload").cast("binary"), 256))
     slim = rows.select("id", "url", "key", base32(F.sha1(F.col("payload").cast("binary"))).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     slim = cut(slim, "records")
-    top = slim.groupBy("key").agg(F.max("id").alias("holder"))
+    alike = (F.min("digest") == F.max("digest")) & (F.min("bytes") == F.max("bytes"))
+    parts = F.when(alike, F.ceil(F.count("*") / hot)).otherwise(F.raise_error(F.lit("two payloads have one digest")).cast("long"))
+    top = slim.groupBy("key").agg(F.max("id").alias("holder"), parts.alias("parts"))
     r = slim.join(top, "key").withColumn("first", (F.col("bytes") < least_bytes) | F.col("id").eqNullSafe(F.col("holder")))
     http = _lines(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string")))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
@@ -74,29 +85,59 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.lit("WARC/1.1"), about, F.concat(F.lit("WARC-Record-ID: <"), record_urn(F.col("id")), F.lit(">")), F.concat(F.lit("WARC-Target-URI: "), url), F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.lit("Content-Type: application/http;msgtype=response"), F.concat(F.lit("Content-Length: "), size.cast("string")),
     )
-    r.select("key", F.concat(head, http).alias("header"), F.col("first").alias("has_payload")).write.parquet(f"{path}/headers")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "url"), F.col("parts")).cast("int"))
+    headers = r.select("key", F.concat(head, http).alias("header"), F.col("first").alias("has_payload"), part.alias("part"), (F.col("parts") > 1).alias("hot"))
+    _save(headers, f"{path}/headers", "hot")
+    _save(rows.select("key", "payload").dropDuplicates(["key"]), f"{path}/payloads")
+
+
+def _table(path: str) -> str:
+    return f"archive_{hashlib.md5(path.encode()).hexdigest()}"
 
-    check = F.xxhash64("payload")
-    one = rows.groupBy("key").agg(F.first("payload").alias("payload"), F.min(check).alias("a"), F.max(check).alias("b"))
-    sound = F.when(F.col("a") == F.col("b"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")).cast("string"))
-    one.select("key", sound.alias("payload")).write.parquet(f"{path}/payloads")
+
+def _save(df: DataFrame, path: str, *partitions: str) -> None:
+    """Write compressed Parquet to ``path``, registered as a table bucketed by ``key``.
+
+    There are as many buckets as shuffle partitions, so a table shuffled by key is
+    written a bucket a task, and a bucketed table need not be shuffled to meet it.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "key")
+    (writer.partitionBy(*partitions) if partitions else writer).saveAsTable(_table(path))
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The tables of an archive; a payload that doesn't match its key is an error."""
-    stored = spark.read.schema("key string, payload string").parquet(f"{path}/payloads")
+    """The tables of an archive; a payload that doesn't match its key is an error.
+
+    Where the session's catalogue knows the tables, their buckets spare a shuffle.
+    """
+
+    def read(name: str, schema: str) -> DataFrame:
+        table = _table(f"{path}/{name}")
+        return spark.table(table) if spark.catalog.tableExists(table) else spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    stored = read("payloads", "key string, payload string")
     same = F.sha2(F.col("payload").cast("binary"), 256) == F.col("key")
     payload = F.when(same, F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")).cast("string"))
-    headers = spark.read.schema("key string, header string, has_payload boolean").parquet(f"{path}/headers")
+    headers = read("headers", "key string, header string, has_payload boolean, part int, hot boolean")
     return headers, stored.select("key", payload.alias("payload"))
 
 
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Whole records: ``record`` as it stands in a WARC file, and its full ``payload``."""
-    both = headers.join(payloads, "key")
+    """Whole records: ``record`` as it stands in a WARC file, and its full ``payload``.
+
+    A payload of very many records is copied for each part of its headers.
+    """
     end = F.lit("\r\n\r\n")
     record = F.when(F.col("has_payload"), F.concat("header", "payload", end)).otherwise(F.concat("header", end))
-    return both.select(record.alias("record"), "payload")
+    both = headers.where("not hot").join(payloads, "key").select(record.alias("record"), "payload")
+    many = headers.where("hot")
+    if many.isEmpty():
+        return both
+    fan = many.groupBy("key").agg(F.max("part").alias("last"))
+    copies = payloads.join(fan, "key").select("key", "payload", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    spread = many.repartition("key", "part").join(copies, ["key", "part"])
+    return both.union(spread.select(record.alias("record"), "payload"))
 
 
 def export(rows: DataFrame, path: str) -> None:

@@ -31,6 +31,30 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.round_trip(pages(spark, ROWS).limit(0), str(tmp_path / "c")).count() == 0
 
 
+def test_a_payload_of_very_many_records(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "hot" if i % 3 == 0 else f"page {i}") for i in range(90)] + [(6, "http://again", "hot")] * 5
+    path = str(tmp_path / "hot")
+    out = warc.round_trip(pages(spark, rows), path, hot=4).collect()
+    assert len(out) == len(rows)
+    assert {(r["record_type"], r["refers_to"]) for r in out if r["id"] % 3 == 0} == {("response", None), ("revisit", 87)}
+    assert sum(r["record_type"] == "response" for r in out) == 61
+    assert spark.read.parquet(f"{path}/payloads").count() == 61
+    parts = spark.read.parquet(f"{path}/headers").where("part is not null").groupBy("part").count().collect()
+    assert len(parts) > 4 and sum(r["count"] for r in parts) == 35
+    # without the tables in the catalogue, records come back from the files alone
+    for name in ("headers", "payloads"):
+        spark.sql(f"DROP TABLE {warc._table(f'{path}/{name}')}")
+    again = warc.fields(warc.records(*warc.read_archive(spark, path))).collect()
+    assert sorted(again, key=str) == sorted(out, key=str)
+
+
+def test_reading_back_shuffles_no_payload(spark, tmp_path):
+    path = str(tmp_path / "flat")
+    warc.write_archive(pages(spark, [(i, "u", f"page {i}") for i in range(50)]), path)
+    plan = warc.records(*warc.read_archive(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
 def test_exported_files_are_records(spark, tmp_path):
     warc.write_archive(pages(spark, ROWS), str(tmp_path / "a"))
     warc.export(warc.records(*warc.read_archive(spark, str(tmp_path / "a"))), str(tmp_path / "files"))
