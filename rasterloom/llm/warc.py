@@ -86,7 +86,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.lit("Content-Type: application/http;msgtype=response"), F.concat(F.lit("Content-Length: "), size.cast("string")),
     )
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "url"), F.col("parts")).cast("int"))
-    headers = r.select("key", F.concat(head, http).alias("header"), F.col("first").alias("has_payload"), part.alias("part"), (F.col("parts") > 1).alias("hot"))
+    headers = r.select("key", F.concat(head, http).alias("header"), F.col("first").alias("has_payload"), part.alias("part"), (F.col("parts") > 1).cast("int").alias("hot"))
     _save(headers, f"{path}/headers", "hot")
     _save(rows.select("key", "payload").dropDuplicates(["key"]), f"{path}/payloads")
 
@@ -119,7 +119,7 @@ def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     stored = read("payloads", "key string, payload string")
     same = F.sha2(F.col("payload").cast("binary"), 256) == F.col("key")
     payload = F.when(same, F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")).cast("string"))
-    headers = read("headers", "key string, header string, has_payload boolean, part int, hot boolean")
+    headers = read("headers", "key string, header string, has_payload boolean, part int, hot int")
     return headers, stored.select("key", payload.alias("payload"))
 
 
@@ -130,8 +130,8 @@ def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """
     end = F.lit("\r\n\r\n")
     record = F.when(F.col("has_payload"), F.concat("header", "payload", end)).otherwise(F.concat("header", end))
-    both = headers.where("not hot").join(payloads, "key").select(record.alias("record"), "payload")
-    many = headers.where("hot")
+    both = headers.where("hot = 0").join(payloads, "key").select(record.alias("record"), "payload")
+    many = headers.where("hot = 1")
     if many.isEmpty():
         return both
     fan = many.groupBy("key").agg(F.max("part").alias("last"))
