@@ -2,14 +2,14 @@
 
 Every word has a class.  Exchange clustering on the driver moves one type at a time to the class
 that gives the class bigrams the highest likelihood; types are the most frequent words (the
-*core*) and, for the others, the ending of their spelling.  Then every other training word
+*core*) and, for the others, the last letters of the word.  Then every other training word
 takes the class of largest exchange gain for its own neighbours, in Spark; an ending's
 class is left to words unseen in training.  A text's probability is the product, over its
 words and one end, of P(class | previous class) and P(word | class), both smoothed.
 
 What is gathered: counts of all training words and of the classes beside each (distributed tables
-that grow with the corpus) and counts of neighbouring types, at most ``(WORDS + ENDINGS + 1)``
-squared, summed over the tasks in Spark.  Only these bounded type counts, counts of class
+that grow with the corpus) and counts of neighbouring types, sparse and at most ``(WORDS +
+ENDINGS + 1)`` squared (21 million), summed over the tasks in Spark.  Only these bounded type counts, counts of class
 bigrams and the ``LOOKUP`` most frequent words reach the driver.  Counts and classes of
 all other words meet the documents in a join.
 """
@@ -23,25 +23,31 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut
 
-WORDS = 512
-ENDINGS = 1024
+#: Words that exchange clustering moves one at a time; the first number of what the driver holds.
+WORDS = 4096
+#: Types that stand in for the other words meanwhile, by the last letters of the word.
+ENDINGS = 512
 CLASSES = 48
 SWEEPS = 5
 #: Frequent words whose counts every task holds, at most.
 LOOKUP = 200_000
 #: Weight of the class prior in transitions.
 PRIOR = 10.0
-#: Words counted in a task before they are passed on.
+#: Words, distinct pairs of types, and words in a row that a task holds before they are passed on.
 HELD = 200_000
+PAIRS = 1_000_000
+RUN = 100_000
 
 _TAIL = b".,;:!?&%$#*)\"'|"
 _HALF = float(np.log10(0.5))
+_ENTRY = np.dtype([("place", "<i4"), ("n", "<i8")])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,9 +56,23 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The type of a word by its last letters."""
+    """A number below ``ENDINGS`` for the last letters of a word."""
     bare = word.rstrip(_TAIL)
-    return WORDS + zlib.crc32((bare or word)[-3:]) % ENDINGS
+    return zlib.crc32((bare or word).decode("utf-8", "replace")[-3:].encode()) % ENDINGS
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Words of many texts in a row, an empty word before, between and after them."""
+    run: list[bytes] = [b""]
+    for batch in batches:
+        for text in batch.column(0):
+            run += words_of(text.as_py())
+            run.append(b"")
+            if len(run) > RUN:
+                yield run
+                run = [b""]
+    if len(run) > 1:
+        yield run
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,88 +89,140 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(counts)
 
 
-def _pair_counts(own: dict[bytes, int]):
-    """Counts of neighbouring types; one row for each type and task, with sparse counts."""
-    size, end = WORDS + ENDINGS + 1, WORDS + ENDINGS
+class Numbers(dict):
+    """Numbers of words: the end is 0, core words come next, others are numbered as met.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
-        endings: dict[bytes, int] = {}
-        for batch in batches:
-            codes = []
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                types = np.full(len(words) + 2, end, dtype=np.int64)
-                types[1:-1] = _types(words, own, endings)
-                codes.append(types[:-1] * size + types[1:])
-                if sum(map(len, codes)) > 1 << 20:
-                    at, n = np.unique(np.concatenate(codes), return_counts=True)
-                    total[at] += n
-                    codes = []
-            if codes:
-                at, n = np.unique(np.concatenate(codes), return_counts=True)
-                total[at] += n
-        square = total.reshape(size, size)
-        rows = np.flatnonzero(square.any(axis=1))
-        found = [np.flatnonzero(square[r]) for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array([f.astype("<i4").tobytes() for f in found], pa.binary()), pa.array([square[r][f].astype("<i8").tobytes() for r, f in zip(rows, found, strict=True)], pa.binary())],
-            names=["a", "b", "n"],
-        )
+    ``kind`` holds for each number what ``of_ending`` or ``of_core`` say of the word.
+    """
 
-    return run
+    def __init__(self, core: dict[bytes, int], of_core: np.ndarray, of_ending: np.ndarray):
+        super().__init__({b"": 0} | {w: i + 1 for w, i in core.items()})
+        self.fixed, self.of_ending = len(self), of_ending
+        self.kind = np.zeros(2 * self.fixed + HELD, dtype=np.int64)
+        self.kind[: self.fixed] = of_core[: self.fixed]
 
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        if i == len(self.kind):
+            self.kind = np.resize(self.kind, 2 * i)
+        self.kind[i] = self.of_ending[ending(word)]
+        return i
 
-def _types(words: list[bytes], own: dict[bytes, int], endings: dict[bytes, int]) -> np.ndarray:
-    types = np.fromiter(map(own.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-    for i in np.flatnonzero(types < 0).tolist():
-        tail = (words[i].rstrip(_TAIL) or words[i])[-3:]
-        t = endings.get(tail)
-        if t is None:
-            if len(endings) > 100_000:
-                endings.clear()
-            t = endings[tail] = WORDS + zlib.crc32(tail) % ENDINGS
-        types[i] = t
-    return types
+    def all_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = WORDS + ENDINGS + 1
-    now, held = None, np.zeros(size, dtype=np.int64)
+def _sums(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts (of ones, if not given)."""
+    if n is None:
+        return np.unique(code, return_counts=True)
+    at, back = np.unique(code, return_inverse=True)
+    return at, np.bincount(back, weights=n, minlength=len(at)).astype(np.int64)
 
-    def out() -> pa.RecordBatch:
-        at = np.flatnonzero(held)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([held[at].astype("<i8").tobytes()], pa.binary())], names=["a", "b", "n"])
 
-    for batch in batches:
-        for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True):
-            if a != now:
-                if now is not None:
-                    yield out()
-                now = a
-                held[:] = 0
-            held[np.frombuffer(b, "<i4")] += np.frombuffer(n, "<i8")
-    if now is not None:
+def _sparse_rows(code: np.ndarray, n: np.ndarray, span: int) -> tuple[np.ndarray, pa.Array]:
+    """Ascending codes ``row * span + place`` as one binary of (place, count) for each row."""
+    row = code // span
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
+    data = np.empty(len(code), dtype=_ENTRY)
+    data["place"], data["n"] = code - row * span, n
+    ends = (np.r_[at, len(code)] * _ENTRY.itemsize).astype(np.int32)
+    return row[at], pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _pair_counts(core: dict[bytes, int], words: int):
+    """Counts of neighbouring types: sparse rows, one for each type whenever enough are held."""
+    size = words + ENDINGS + 1
+    of_core = np.arange(-1, len(core))
+    of_core[0] = size - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        numbers = Numbers(core, of_core, words + np.arange(ENDINGS))
+
+        def out() -> pa.RecordBatch:
+            rows, entries = _sparse_rows(code, n, size)
+            return pa.RecordBatch.from_arrays([pa.array(rows), entries], names=["row", "entries"])
+
+        for held in _runs(batches):
+            at = numbers.all_of(held)
+            types = numbers.kind[at]
+            more, k = _sums(types[:-1] * size + types[1:])
+            code, n = _sums(np.r_[code, more], np.r_[n, k])
+            if len(numbers) > HELD:
+                numbers = Numbers(core, of_core, words + np.arange(ENDINGS))
+            if len(code) > PAIRS:
+                yield out()
+                code, n = code[:0], n[:0]
         yield out()
 
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sums of sorted sparse rows of equal key: keys, and for each entry (number of the key, place, count)."""
+    held = None
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2048):
+            batch = whole.slice(start, 2048)
+            key, entries = batch.column(0), batch.column(1)
+            offsets = np.frombuffer(entries.buffers()[1], np.int32)[entries.offset : entries.offset + len(entries) + 1]
+            data = np.frombuffer(entries.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(_ENTRY) if offsets[-1] > offsets[0] else np.zeros(0, dtype=_ENTRY)
+            new = np.r_[held is None or held[0] != key[0], pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)].astype(np.int64)
+            if held is not None and new[0]:
+                yield pa.array([held[0].as_py()], key.type), np.zeros(len(held[1]), dtype=np.int64), held[1], held[2]
+                held = None
+            new[0] = 0
+            group = np.cumsum(new)
+            firsts = key.take(pa.array(np.flatnonzero(np.r_[True, group[1:] != group[:-1]])))
+            code = np.repeat(group, np.diff(offsets) // _ENTRY.itemsize) * span + data["place"]
+            n = data["n"].astype(np.int64)
+            if held is not None:
+                code, n = np.r_[held[1], code], np.r_[held[2], n]
+            code, n = _sums(code, n)
+            group, place = code // span, code % span
+            done = np.searchsorted(group, len(firsts) - 1)
+            if done:
+                yield firsts[:-1], group[:done], place[:done], n[:done]
+            held = firsts[-1], place[done:], n[done:]
+    if held is not None:
+        yield pa.array([held[0].as_py()], held[0].type), np.zeros(len(held[1]), dtype=np.int64), held[1], held[2]
+
+
+def _add_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, group, place, n in _merged(batches, size):
+            rows, entries = _sparse_rows(group * size + place, n, size)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), entries], names=["row", "entries"])
+
+    return run
+
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], size: int = 0, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """A class for each type; the last type, the end of a text, is alone in class 0.
 
+    ``pairs`` is a matrix or, of ``size`` types, its entries: rows, columns, counts.
     Starts with types dealt by frequency, then moves each type, the most frequent first, to
     the class of largest class-bigram likelihood, until a sweep moves none.
     """
-    m = pairs.astype(np.float64)
-    size = len(m)
-    count = m.sum(axis=0) + m.sum(axis=1)
+    if isinstance(pairs, np.ndarray):
+        a, b = np.nonzero(pairs)
+        size, pairs = len(pairs), (a, b, pairs[a, b])
+    a, b, c = pairs
+    c = c.astype(np.float64)
+    count = np.bincount(a, c, size) + np.bincount(b, c, size)
+    self = np.zeros(size)
+    self[a[a == b]] = c[a == b]
+    to, back = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    to_at, back_at = np.searchsorted(a[to], np.arange(size + 1)), np.searchsorted(b[back], np.arange(size + 1))
+    right, right_n, left, left_n = b[to], c[to], a[back], c[back]
     order = np.argsort(-count[:-1], kind="stable")
     cls = np.ones(size, dtype=np.int64)
     cls[order] = 1 + np.arange(size - 1) % (classes - 1)
     cls[-1] = 0
-    hot = np.zeros((size, classes))
-    hot[np.arange(size), cls] = 1
-    out, into = m @ hot, m.T @ hot
-    n = hot.T @ out
+    out = np.bincount(a * classes + cls[b], c, size * classes).reshape(size, classes)
+    into = np.bincount(b * classes + cls[a], c, size * classes).reshape(size, classes)
+    n = np.bincount(cls[a] * classes + cls[b], c, classes * classes).reshape(classes, classes)
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1.0))
@@ -161,7 +233,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
         for w in order:
             if not count[w]:
                 break
-            a, s = cls[w], m[w, w]
+            a, s = cls[w], self[w]
             r, q = out[w].copy(), into[w].copy()
             r[a] -= s
             q[a] -= s
@@ -184,51 +256,43 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             if b != a:
                 moved += 1
                 cls[w] = b
-                out[:, a] -= m[:, w]
-                out[:, b] += m[:, w]
-                into[:, a] -= m[w]
-                into[:, b] += m[w]
+                at = slice(back_at[w], back_at[w + 1])
+                out[left[at], a] -= left_n[at]
+                out[left[at], b] += left_n[at]
+                at = slice(to_at[w], to_at[w + 1])
+                into[right[at], a] -= right_n[at]
+                into[right[at], b] += right_n[at]
         if not moved:
             break
     return cls
 
 
-def _contexts(own: dict[bytes, int], cls: np.ndarray):
-    """Counts of the classes beside each word outside the core.
+def _contexts(core: dict[bytes, int], cls: np.ndarray, words: int):
+    """Counts of the classes beside each word outside the core, a sparse row a word.
 
     ``place`` is the class on the left, ``CLASSES`` and the class on the right, or twice
     ``CLASSES`` for the word beside itself, which counts in neither of the others.
     """
     span = 2 * CLASSES + 1
+    of_core = np.r_[0, cls[: len(core)]]
 
-    def out(ids: dict[bytes, int], codes: list[np.ndarray]) -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()).take(pa.array(at // span)), pa.array(at % span, pa.int64()), pa.array(n, pa.int64())], names=["word", "place", "n"])
+    def out(numbers: Numbers, codes: list[np.ndarray]) -> pa.RecordBatch:
+        rows, entries = _sparse_rows(*_sums(np.concatenate([np.zeros(0, dtype=np.int64), *codes])), span)
+        return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()).take(pa.array(rows)), entries], names=["word", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        codes: list[np.ndarray] = []
-        endings: dict[bytes, int] = {}
-        held = 0
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                types = _types(words, own, endings)
-                c = np.zeros(len(words) + 2, dtype=np.int64)
-                c[1:-1] = cls[types]
-                others = np.flatnonzero(types >= WORDS)
-                w = np.full(len(words) + 2, -1, dtype=np.int64)
-                w[others + 1] = [ids.setdefault(words[i], len(ids)) for i in others.tolist()]
-                at = others + 1
-                left, right = w[at - 1] == w[at], w[at + 1] == w[at]
-                codes.append(w[at[~left]] * span + c[at[~left] - 1])
-                codes.append(w[at[~right]] * span + CLASSES + c[at[~right] + 1])
-                codes.append(w[at[left]] * span + 2 * CLASSES)
-                held += 2 * len(at)
-                if len(ids) > HELD or held > 4_000_000:
-                    yield out(ids, codes)
-                    ids, codes, held = {}, [], 0
-        yield out(ids, codes)
+        numbers, codes, held = Numbers(core, of_core, cls[words:-1]), [], 0
+        for row in _runs(batches):
+            w = numbers.all_of(row)
+            c = numbers.kind[w]
+            at = np.flatnonzero(w >= numbers.fixed)
+            left, right = w[at - 1] == w[at], w[at + 1] == w[at]
+            codes += [w[at[~left]] * span + c[at[~left] - 1], w[at[~right]] * span + CLASSES + c[at[~right] + 1], w[at[left]] * span + 2 * CLASSES]
+            held += 2 * len(at)
+            if len(numbers) > HELD or held > 4_000_000:
+                yield out(numbers, codes)
+                numbers, codes, held = Numbers(core, of_core, cls[words:-1]), [], 0
+        yield out(numbers, codes)
 
     return run
 
@@ -248,15 +312,25 @@ def best_classes(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.nda
     for table, mine, other in ((n.T, right, left), (n, left, right)):
         # counts with the word taken out; only where it has a neighbour do they change
         w, d = np.nonzero(mine)
-        base = table[d].astype(np.float64)
-        base[np.arange(len(w)), own[w]] -= mine[w, d]
+        if not len(w):
+            continue
+        table = table.astype(np.float64)
+        many = mine[w, d]
+        more = np.empty((len(w), len(n)))
+        for m in range(1, 17):
+            met = many == m
+            more[met] = (f(table + m) - f(table))[d[met]]
+        met = many > 16
+        more[met] = f(table[d[met]] + many[met][:, None]) - f(table[d[met]])
+        # in its own class, the word's counts are part of the table
+        base = table[d, own[w]] - many
+        more[np.arange(len(w)), own[w]] = f(base + many) - f(base)
         self = np.flatnonzero(d == own[w])
-        base[self] -= other[w[self]]
-        base[self, own[w[self]]] -= beside[w[self]]
-        more = f(base + mine[w, d][:, None]) - f(base)
-        if len(w):
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            gain[w[first]] += np.add.reduceat(more, first, axis=0)
+        base = table[d[self]] - other[w[self]]
+        base[np.arange(len(self)), own[w[self]]] -= many[self] + beside[w[self]]
+        more[self] = f(base + many[self][:, None]) - f(base)
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        gain[w[first]] += np.add.reduceat(more, first, axis=0)
     same = np.repeat(np.diag(n).astype(np.float64)[None], k, axis=0)
     same[rows, own] -= left[rows, own] + right[rows, own] + beside
     gain += f(same + left + right + beside[:, None]) - f(same + left) - f(same + right) + f(same)
@@ -270,20 +344,17 @@ def best_classes(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.nda
     return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
 
 
-def _assign(n: np.ndarray, cls: np.ndarray):
+def _assign(n: np.ndarray, of_ending: np.ndarray):
+    """Sorted sparse rows of words: the count of each word and the class that its neighbours give it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                words, lists = batch.column("word"), batch.column("beside")
-                flat = lists.flatten()
-                seen = np.zeros((len(batch), 2 * CLASSES + 1))
-                sizes = np.diff(lists.offsets.to_numpy())
-                seen[np.repeat(np.arange(len(batch)), sizes), flat.field("place").to_numpy()] = flat.field("n").to_numpy()
-                left, right, self = seen[:, :CLASSES], seen[:, CLASSES:-1], seen[:, -1]
-                own = cls[[ending(w) for w in words.to_pylist()]]
-                total = (left.sum(axis=1) + self).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(best_classes(n, own, left, right, self), pa.int64())], names=["word", "n", "cls"])
+        for words, group, place, k in _merged(batches, 2 * CLASSES + 1):
+            seen = np.zeros((len(words), 2 * CLASSES + 1))
+            seen[group, place] = k
+            left, right, self = seen[:, :CLASSES], seen[:, CLASSES:-1], seen[:, -1]
+            own = of_ending[[ending(w) for w in words.to_pylist()]]
+            total = (left.sum(axis=1) + self).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(best_classes(n, own, left, right, self), pa.int64())], names=["word", "n", "cls"])
 
     return run
 
@@ -294,7 +365,7 @@ def _code(model: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model["value"].value
-        index, cls = {w: i for i, w in enumerate(m["words"])}, m["cls"]
+        index, of_ending = {w: i for i, w in enumerate(m["words"])}, m["of_ending"]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
@@ -304,7 +375,7 @@ def _code(model: dict):
                 rare: dict[bytes, int] = {}
                 for i in np.flatnonzero(at < 0).tolist():
                     at[i] = -1 - rare.setdefault(words[i], len(rare))
-                out.append((row, id_, held_out, at, list(rare), [int(cls[ending(w)]) for w in rare]))
+                out.append((row, id_, held_out, at, list(rare), [int(of_ending[ending(w)]) for w in rare]))
                 row += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -368,9 +439,11 @@ def _score(step: np.ndarray, room: np.ndarray, all_room: float, docs: int):
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Fit on the rows where ``train`` holds and score every whole text.
 
+    The ``words`` most frequent words are clustered by exchange, the others by their neighbours.
+
     Returns ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.  A null text
     is empty: one token, its end.  A null ``train`` counts as true.  Rows that share an id
     are scored each on its own.  Without training rows every word is unknown and the base
@@ -392,41 +465,41 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         least, taken = s, taken + k
     frequent = [] if least is None else [(bytes(w), n) for w, n in vocab.where(step >= least).collect()]
     frequent.sort(key=lambda x: (-x[1], x[0]))
-    own = {w: i for i, (w, _) in enumerate(frequent[:WORDS])}
-
-    size = WORDS + ENDINGS + 1
-    parts = fitted.mapInArrow(_pair_counts(own), "a long, b binary, n binary")
-    sums = parts.repartition("a").sortWithinPartitions("a").mapInArrow(_add_rows, "a long, b binary, n binary")
-    pairs = np.zeros((size, size), dtype=np.int64)
-    for a, b, n in sums.toLocalIterator():
-        pairs[a, np.frombuffer(b, "<i4")] = np.frombuffer(n, "<i8")
-    cls = exchange(pairs)
-    hot = np.zeros((size, CLASSES))
-    hot[np.arange(size), cls] = 1
-    beside = fitted.mapInArrow(_contexts(own, cls), "word binary, place long, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
-    beside = beside.groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("beside"))
-    others = cut(beside.mapInArrow(_assign(hot.T @ pairs @ hot, cls), "word binary, n long, cls long"), "classes")
+    core = {w: i for i, (w, _) in enumerate(frequent[:words])}
+
+    size = words + ENDINGS + 1
+    sparse = "row long, entries binary"
+    sums = fitted.mapInArrow(_pair_counts(core, words), sparse).repartition("row").sortWithinPartitions("row").mapInArrow(_add_rows(size), sparse)
+    met = [(row, np.frombuffer(e, _ENTRY)) for row, e in sums.toLocalIterator()]
+    entries = np.concatenate([np.zeros(0, dtype=_ENTRY), *(e for _, e in met)])
+    pairs = np.repeat([row for row, _ in met], [len(e) for _, e in met]).astype(np.int64), entries["place"].astype(np.int64), entries["n"].astype(np.int64)
+    del met, entries
+    cls = exchange(pairs, size)
+    between = np.bincount(cls[pairs[0]] * CLASSES + cls[pairs[1]], pairs[2], CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    of_ending = cls[words:-1]
+    beside = fitted.mapInArrow(_contexts(core, cls, words), "word binary, entries binary").repartition("word").sortWithinPartitions("word")
+    others = cut(beside.mapInArrow(_assign(between, of_ending), "word binary, n long, cls long"), "classes")
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, n, k in others.groupBy("cls").agg(F.sum("n"), F.count("*")).collect():
         tokens[c] += n
         distinct[c] += k
-    for w, n in frequent[:WORDS]:
-        tokens[cls[own[w]]] += n
-        distinct[cls[own[w]]] += 1
+    for i, (_, n) in enumerate(frequent[:words]):
+        tokens[cls[i]] += n
+        distinct[cls[i]] += 1
     n_tokens = int(tokens.sum()) + n_docs
     n_distinct = int(distinct.sum()) + (n_docs > 0)
     found = {} if least is None else {bytes(w): c for w, c in others.where(step >= least).select("word", "cls").collect()}
     model = {
         "words": [w for w, _ in frequent],
-        "word_cls": np.array([cls[i] if i < WORDS else found[w] for i, (w, _) in enumerate(frequent)], dtype=np.uint8),
+        "word_cls": np.array([cls[i] if i < words else found[w] for i, (w, _) in enumerate(frequent)], dtype=np.uint8),
         "logs": np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 0.5),
-        "cls": cls,
+        "of_ending": of_ending,
     }
     shared = {"value": spark.sparkContext.broadcast(model)}
     coded = cut(rows.mapInArrow(_code(shared), "row long, id long, held_out boolean, codes array<int>, words array<binary>, guess array<int>"), "coded")
     rare = coded.select("row", F.posexplode("words").alias("k", "word"))
     seen = others if least is None else others.where(step < least)
-    met = rare.join(seen.hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("met"))
+    met = rare.join(seen, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("met"))
     known = coded.drop("words").join(met, "row", "left").select("id", "held_out", "codes", "guess", "met")
     known = cut(known.mapInArrow(_resolve(shared), "id long, held_out boolean, n_known long, emitted double, classes binary"), "resolved")
     between = np.zeros(CLASSES * CLASSES)

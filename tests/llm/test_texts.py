@@ -189,11 +189,107 @@ def test_best_classes_have_the_highest_likelihood():
 def test_other_words_have_the_class_of_their_neighbours(spark, monkeypatch):
     """Words that end alike but stand where different frequent words do are told apart."""
     monkeypatch.setattr(lm, "LOOKUP", 700)
+    ending = lm.ending(b"x5end")
+    assert ending == lm.ending(b"y7end")
     texts = [" ".join(f"f{i + k}" for k in range(20)) for i in range(0, 600, 20)] * 5 + ["aa xx bb cc yy dd"] * 400
     for i in range(0, 600, 4):
         texts += [" ".join(f"aa x{j}end bb cc y{j}end dd" for j in range(i, i + 4))] * 3
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "aa x5end bb"), (1001, "aa y5end bb")]
-    out = {r["id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    out = {r["id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, words=512).collect()}
     like, unlike = out[1000], out[1001]
     assert like["n_known"] == unlike["n_known"] == 4
     assert (like["score"] - like["base_score"]) - (unlike["score"] - unlike["base_score"]) > 2
+
+
+def plain_scores(rows, held_out, core_words):
+    """Scores by loops over words: clustering of the core, the best class of every other word, smoothing."""
+    fitted = [lm.words_of((t or "").encode()) for i, t in rows if i not in held_out]
+    counts = {}
+    for words in fitted:
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    core = sorted(counts, key=lambda w: (-counts[w], w))[:core_words]
+    number = {w: i for i, w in enumerate(core)}
+    size = core_words + lm.ENDINGS + 1
+    kind = lambda w: number.get(w, core_words + lm.ending(w))
+    pairs = np.zeros((size, size))
+    for words in fitted:
+        types = [size - 1, *map(kind, words), size - 1]
+        for a, b in zip(types, types[1:]):
+            pairs[a, b] += 1
+    first = lm.exchange(pairs)
+    hot = np.eye(lm.CLASSES)[first]
+    bigrams = hot.T @ pairs @ hot
+    cls = {w: int(first[kind(w)]) for w in core}
+    guess = {w: int(first[kind(w)]) for w in counts}
+    at = {w: [] for w in counts}
+    for words in fitted:
+        ends = [None, *words, None]
+        for i in range(1, len(ends) - 1):
+            at[ends[i]].append((ends[i - 1], ends[i + 1]))
+
+    def value(n):
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(n) - f(n.sum(axis=0)) - f(n.sum(axis=1))
+
+    of = lambda w: 0 if w is None else guess[w]
+    for w in counts:
+        if w in cls:
+            continue
+        bare = bigrams.copy()
+        moves = []
+        for before, after in at[w]:
+            bare[of(before), guess[w]] -= before != w
+            bare[guess[w], of(after)] -= after != w
+            bare[guess[w], guess[w]] -= before == w
+            moves.append((before, after))
+
+        def placed(c):
+            n = bare.copy()
+            for before, after in moves:
+                n[of(before), c] += before != w
+                n[c, of(after)] += after != w
+                n[c, c] += before == w
+            return value(n)
+
+        gains = [-np.inf] + [placed(c) for c in range(1, lm.CLASSES)]
+        best = int(np.argmax(gains))
+        cls[w] = best if gains[best] > gains[guess[w]] + 1e-7 else guess[w]
+    tokens, distinct, between = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES), np.zeros((lm.CLASSES, lm.CLASSES))
+    for w, n in counts.items():
+        tokens[cls[w]] += n
+        distinct[cls[w]] += 1
+    path = lambda words: [0, *(cls.get(w, int(first[core_words + lm.ending(w)])) for w in words), 0]
+    for words in fitted:
+        c = path(words)
+        for a, b in zip(c, c[1:]):
+            between[a, b] += 1
+    prior = (between.sum(axis=0) + 1) / (between.sum() + lm.CLASSES)
+    out = {}
+    for i, t in rows:
+        words = lm.words_of((t or "").encode())
+        c = path(words)
+        total = sum(np.log10((between[a, b] + lm.PRIOR * prior[b]) / (between[a].sum() + lm.PRIOR)) for a, b in zip(c, c[1:]))
+        total += sum(np.log10((counts.get(w, 0) + 0.5) / (tokens[x] + 0.5 * (distinct[x] + 1))) for w, x in zip(words, c[1:]))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("lookup", [200_000, 40])
+def test_scores_equal_a_plain_version(spark, monkeypatch, lookup):
+    """Also where most words are beyond the lookup table and meet the documents in a join."""
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    rng = np.random.default_rng(11)
+    kinds = [[f"{c}{i}{e}" for i in range(25) for e in ("ing", "é")] for c in "abcd"]
+    rows = []
+    for i in range(80):
+        words = [kinds[(i + k) % 4][min(int(rng.exponential(8)), 49)] for k in range(int(rng.integers(0, 40)))]
+        words = [w for w in words for _ in range(1 + (rng.random() < 0.1))]
+        rows.append((i, " ".join(words)))
+    rows += [(80, None), (81, "never seen"), (82, "a0ing zzz a0ing")]
+    held_out = {i for i, _ in rows if i % 5 == 1}
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 1, words=30).collect()
+    want = plain_scores(rows, held_out, 30)
+    assert {r["id"] for r in out if r["held_out"]} == held_out
+    for r in out:
+        assert abs(r["score"] - want[r["id"]]) < 1e-9 * max(1, abs(want[r["id"]]))
