@@ -17,9 +17,9 @@ all other words meet the documents in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,10 @@ PRIOR = 10.0
 HELD = 200_000
 PAIRS = 1_000_000
 RUN = 100_000
+#: Counts below this have their gains in tables.
+SMALL = 17
 
-_TAIL = b".,;:!?&%$#*)\"'|"
+_TAIL = ".,;:!?&%$#*)\"'|"
 _HALF = float(np.log10(0.5))
 _ENTRY = np.dtype([("place", "<i4"), ("n", "<i8")])
 
@@ -55,10 +57,16 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def ending(word: bytes) -> int:
-    """A number below ``ENDINGS`` for the last letters of a word."""
-    bare = word.rstrip(_TAIL)
-    return zlib.crc32((bare or word).decode("utf-8", "replace")[-3:].encode()) % ENDINGS
+def endings(words: list[bytes]) -> np.ndarray:
+    """A number below ``ENDINGS`` for the last three letters of each word, punctuation aside."""
+    try:
+        whole = pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        whole = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+    bare = pc.utf8_rtrim(whole, characters=_TAIL)
+    last = pc.utf8_slice_codeunits(pc.if_else(pc.equal(bare, ""), whole, bare), -3).dictionary_encode()
+    numbers = np.array([zlib.crc32(x.encode()) % ENDINGS for x in last.dictionary.to_pylist()], dtype=np.int64)
+    return numbers[last.indices.to_numpy()]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -89,27 +97,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(counts)
 
 
-class Numbers(dict):
+class Numbers:
     """Numbers of words: the end is 0, core words come next, others are numbered as met.
 
-    ``kind`` holds for each number what ``of_ending`` or ``of_core`` say of the word.
+    ``kind`` holds for each number what ``of_core`` or ``of_ending`` say of the word.
     """
 
     def __init__(self, core: dict[bytes, int], of_core: np.ndarray, of_ending: np.ndarray):
-        super().__init__({b"": 0} | {w: i + 1 for w, i in core.items()})
-        self.fixed, self.of_ending = len(self), of_ending
-        self.kind = np.zeros(2 * self.fixed + HELD, dtype=np.int64)
-        self.kind[: self.fixed] = of_core[: self.fixed]
+        self.number: defaultdict[bytes, int] = defaultdict(count(len(core) + 1).__next__, {b"": 0} | {w: i + 1 for w, i in core.items()})
+        self.fixed, self.of_ending = len(self.number), of_ending
+        self.kind = of_core[: self.fixed].astype(np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        if i == len(self.kind):
-            self.kind = np.resize(self.kind, 2 * i)
-        self.kind[i] = self.of_ending[ending(word)]
-        return i
+    def __len__(self) -> int:
+        return len(self.number)
 
-    def all_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+    def all_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and kinds of words."""
+        at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        new = list(islice(self.number, len(self.kind), None))
+        if new:
+            self.kind = np.r_[self.kind, self.of_ending[endings(new)]]
+        return at, self.kind[at]
 
 
 def _sums(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,30 +139,32 @@ def _sparse_rows(code: np.ndarray, n: np.ndarray, span: int) -> tuple[np.ndarray
 
 
 def _pair_counts(core: dict[bytes, int], words: int):
-    """Counts of neighbouring types: sparse rows, one for each type whenever enough are held."""
+    """Counts of neighbouring types: one sparse row for each type and task."""
     size = words + ENDINGS + 1
     of_core = np.arange(-1, len(core))
     of_core[0] = size - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        total, codes, held = np.zeros(size * size, dtype=np.int32), [], 0
         numbers = Numbers(core, of_core, words + np.arange(ENDINGS))
-
-        def out() -> pa.RecordBatch:
-            rows, entries = _sparse_rows(code, n, size)
-            return pa.RecordBatch.from_arrays([pa.array(rows), entries], names=["row", "entries"])
-
-        for held in _runs(batches):
-            at = numbers.all_of(held)
-            types = numbers.kind[at]
-            more, k = _sums(types[:-1] * size + types[1:])
-            code, n = _sums(np.r_[code, more], np.r_[n, k])
+        for row in _runs(batches):
+            types = numbers.all_of(row)[1].astype(np.int32)
+            codes.append(types[:-1] * np.int32(size) + types[1:])
+            held += len(row)
+            if held > PAIRS:
+                code, n = _sums(np.concatenate(codes))
+                total[code] += n.astype(np.int32)
+                codes, held = [], 0
             if len(numbers) > HELD:
                 numbers = Numbers(core, of_core, words + np.arange(ENDINGS))
-            if len(code) > PAIRS:
-                yield out()
-                code, n = code[:0], n[:0]
-        yield out()
+        if codes:
+            code, n = _sums(np.concatenate(codes))
+            total[code] += n.astype(np.int32)
+        for start in range(0, size * size, 256 * size):
+            part = total[start : start + 256 * size]
+            code = np.flatnonzero(part)
+            rows, entries = _sparse_rows(code, part[code], size)
+            yield pa.RecordBatch.from_arrays([pa.array(rows + start // size), entries], names=["row", "entries"])
 
     return run
 
@@ -201,28 +211,29 @@ def _add_rows(size: int):
 def exchange(pairs: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], size: int = 0, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """A class for each type; the last type, the end of a text, is alone in class 0.
 
-    ``pairs`` is a matrix or, of ``size`` types, its entries: rows, columns, counts.
+    ``pairs`` is a matrix or, of ``size`` types, its entries: rows (ascending), columns, counts.
     Starts with types dealt by frequency, then moves each type, the most frequent first, to
     the class of largest class-bigram likelihood, until a sweep moves none.
     """
     if isinstance(pairs, np.ndarray):
         a, b = np.nonzero(pairs)
-        size, pairs = len(pairs), (a, b, pairs[a, b])
-    a, b, c = pairs
-    c = c.astype(np.float64)
-    count = np.bincount(a, c, size) + np.bincount(b, c, size)
+        size, pairs = len(pairs), (a, b, pairs[a, b].astype(np.float64))
+    a, right, right_n = pairs
+    weight = np.bincount(a, right_n, size) + np.bincount(right, right_n, size)
     self = np.zeros(size)
-    self[a[a == b]] = c[a == b]
-    to, back = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    to_at, back_at = np.searchsorted(a[to], np.arange(size + 1)), np.searchsorted(b[back], np.arange(size + 1))
-    right, right_n, left, left_n = b[to], c[to], a[back], c[back]
-    order = np.argsort(-count[:-1], kind="stable")
+    self[a[a == right]] = right_n[a == right]
+    back = np.argsort(right, kind="stable")
+    left, left_n = a[back], right_n[back]
+    del back
+    to_at = np.searchsorted(a, np.arange(size + 1))
+    back_at = np.r_[0, np.cumsum(np.bincount(right, minlength=size))]
+    order = np.argsort(-weight[:-1], kind="stable")
     cls = np.ones(size, dtype=np.int64)
     cls[order] = 1 + np.arange(size - 1) % (classes - 1)
     cls[-1] = 0
-    out = np.bincount(a * classes + cls[b], c, size * classes).reshape(size, classes)
-    into = np.bincount(b * classes + cls[a], c, size * classes).reshape(size, classes)
-    n = np.bincount(cls[a] * classes + cls[b], c, classes * classes).reshape(classes, classes)
+    out = np.bincount(a * classes + cls[right], right_n, size * classes).reshape(size, classes)
+    into = np.bincount(right * classes + cls[a], right_n, size * classes).reshape(size, classes)
+    n = np.eye(classes)[cls].T @ out
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1.0))
@@ -231,7 +242,7 @@ def exchange(pairs: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], size
     for _ in range(sweeps):
         moved = 0
         for w in order:
-            if not count[w]:
+            if not weight[w]:
                 break
             a, s = cls[w], self[w]
             r, q = out[w].copy(), into[w].copy()
@@ -278,18 +289,17 @@ def _contexts(core: dict[bytes, int], cls: np.ndarray, words: int):
 
     def out(numbers: Numbers, codes: list[np.ndarray]) -> pa.RecordBatch:
         rows, entries = _sparse_rows(*_sums(np.concatenate([np.zeros(0, dtype=np.int64), *codes])), span)
-        return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()).take(pa.array(rows)), entries], names=["word", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(numbers.number, pa.binary()).take(pa.array(rows)), entries], names=["word", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, codes, held = Numbers(core, of_core, cls[words:-1]), [], 0
         for row in _runs(batches):
-            w = numbers.all_of(row)
-            c = numbers.kind[w]
+            w, c = numbers.all_of(row)
             at = np.flatnonzero(w >= numbers.fixed)
             left, right = w[at - 1] == w[at], w[at + 1] == w[at]
             codes += [w[at[~left]] * span + c[at[~left] - 1], w[at[~right]] * span + CLASSES + c[at[~right] + 1], w[at[left]] * span + 2 * CLASSES]
             held += 2 * len(at)
-            if len(numbers) > HELD or held > 4_000_000:
+            if len(numbers) > HELD or held > 2_000_000:
                 yield out(numbers, codes)
                 numbers, codes, held = Numbers(core, of_core, cls[words:-1]), [], 0
         yield out(numbers, codes)
@@ -297,88 +307,128 @@ def _contexts(core: dict[bytes, int], cls: np.ndarray, words: int):
     return run
 
 
-def best_classes(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, beside: np.ndarray) -> np.ndarray:
-    """The class of largest exchange gain of each word, the others staying where they are.
-
-    ``n`` counts class bigrams, with the words in their classes ``own``; ``left`` and
-    ``right`` count the classes beside a word (a row each), ``beside`` the word beside itself.
-    """
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+class Classes:
+    """Class bigrams ``n``, and what small counts more would gain in each of their cells."""
+
+    def __init__(self, n: np.ndarray):
+        self.n = n.astype(np.float64)
+        self.sides = [(table, *self._small(table)) for table in (self.n.T.copy(), self.n, self.n.sum(axis=1), self.n.sum(axis=0))]
+
+    @staticmethod
+    def _small(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base = _f(table)
+        return base, np.stack([_f(table + m) - base for m in range(SMALL)])
+
+    def best(self, own: np.ndarray, left: np.ndarray, right: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        """The class of largest exchange gain of each word, the others staying where they are.
+
+        The bigrams hold the words in their classes ``own``; ``left`` and ``right`` count the
+        classes beside a word (a row each), ``beside`` the word beside itself.
+        """
+        k, rows = len(own), np.arange(len(own))
+        gain = np.zeros((k, len(self.n)))
+        for (table, base, small), mine, other in zip(self.sides, (right, left), (left, right), strict=False):
+            # the word's counts are part of the table only in its own class or beside that
+            w, d = np.nonzero(mine)
+            if not len(w):
+                continue
+            many = mine[w, d].astype(np.int64)
+            more = small[np.minimum(many, SMALL - 1), d]
+            far = np.flatnonzero(many >= SMALL)
+            more[far] = _f(table[d[far]] + many[far][:, None]) - base[d[far]]
+            less = table[d, own[w]] - many
+            more[np.arange(len(w)), own[w]] = base[d, own[w]] - _f(less)
+            self_ = np.flatnonzero(d == own[w])
+            less = table[d[self_]] - other[w[self_]]
+            less[np.arange(len(self_)), own[w[self_]]] -= many[self_] + beside[w[self_]]
+            more[self_] = _f(less + many[self_][:, None]) - _f(less)
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[first]] += np.add.reduceat(more, first, axis=0)
+        # the diagonal gains more than its row and column only where a class is on both sides
+        both = np.flatnonzero((beside > 0) | ((left > 0) & (right > 0)).any(axis=1))
+        l, r, s, at = left[both], right[both], beside[both][:, None], np.arange(len(both))  # noqa: E741
+        same = np.repeat(np.diag(self.n)[None], len(both), axis=0)
+        same[at, own[both]] -= l[at, own[both]] + r[at, own[both]] + s[:, 0]
+        gain[both] += _f(same + l + r + s) - _f(same + l) - _f(same + r) + _f(same)
+        for (total, base, small), mine in zip(self.sides[2:], (right, left), strict=True):
+            weight = (mine.sum(axis=1) + beside).astype(np.int64)
+            more = small[np.minimum(weight, SMALL - 1)]
+            far = np.flatnonzero(weight >= SMALL)
+            more[far] = _f(total + weight[far][:, None]) - base
+            more[rows, own] = base[own] - _f(total[own] - weight)
+            gain -= more
+        gain[:, 0] = -np.inf
+        best = gain.argmax(axis=1)
+        return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
 
-    k, rows = len(own), np.arange(len(own))
-    gain = np.zeros((k, len(n)))
-    for table, mine, other in ((n.T, right, left), (n, left, right)):
-        # counts with the word taken out; only where it has a neighbour do they change
-        w, d = np.nonzero(mine)
-        if not len(w):
-            continue
-        table = table.astype(np.float64)
-        many = mine[w, d]
-        more = np.empty((len(w), len(n)))
-        for m in range(1, 17):
-            met = many == m
-            more[met] = (f(table + m) - f(table))[d[met]]
-        met = many > 16
-        more[met] = f(table[d[met]] + many[met][:, None]) - f(table[d[met]])
-        # in its own class, the word's counts are part of the table
-        base = table[d, own[w]] - many
-        more[np.arange(len(w)), own[w]] = f(base + many) - f(base)
-        self = np.flatnonzero(d == own[w])
-        base = table[d[self]] - other[w[self]]
-        base[np.arange(len(self)), own[w[self]]] -= many[self] + beside[w[self]]
-        more[self] = f(base + many[self][:, None]) - f(base)
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        gain[w[first]] += np.add.reduceat(more, first, axis=0)
-    same = np.repeat(np.diag(n).astype(np.float64)[None], k, axis=0)
-    same[rows, own] -= left[rows, own] + right[rows, own] + beside
-    gain += f(same + left + right + beside[:, None]) - f(same + left) - f(same + right) + f(same)
-    for total, mine in ((n.sum(axis=1), right), (n.sum(axis=0), left)):
-        weight = mine.sum(axis=1) + beside
-        rest = np.repeat(total.astype(np.float64)[None], k, axis=0)
-        rest[rows, own] -= weight
-        gain -= f(rest + weight[:, None]) - f(rest)
-    gain[:, 0] = -np.inf
-    best = gain.argmax(axis=1)
-    return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
+def best_classes(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """``Classes.best`` for class bigrams ``n``."""
+    return Classes(n).best(own, left, right, beside)
 
 
 def _assign(n: np.ndarray, of_ending: np.ndarray):
-    """Sorted sparse rows of words: the count of each word and the class that its neighbours give it."""
+    """Sorted sparse rows of words: the count of each word and the class that its neighbours give it.
+
+    Words met once differ only in their own class and those beside them, so the class of each such
+    triple is found once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, met_once = Classes(n), np.full((CLASSES,) * 3, -1, dtype=np.int64)
         for words, group, place, k in _merged(batches, 2 * CLASSES + 1):
             seen = np.zeros((len(words), 2 * CLASSES + 1))
             seen[group, place] = k
             left, right, self = seen[:, :CLASSES], seen[:, CLASSES:-1], seen[:, -1]
-            own = of_ending[[ending(w) for w in words.to_pylist()]]
+            own = of_ending[endings(words.to_pylist())]
             total = (left.sum(axis=1) + self).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(best_classes(n, own, left, right, self), pa.int64())], names=["word", "n", "cls"])
+            out = np.empty(len(words), dtype=np.int64)
+            one = np.flatnonzero(total == 1)
+            triple = own[one], left[one].argmax(axis=1), right[one].argmax(axis=1)
+            new = one[np.unique(np.ravel_multi_index(triple, met_once.shape), return_index=True)[1]]
+            new = new[met_once[own[new], left[new].argmax(axis=1), right[new].argmax(axis=1)] < 0]
+            for rows in (new, np.flatnonzero(total > 1)):
+                out[rows] = classes.best(own[rows], left[rows], right[rows], self[rows])
+            met_once[own[new], left[new].argmax(axis=1), right[new].argmax(axis=1)] = out[new]
+            out[one] = met_once[triple]
+            yield pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(out)], names=["word", "n", "cls"])
 
     return run
 
 
 def _code(model: dict):
     """Words of each text as places in the list of frequent words, or -1, -2, ... for its other words."""
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("guess", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model["value"].value
         index, of_ending = {w: i for i, w in enumerate(m["words"])}, m["of_ending"]
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out: list[tuple] = []
-            for id_, text, held_out in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
-                rare: dict[bytes, int] = {}
-                for i in np.flatnonzero(at < 0).tolist():
-                    at[i] = -1 - rare.setdefault(words[i], len(rare))
-                out.append((row, id_, held_out, at, list(rare), [int(of_ending[ending(w)]) for w in rare]))
-                row += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                codes, others, ends = [], [], [0]
+                for text in batch.column("text"):
+                    words = words_of(text.as_py())
+                    at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                    rare: defaultdict[bytes, int] = defaultdict(count().__next__)
+                    left = np.flatnonzero(at < 0)
+                    at[left] = -1 - np.fromiter(map(rare.__getitem__, map(words.__getitem__, left.tolist())), dtype=np.int32, count=len(left))
+                    codes.append(at)
+                    others += rare
+                    ends.append(len(others))
+                at = pa.array(ends, pa.int32())
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in codes])].astype(np.int32))
+                columns = pa.array(np.concatenate(codes)), pa.array(others, pa.binary()), pa.array(of_ending[endings(others)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(e, x) for e, x in zip((ends, at, at), columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + np.arange(len(batch))), batch.column("id"), batch.column("held_out"), *lists],
+                    names=["row", "id", "held_out", "codes", "words", "guess"],
+                )
+                row += len(batch)
 
     return run
 
@@ -470,12 +520,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     size = words + ENDINGS + 1
     sparse = "row long, entries binary"
     sums = fitted.mapInArrow(_pair_counts(core, words), sparse).repartition("row").sortWithinPartitions("row").mapInArrow(_add_rows(size), sparse)
-    met = [(row, np.frombuffer(e, _ENTRY)) for row, e in sums.toLocalIterator()]
-    entries = np.concatenate([np.zeros(0, dtype=_ENTRY), *(e for _, e in met)])
-    pairs = np.repeat([row for row, _ in met], [len(e) for _, e in met]).astype(np.int64), entries["place"].astype(np.int64), entries["n"].astype(np.int64)
-    del met, entries
-    cls = exchange(pairs, size)
-    between = np.bincount(cls[pairs[0]] * CLASSES + cls[pairs[1]], pairs[2], CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    met = sorted((row, np.frombuffer(e, _ENTRY)) for row, e in sums.toLocalIterator())
+    a = np.repeat(np.array([row for row, _ in met], dtype=np.int32), [len(e) for _, e in met])
+    b = np.concatenate([np.zeros(0, dtype=np.int32), *(e["place"] for _, e in met)])
+    n = np.concatenate([np.zeros(0), *(e["n"] for _, e in met)])
+    del met
+    cls = exchange((a, b, n), size)
+    between = np.bincount(cls[a] * CLASSES + cls[b], n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    del a, b, n
     of_ending = cls[words:-1]
     beside = fitted.mapInArrow(_contexts(core, cls, words), "word binary, entries binary").repartition("word").sortWithinPartitions("word")
     others = cut(beside.mapInArrow(_assign(between, of_ending), "word binary, n long, cls long"), "classes")
