@@ -41,9 +41,9 @@ LOOKUP = 200_000
 #: Weight of the class prior in transitions.
 PRIOR = 10.0
 #: Words, distinct pairs of types, and words in a row that a task holds before they are passed on.
-HELD = 200_000
-PAIRS = 1_000_000
-RUN = 100_000
+HELD = 120_000
+PAIRS = 400_000
+RUN = 50_000
 #: Counts below this have their gains in tables.
 SMALL = 17
 
@@ -299,7 +299,7 @@ def _contexts(core: dict[bytes, int], cls: np.ndarray, words: int):
             left, right = w[at - 1] == w[at], w[at + 1] == w[at]
             codes += [w[at[~left]] * span + c[at[~left] - 1], w[at[~right]] * span + CLASSES + c[at[~right] + 1], w[at[left]] * span + 2 * CLASSES]
             held += 2 * len(at)
-            if len(numbers) > HELD or held > 2_000_000:
+            if len(numbers) > HELD or held > 1_000_000:
                 yield out(numbers, codes)
                 numbers, codes, held = Numbers(core, of_core, cls[words:-1]), [], 0
         yield out(numbers, codes)
