@@ -7,7 +7,9 @@ a pair with probability 0.004; at cosine 0.98 they miss it with less than 1e-13.
 vectors of 64 parts share a table's bucket about once in 10,000.
 
 Equal vectors are one row from the first step on.  A bucket of more than ``BLOCK`` rows is
-dealt into blocks, and a unit of work compares two blocks.  A pair that shares buckets in
+dealt into blocks, and a unit of work compares two blocks.  Rows first travel with 128 sign bits of
+random planes; only those with a partner within the bits that the threshold makes likely (6.3
+standard deviations) are given their vectors and compared exactly.  A pair that shares buckets in
 several tables counts in the first of them only, so link counts need no list of pairs; for
 components a unit emits a star for each component that it sees.
 """
@@ -28,6 +30,10 @@ TABLES = 64
 HASHES = 16
 WIDTH = 2.5
 BLOCK = 1024
+#: Sign bits of a sketch.
+BITS = 128
+#: Whole numbers of this fineness stand for parts of vectors and directions.
+SCALE = float(1 << 20)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -37,14 +43,18 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(u: np.ndarray, seed: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> np.ndarray:
-    """One key per row and table.  A row's keys don't depend on the rows beside it."""
+    """One key per row and table.  A row's keys don't depend on the rows beside it.
+
+    Vectors and directions are rounded to integers before they are multiplied, so sums are exact
+    in whatever order they are made.
+    """
     rng = np.random.default_rng([seed, u.shape[1]])
-    a = rng.standard_normal((u.shape[1], tables * hashes))
+    a = np.rint(rng.standard_normal((u.shape[1], tables * hashes)) * SCALE)
     b = rng.uniform(0, width, tables * hashes)
     out = np.empty((len(u), tables), dtype=np.uint64)
     for s in range(0, len(u), 512):
-        # einsum without BLAS sums every row in the same order, whatever the batch is
-        cell = np.floor((np.einsum("ij,jk->ik", u[s : s + 512], a) + b) / width).astype(np.int64).view(np.uint64).reshape(-1, tables, hashes)
+        dots = np.rint(u[s : s + 512] * SCALE) @ a / (SCALE * SCALE)
+        cell = np.floor((dots + b) / width).astype(np.int64).view(np.uint64).reshape(-1, tables, hashes)
         key = np.full((len(cell), tables), u.shape[1], dtype=np.uint64) + np.arange(tables, dtype=np.uint64)
         for j in range(hashes):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + cell[:, :, j])
@@ -52,19 +62,54 @@ def bucket_keys(u: np.ndarray, seed: int, tables: int = TABLES, hashes: int = HA
     return out
 
 
+def sketches(u: np.ndarray, seed: int) -> np.ndarray:
+    """Two words of sign bits per row: on which sides of ``BITS`` random planes it lies."""
+    a = np.random.default_rng([seed, u.shape[1], BITS]).standard_normal((u.shape[1], BITS))
+    return np.packbits(u @ a > 0, axis=1).view(np.int64)
+
+
+def most_bits(threshold: float) -> int:
+    """Differing bits of two sketches that a pair at the threshold exceeds in 6.3 standard deviations only."""
+    p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    return int(BITS * p + 6.3 * np.sqrt(BITS * p * (1 - p))) + 1
+
+
 def _hash(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             lens = np.diff(batch.column("vec").offsets.to_numpy())
-            keys = np.empty((batch.num_rows, TABLES), dtype=np.uint64)
+            keys, bits = np.empty((batch.num_rows, TABLES), dtype=np.uint64), np.empty((batch.num_rows, 2), dtype=np.int64)
             for d in np.unique(lens):
                 rows = np.flatnonzero(lens == d)
-                keys[rows] = bucket_keys(unit_rows(matrix(batch.column("vec").take(pa.array(rows)), len(rows))), seed)
+                u = unit_rows(matrix(batch.column("vec").take(pa.array(rows)), len(rows)))
+                keys[rows], bits[rows] = bucket_keys(u, seed), sketches(u, seed)
             at = np.arange(0, keys.size + 1, TABLES, dtype=np.int32)
             lists = pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "keys", "s0", "s1"])
+
+    return run
+
+
+def _sieve(most: int):
+    """Rows of units, sorted: those that have a partner whose sketch differs in few bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in grouped(batches, ["table", "key", "i", "j"]):
+            i, j, side = (rows[c].to_numpy() for c in ("i", "j", "side"))
+            s0, s1 = (rows[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
+            end = np.repeat(at[1:], np.diff(at))
+            near, step, one = np.zeros(rows.num_rows, dtype=bool), 1, np.arange(rows.num_rows)
+            while len(one := one[one + step < end[one]]):
+                two = one + step
+                bits = np.bitwise_count(s0[one] ^ s0[two]) + np.bitwise_count(s1[one] ^ s1[two])
+                hit = (bits <= most) & ((i[one] == j[one]) | (side[one] != side[two]))
+                near[one[hit]] = near[two[hit]] = True
+                step += 1
+            kept = np.flatnonzero(near)
+            if len(kept):
+                yield from rows.select(["table", "key", "i", "j", "side", "id"]).take(pa.array(kept)).combine_chunks().to_batches()
 
     return run
 
@@ -144,16 +189,20 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     one = usable.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     # two different vectors may share an id, so distinct vectors get numbers of their own
     one = cut(one.select("id", "weight", "vec", F.monotonically_increasing_id().alias("rep")), "vectors")
-    keyed = cut(one.select(F.col("rep").alias("id"), "vec").mapInArrow(_hash(seed), "id long, keys array<long>"), "buckets")
-    entries = keyed.select("id", F.posexplode("keys").alias("table", "key"))
-    sizes = entries.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    keyed = cut(one.select(F.col("rep").alias("id"), "vec").mapInArrow(_hash(seed), "id long, keys array<long>, s0 long, s1 long"), "buckets")
+    entries = keyed.select("id", "s0", "s1", F.posexplode("keys").alias("table", "key"))
+    large = cut(entries.groupBy("table", "key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large")
+    parts = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     side = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    units = entries.join(sizes, ["table", "key"]).withColumn("parts", parts).withColumn("side", side)
+    units = entries.join(large, ["table", "key"], "left").withColumn("parts", parts).withColumn("side", side)
     units = units.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    units = units.select("table", "key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id")
-    work = units.join(one.select(F.col("rep").alias("id"), "weight", "vec"), "id")
-    work = work.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j", "id")
+    unit = ["table", "key", "i", "j"]
+    units = units.select("table", "key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "s0", "s1")
+    units = units.repartition(*unit).sortWithinPartitions(*unit)
+    # vectors join only rows of a unit that have a likely partner there
+    likely = cut(units.mapInArrow(_sieve(most_bits(threshold)), "table int, key long, i int, j int, side int, id long"), "likely")
+    work = likely.join(one.select(F.col("rep").alias("id"), "weight", "vec"), "id")
+    work = work.repartition(*unit).sortWithinPartitions(*unit, "id")
     found = cut(work.mapInArrow(_compare(threshold, seed), "id long, other long, links long"), "links")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -71,3 +71,42 @@ def test_neighbours_against_all_distances(spark):
 
 def test_quantile():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def test_keys_don_t_depend_on_the_rows_beside():
+    from rasterloom.llm.vectors import bucket_keys, sketches, unit_rows
+
+    u = unit_rows(np.random.default_rng(3).standard_normal((700, 48)))
+    whole = bucket_keys(u, 7)
+    for rows in ([0], [5, 699], list(range(100, 163))):
+        assert (bucket_keys(u[rows], 7) == whole[rows]).all()
+    assert sketches(u, 7).shape == (700, 2)
+
+
+def test_no_link_of_a_sieved_pair_is_lost(spark):
+    """Pairs at cosines just above the threshold, many of them, against all cosines."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((150, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((150, 48))
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.93, 0.99, (150, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * away]).astype(np.float32).astype(np.float64)
+    got = {r["id"]: r["n_links"] for r in near_vectors(frame(spark, list(enumerate(x)))).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert [got[i] for i in range(300)] == want.tolist()
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a)]
+    got = sorted(((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame(spark, rows)).collect()), key=str)
+    assert {g[2] for g in got if g[0] in (1, 2, 3)} == {1}
+    assert [g for g in got if g[0] is None] == [(None, 0, None, False)]
+    from pyspark.sql import functions as F
+
+    out = nearest(frame(spark, [*rows, (3, b), (5, [0.9, 0.1, 0.0])]), F.col("vec_id") == 2, k=3).collect()
+    assert [r["id"] for r in sorted(out, key=lambda r: r["rank"])][:1] == [1]
+    assert all(r["id"] not in (None, 2) for r in out)
