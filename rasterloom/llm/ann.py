@@ -9,7 +9,7 @@ probability, and the search stops.
 A kd-tree over a sample of projections deals all vectors into cells.  A task takes a
 cell, builds a kd-tree of small leaves over its projections and visits leaves in the order
 of their distance to the query until the test holds.  Queries first search the cell they fall
-into; the bound found there decides, by the same test, which other cells they visit.
+into; the bound found there decides, by the same test and down the tree, which other cells they visit.
 Equal vectors are searched once, both as queries and as candidates.
 """
 
@@ -29,7 +29,7 @@ PROJECTED = 8
 CONFIDENCE = 0.97
 CELL_ROWS = 4096
 LEAF_ROWS = 64
-#: Cells at most, and sampled rows for each: they bound what the driver holds.
+#: Cells at most, and sampled rows for each: they bound what the driver holds (projections of 4 million rows, 134 MB).
 CELLS = 65_536
 SAMPLE_PER_CELL = 32
 #: A cell's queries come in this many groups, one in memory at a time.
@@ -168,19 +168,48 @@ def _search(m: int, k: int, factor: float):
     return run
 
 
-def _visit(low: np.ndarray, high: np.ndarray, cells: np.ndarray, factor: float):
+def boxes_by_level(low: np.ndarray, high: np.ndarray, cells: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Boxes of all nodes of the complete tree over the cells, from its root down; those of empty nodes are infinite."""
+    a, b = (np.full((1 << depth, low.shape[1]), x) for x in (np.inf, -np.inf))
+    a[cells], b[cells] = low, high
+    levels = [(a, b)]
+    while len(a) > 1:
+        a, b = np.minimum(a[::2], a[1::2]), np.maximum(b[::2], b[1::2])
+        levels.insert(0, (a, b))
+    return levels
+
+
+def _visit(levels: list[tuple[np.ndarray, np.ndarray]], factor: float):
+    """The cells, other than its own, that each query visits: down the tree, as far as boxes are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 32):
+                batch = whole.slice(start, 32)
+                n = batch.num_rows
+                p, home, bound = matrix(batch.column("p"), n), batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+                query, node = np.arange(n), np.zeros(n, dtype=np.int64)
+                for level, (low, high) in enumerate(levels):
+                    if level:
+                        query, node = np.repeat(query, 2), (2 * node[:, None] + np.arange(2)).reshape(-1)
+                    gap = np.maximum(low[node] - p[query], 0) + np.maximum(p[query] - high[node], 0)
+                    far = (gap * gap).sum(axis=1)
+                    near = np.isfinite(far) & (far <= factor * bound[query])
+                    query, node = query[near], node[near]
+                query, node = query[node != home[query]], node[node != home[query]]
+                part = batch.take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(node), part.column("vec"), part.column("p"), part.column("bound")], names=["id", "cell", "vec", "p", "bound"])
+
+    return run
+
+
+def _project(size: int, m: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = projection(size, m, seed)
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            p, home, bound = matrix(batch.column("p"), n), batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
-            for b in range(0, n, 64):
-                near = box_distance(p[b : b + 64], low, high) <= factor * bound[b : b + 64, None]
-                near &= cells[None] != home[b : b + 64, None]
-                i, j = np.nonzero(near)
-                part = batch.take(pa.array(i + b))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cells[j]), part.column("vec"), part.column("p"), part.column("bound")], names=["id", "cell", "vec", "p", "bound"])
+            if batch.num_rows:
+                p = (matrix(batch.column("vec"), batch.num_rows) @ a).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in p], pa.binary())], names=["p"])
 
     return run
 
@@ -226,15 +255,17 @@ def _nearest_of(reps: DataFrame, wanted: DataFrame, size: int, k: int, m: int, f
     cells = min(CELLS, max(1, -(-total // CELL_ROWS)))
     share = min(1.0, 2 * cells * SAMPLE_PER_CELL / total)
     a = projection(size, m, seed)
-    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec").collect() if cells > 1 else []
-    p = np.array([r[0] for r in drawn], dtype=np.float64).reshape(-1, size) @ a
+    p = np.zeros((0, m), dtype=np.float32)
+    if cells > 1:
+        drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec")
+        p = np.frombuffer(b"".join(drawn.mapInArrow(_project(size, m, seed), "p binary").toArrow().column("p").to_pylist()), dtype=np.float32).reshape(-1, m)
     nodes, depth = split(p, max(1, len(p) // cells), cells)
     field = reps.schema["vec"].dataType.simpleString()
     dealt = cut(reps.mapInArrow(_deal(size, m, seed, nodes, depth), f"rep long, vec {field}, cell long, p array<double>"), "cells")
     ends = [f(F.col("p")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(m)]
-    boxes = dealt.groupBy("cell").agg(*ends).orderBy("cell").collect()
+    boxes = dealt.groupBy("cell").agg(*ends).collect()
     where = np.array([b["cell"] for b in boxes], dtype=np.int64)
-    low, high = (np.array([[b[f"{name}{i}"] for i in range(m)] for b in boxes]) for name in ("low", "high"))
+    low, high = (np.array([[b[f"{name}{i}"] for i in range(m)] for b in boxes]).reshape(-1, m) for name in ("low", "high"))
 
     points = dealt.select("cell", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("rep").alias("id"), "vec", "p", F.lit(0.0).alias("bound"))
     asks = dealt.join(wanted, "rep", "left_semi").select(F.col("rep").alias("id"), "cell", "vec", "p")
@@ -250,5 +281,5 @@ def _nearest_of(reps: DataFrame, wanted: DataFrame, size: int, k: int, m: int, f
     kth = home.groupBy("query").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
     bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
     known = asks.join(kth.withColumnRenamed("query", "id"), "id").select("id", "cell", "vec", "p", bound.alias("bound"))
-    away = known.mapInArrow(_visit(low, high, where, factor), f"id long, cell long, vec {field}, p array<double>, bound double")
+    away = known.mapInArrow(_visit(boxes_by_level(low, high, where, depth), factor), f"id long, cell long, vec {field}, p array<double>, bound double")
     return home.unionByName(search(away))

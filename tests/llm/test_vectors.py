@@ -69,6 +69,42 @@ def test_neighbours_against_all_distances(spark):
     assert nearest(frame(spark, data[:3]), F.col("vec_id") == 0, k=10).count() == 2
 
 
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    """Recall where the kd-tree deals the vectors into several cells and queries visit more than their own."""
+    import rasterloom.llm.ann as m
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(m, "CELL_ROWS", 64)
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((40, 24)) * 2)[rng.integers(0, 40, 900)] + rng.standard_normal((900, 24))
+    out = nearest(frame(spark, list(enumerate(x.astype(np.float32)))), F.col("vec_id") % 20 == 0, k=10).collect()
+    hit = 0
+    for q in range(0, 900, 20):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        best = [i for i in np.argsort(d, kind="stable") if i != q][:10]
+        hit += len({r["id"] for r in out if r["query_id"] == q} & set(best))
+    assert len(out) == 450 and hit / 450 >= 0.9
+
+
+def test_tree_visits_the_cells_near_enough():
+    import pyarrow as pa
+
+    import rasterloom.llm.ann as m
+
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((500, 8))
+    nodes, depth = m.split(points, 16, 64)
+    cell = m.leaf_of(points, nodes, depth)
+    cells = np.unique(cell)
+    low, high = (np.array([f(points[cell == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    q, bound = rng.standard_normal((30, 8)), rng.uniform(0.1, 3, 30)
+    lists = pa.array(q.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([-1] * 30, pa.int64()), lists, lists, pa.array(bound)], names=["id", "cell", "vec", "p", "bound"])
+    found = {(i, c) for out in m._visit(m.boxes_by_level(low, high, cells, depth), 1.5)(iter([batch])) for i, c in zip(out.column("id").to_pylist(), out.column("cell").to_pylist())}
+    near = m.box_distance(q, low, high) <= 1.5 * bound[:, None]
+    assert found == {(i, cells[j]) for i, j in zip(*np.nonzero(near))}
+
+
 def test_quantile():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 
