@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import cut
+
 DIMENSIONS = 1024
 GRAM = 3
 #: Labelled documents of a language that its prototype is fitted on, at most (in expectation).
@@ -122,7 +124,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, key: Column, train_ro
     """
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(train_rows)) / F.col("n"))
+    # one row a language: Spark broadcasts it by its size
+    sample = rows.join(cut(counts, "languages"), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(train_rows)) / F.col("n"))
     parts = sample.select("lang", "text").mapInArrow(_sums(dimensions, gram), "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
@@ -171,7 +174,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **model) -> DataFrame:
     """Fit on the rows where ``train`` holds and predict every row.
 
-    Returns the columns ``id, lang_pred, score`` and ``held_out`` (not ``train``).
+    Returns the columns ``id, lang_pred, score`` and ``held_out`` (not ``train``).  A null
+    ``train`` counts as true for ``held_out`` but the row is not learned from, nor is one without a
+    language.  A null text or one without letters is ``und`` with score 0, and so is every text
+    if nothing was learned; texts of any length are read whole.  Ties go to the first language by
+    code point.  Repeated rows and rows that share an id are each predicted; an empty table gives
+    an empty one.  Other columns play no part.
     """
     prototypes = fit(docs.where(train), text_col, lang_col, F.col(f"`{id_col}`"), **model)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), (~F.coalesce(train, F.lit(True))).alias("held_out"))

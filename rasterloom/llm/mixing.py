@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WORD, cut
+from rasterloom.llm.common import WORD, column_names, cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -123,21 +123,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     between.  Rows that share an id and a source are told apart by size; equal ones
     are treated alike.
     """
-    p, n, k, kind, pos, cell = ("__taken", "__size", "__copy", "__source", "__position", "__turn")
     decided = plan(docs, id_col, text_col, source_col, schedules=schedules, **how).where("taken > 0")
     decided = cut(decided.groupBy("id", "source", "size").agg(*[F.max(c).alias(c) for c in ("taken", "lead", "turn", "source_size", "target")]), "plan")
     names = docs.columns
+    # columns of the plan get names that the documents don't have
+    free = dict(zip([*decided.columns, "words", "copy", "position"], column_names(docs, len(decided.columns) + 3), strict=True))
+    right = decided.withColumnsRenamed({c: free[c] for c in decided.columns})
+    c = {name: F.col(other) for name, other in free.items()}
     text = F.col(f"`{text_col}`")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumn(n, size)
-    right = decided.select(F.col("id").alias("__id"), F.col("source").alias(kind), F.col("size").alias("__s"), F.col("taken").alias(p), F.col("turn").alias(cell), "lead", "source_size", "target")
-    right = right.withColumnsRenamed({"lead": "__lead", "source_size": "__all", "target": "__target"})
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col(kind)) & (F.col(n) == F.col("__s"))
-    both = left.join(right, on)
-    both = both.withColumn(k, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(p) / F.col(n)) - 1).cast("int"))))
-    part = F.col(p) - F.col(k) * F.col(n)
+    left = docs.withColumn(free["words"], F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    both = left.join(right, F.col(f"`{id_col}`").eqNullSafe(c["id"]) & F.col(f"`{source_col}`").eqNullSafe(c["source"]) & (c["words"] == c["size"]))
+    both = both.withColumn(free["copy"], F.explode(F.sequence(F.lit(0), (F.ceil(c["taken"] / c["words"]) - 1).cast("int"))))
+    part = c["taken"] - c["copy"] * c["words"]
     cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, part.cast("int")), " ")
-    both = both.withColumn(text_col, F.when(part < F.col(n), cut_text).otherwise(text))
-    share = (F.col("__lead") + F.col(k) * F.col("__all")) / F.greatest(F.col("__target"), F.lit(1.0))
-    both = both.withColumn(pos, position(share, F.col(cell), schedules))
-    return both.orderBy(pos, cell, "__lead", k).select(*[F.col(f"`{c}`") for c in names])
+    both = both.withColumn(text_col, F.when(part < c["words"], cut_text).otherwise(text))
+    share = (c["lead"] + c["copy"] * c["source_size"]) / F.greatest(c["target"], F.lit(1.0))
+    both = both.withColumn(free["position"], position(share, c["turn"], schedules))
+    return both.orderBy(c["position"], c["turn"], c["lead"], c["copy"]).select(*[F.col(f"`{name}`") for name in names])

@@ -38,3 +38,32 @@ def test_short_texts_of_every_language_stay(spark):
     out = corpus_pipeline.language(spark, spark.createDataFrame(rows + short + foreign, "doc_id long, text string, lang string"), "").collect()
     assert {r["doc_id"] for r in out} == {r[0] for r in rows + short}
     assert all(r["lang"] for r in out)
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long, `__pred` int, score double, `__size` int, id int, kept boolean"
+
+
+def test_stages_of_odd_rows(spark):
+    """Null ids, long texts, ties, repeated rows, and columns named like those of the stages."""
+    prose = "the house stands near the river and has many windows of glass in every room"
+    rows = [(i, f"{prose} {i} {i * 3} {prose[i:]}", "en", "s") for i in range(20)]
+    rows += [(None, f"{prose} of nobody", "en", None), (None, f"{prose} of nobody", "en", None), (50, (f"{prose} again " * 3000).strip(), None, "s"), (51, "same words in both of these texts", "en", "s"), (52, "same words in both of these texts", "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1]), 1, 0.5, 2, 3, True) for r in rows], FIELDS)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = cut(stage(spark, docs, ""), f"odd-{name}")
+        assert ", ".join(docs.columns) == "doc_id, text, lang, source, n_chars, __pred, score, __size, id, kept"
+        assert {tuple(r)[5:] for r in docs.collect()} == {(1, 0.5, 2, 3, True)}
+        ids = [r["doc_id"] for r in docs.collect()]
+        if name == "language":
+            assert len(ids) == len(rows)
+        else:
+            assert 52 not in ids and {*range(20), 50, 51, None} <= set(ids)
+    pieces = corpus_pipeline.STAGES[3][1](spark, docs, "").collect()
+    assert {r["doc_id"] for r in pieces} == set(ids)
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0

@@ -109,6 +109,13 @@ def test_mix_reaches_targets(spark):
     assert mixing.plan(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"a b c{i}", "s", 7, 8, 9, 10) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __turn int, _t0 int, lead int")
+    out = mixing.mix(df).collect()
+    assert out and {tuple(r)[3:] for r in out} == {(7, 8, 9, 10)}
+
+
 def test_schedules_are_inverted(spark):
     """The schedule's integral up to a position gives the share again."""
     shares = [k / 20 for k in range(20)]
