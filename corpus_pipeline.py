@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import langid
-from rasterloom.llm.common import cut
+from rasterloom.llm.common import column_names, cut
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.mixing import mix
 from rasterloom.llm.packing import pack
@@ -25,28 +25,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters, and long ones unlike every learned language; fill in missing languages.
 
     A text has about as many trigrams as letters and blanks; with few, its cosine is small
-    even where its language is right, so short texts stay.
+    even where its language is right, so short texts stay.  Null texts go.  If no row has a
+    language, nothing is dropped.  Null ids and repeated rows are kept as they are; texts are
+    read whole; an empty table stays empty; other columns, whatever their names, are passed on.
     """
     names = docs.columns
+    pred, score = column_names(docs, 2)
     prototypes = langid.fit(docs, "text", "lang", F.xxhash64("doc_id", "text"))
-    seen = langid.predict(docs, prototypes, pred_col="__pred", score_col="__score")
+    seen = langid.predict(docs, prototypes, pred_col=pred, score_col=score)
     short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < LEAST_LETTERS
-    fine = (F.col("__pred") != "und") & ((F.col("__score") >= LEAST_COSINE) | short) if prototypes else F.lit(True)
-    return seen.where(fine).withColumn("lang", F.coalesce("lang", "__pred")).select(*names)
+    fine = (F.col(pred) != "und") & ((F.col(score) >= LEAST_COSINE) | short) if prototypes else F.lit(True)
+    return seen.where(fine).withColumn("lang", F.coalesce("lang", pred)).select(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Repeated rows are one document; documents without an id stay.
+    Texts of fewer than five words are copies only of equal ones; texts without words stay.
+    Rows of one id and text are one document; of rows that share an id but not the text
+    each text is kept or none.  Documents without an id stay.  Other columns are passed on.
     """
     kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source up to its target, copies included, in training order."""
+    """Take each source up to its target, copies included, in training order.
+
+    Documents without words are not taken.  ``n_chars`` is that of the text as taken.
+    """
     out = mix(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
