@@ -51,6 +51,20 @@ class Grid:
         n = spark.range(self.width * self.height)
         return n.select(F.expr(f"cast(id div {self.width} as int)").alias("y"), (F.col("id") % self.width).cast("int").alias("x"))
 
+    def shift(self, other: Grid) -> tuple[int, int] | None:
+        """Rows and columns from the other grid's first cell to this one's, if their cells coincide."""
+        if self.crs != other.crs or not math.isclose(self.dx, other.dx, rel_tol=1e-12) or not math.isclose(self.dy, other.dy, rel_tol=1e-12):
+            return None
+        down, right = (other.bounds[3] - self.bounds[3]) / other.dy, (self.bounds[0] - other.bounds[0]) / other.dx
+        at = round(down), round(right)
+        return at if abs(down - at[0]) < 1e-9 and abs(right - at[1]) < 1e-9 else None
+
+    def window(self, bounds: tuple[float, float, float, float], margin: int = 0) -> tuple[int, int, int, int]:
+        """First and last row and column of the cells that meet an extent, and ``margin`` more on each side."""
+        y = math.floor((self.bounds[3] - bounds[3]) / self.dy) - margin, math.ceil((self.bounds[3] - bounds[1]) / self.dy) - 1 + margin
+        x = math.floor((bounds[0] - self.bounds[0]) / self.dx) - margin, math.ceil((bounds[2] - self.bounds[0]) / self.dx) - 1 + margin
+        return *y, *x
+
     @classmethod
     def covering(cls, bounds: tuple[float, float, float, float], resolution: float, crs: int) -> Grid:
         """Cells of one resolution from the upper left corner on."""
@@ -77,20 +91,24 @@ class Cube:
     grid: Grid
     has_t: bool = True
     has_bands: bool = True
+    times: tuple[datetime, ...] | None = None  #: the timestamps in order, where they are known
 
     def with_df(self, df: DataFrame, bands: tuple[str, ...] | list[str] | None = None, **more) -> Cube:
-        return replace(self, df=df, bands=tuple(self.bands if bands is None else bands), **more)
+        """Other rows; their timestamps are unknown unless given."""
+        return replace(self, df=df, bands=tuple(self.bands if bands is None else bands), **{"times": None} | more)
 
     def select(self, columns: dict[str, Column], **more) -> Cube:
         """Keys and new bands, as one projection."""
         out = self.df.select(*KEYS, *[c.cast("double").alias(name) for name, c in columns.items()])
-        return self.with_df(out, list(columns), **more)
+        return self.with_df(out, list(columns), **{"times": self.times} | more)
 
     def band(self, name: str) -> Column:
         return F.col(f"`{name}`")
 
     def labels(self) -> list[datetime]:
-        """The timestamps in order; a job over one column."""
+        """The timestamps in order; a job over one column, unless they are known."""
+        if self.times is not None:
+            return list(self.times)
         return [r[0] for r in self.df.select("t").distinct().orderBy("t").collect()]
 
     def long(self) -> DataFrame:
@@ -104,7 +122,7 @@ class Cube:
             times = [r[0] for r in times.select("t").distinct().orderBy("t").collect()]
         labels = F.array(*[F.lit(t).cast("timestamp_ntz") for t in times]).cast("array<timestamp_ntz>")
         frame = self.grid.cells(spark).select(F.explode(labels).alias("t"), "y", "x")
-        return self.with_df(frame.join(self.df, list(KEYS), "left").select(*KEYS, *[self.band(b) for b in self.bands]))
+        return self.with_df(frame.join(self.df, list(KEYS), "left").select(*KEYS, *[self.band(b) for b in self.bands]), times=tuple(sorted(set(times))))
 
 
 def clean(value: Column) -> Column:

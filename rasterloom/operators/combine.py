@@ -31,8 +31,7 @@ def merge_cubes(cube1: Cube, cube2: Cube, overlap_resolver: Callable | None = No
         cube2 = resample_cube_spatial(cube2, cube1, "near")
     shared = [b for b in cube1.bands if b in cube2.bands]
     if shared and overlap_resolver is None:
-        both = cube1.df.select("t").distinct().join(cube2.df.select("t").distinct(), "t")
-        if not both.isEmpty():
+        if set(cube1.labels()) & set(cube2.labels()):
             raise OverlapResolverMissing(f"both cubes have {', '.join(shared)} at the same time")
     a = cube1.df.select(*KEYS, F.struct(*[cube1.band(b) for b in cube1.bands]).alias("_a"))
     c = cube2.df.select(*KEYS, F.struct(*[cube2.band(b) for b in cube2.bands]).alias("_b"))
@@ -48,7 +47,8 @@ def merge_cubes(cube1: Cube, cube2: Cube, overlap_resolver: Callable | None = No
             x, y = F.col("_a").getField(b), F.col("_b").getField(b)
             value = F.when(one & ~two, x).when(two & ~one, y)
             columns[b] = value if overlap_resolver is None else value.otherwise(col(overlap_resolver(x, y, context)))
-    return Cube(df, (), cube1.grid, cube1.has_t or cube2.has_t).select(columns)
+    known = None if cube1.times is None or cube2.times is None else tuple(sorted({*cube1.times, *cube2.times}))
+    return Cube(df, (), cube1.grid, cube1.has_t or cube2.has_t, times=known).select(columns)
 
 
 def mask(data: Cube, mask: Cube, replacement: float | None = None) -> Cube:
@@ -80,4 +80,4 @@ def mask(data: Cube, mask: Cube, replacement: float | None = None) -> Cube:
     for i, b in enumerate(data.bands):
         on = F.col(f"_m{i if len(mask.bands) > 1 else 0}")
         out[b] = F.when(data.band(b).isNotNull() & on, new).otherwise(data.band(b))
-    return data.with_df(df).select(out)
+    return data.with_df(df, times=data.times).select(out)

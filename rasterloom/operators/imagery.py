@@ -12,10 +12,6 @@ from rasterloom.cube import KEYS, Cube, Grid
 from rasterloom.errors import FeatureUnsupported, ProcessParameterInvalid
 from rasterloom.functions.maths import arccos, col
 
-#: Columns of a block in which the neighbours of a pixel are looked up.
-BLOCK = 256
-
-
 def _gradient(value: str, by: list[str], along: str, size: int) -> Column:
     """Central differences, one-sided at the edges.  Windows are one row or column of a slice."""
     if size < 2:
@@ -41,7 +37,7 @@ def hillshade(data: Cube, azimuth: float = 315, angle_altitude: float = 45, buff
     out = df.where(inner).select("t", (F.col("y") - buffer).cast("int").alias("y"), (F.col("x") - buffer).cast("int").alias("x"), value.alias("hillshade"))
     b = g.bounds
     grid = Grid(g.width - 2 * buffer, g.height - 2 * buffer, (b[0] + buffer * g.dx, b[1] + buffer * g.dy, b[2] - buffer * g.dx, b[3] - buffer * g.dy), g.crs)
-    return data.with_df(out, ["hillshade"], grid=grid)
+    return data.with_df(out, ["hillshade"], grid=grid, times=data.times)
 
 
 #: Coefficient and the ending of the band with its constants.

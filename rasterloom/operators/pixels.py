@@ -60,7 +60,7 @@ def apply_dimension(data: Cube, process: Callable, dimension: str, target_dimens
     df = df.select("y", "x", F.transform("_s", lambda s: s["t"]).alias("_t"), *checked)
     zipped = F.arrays_zip("_t", *[data.band(b) for b in data.bands])
     out = df.select("y", "x", F.explode(zipped).alias("_z"))
-    return data.with_df(out.select(F.col("_z._t").alias("t"), "y", "x", *[F.col("_z").getField(b).alias(b) for b in data.bands]))
+    return data.with_df(out.select(F.col("_z._t").alias("t"), "y", "x", *[F.col("_z").getField(b).alias(b) for b in data.bands]), times=tuple(times))
 
 
 def array_element_of_cube(data: Cube, index: int | None = None, label: str | None = None) -> Cube:
@@ -140,7 +140,7 @@ def add_dimension(data: Cube, name: str, label: Any, type: str = "other") -> Cub
         raise LabelExists(f"there is a slice at {at} already")
     spark = data.df.sparkSession
     empty = data.grid.cells(spark).select(F.lit(at).cast("timestamp_ntz").alias("t"), "y", "x", *[F.lit(None).cast("double").alias(b) for b in data.bands])
-    return data.with_df(data.df.unionByName(empty), has_t=True)
+    return data.with_df(data.df.unionByName(empty), has_t=True, times=tuple(sorted([*data.labels(), at])))
 
 
 def rename_labels(data: Cube, dimension: str, target: list, source: list | None = None) -> Cube:
@@ -173,7 +173,7 @@ def rename_labels(data: Cube, dimension: str, target: list, source: list | None
         return data.select({names.get(b, b): data.band(b) for b in data.bands}, has_bands=True)
     pairs = [x for s, n in names.items() for x in (F.lit(s).cast("timestamp_ntz"), F.lit(n).cast("timestamp_ntz"))]
     moved = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("t")), F.col("t"))
-    return data.with_df(data.df.withColumn("t", moved))
+    return data.with_df(data.df.withColumn("t", moved), times=tuple(sorted(names.get(t, t) for t in old)))
 
 
 def create_data_cube(frame: DataFrame) -> Cube:
@@ -184,6 +184,6 @@ def create_data_cube(frame: DataFrame) -> Cube:
 
 def to_image(data: Cube, at: datetime = REDUCED) -> Cube:
     """A cube of one slice; its timestamp is fixed, so that results can be repeated."""
-    return data.with_df(data.df.withColumn("t", F.lit(at).cast("timestamp_ntz")), has_t=False)
+    return data.with_df(data.df.withColumn("t", F.lit(at).cast("timestamp_ntz")), has_t=False, times=(at,))
 
 

@@ -65,7 +65,7 @@ def to_grid(data: Cube, grid: Grid, method: str = "near") -> Cube:
         return data
     old, spark = data.grid, data.df.sparkSession
     bands = list(data.bands)
-    times = data.df.select("t").distinct()
+    times = data.labels()
     if method in AGGREGATES:
         px, py = reproject(*old.centre(), old.crs, grid.crs)
         cells = old.cells(spark).select("y", "x", F.floor((grid.bounds[3] - py) / grid.dy).cast("int").alias("_y"), F.floor((px - grid.bounds[0]) / grid.dx).cast("int").alias("_x"))
@@ -73,6 +73,13 @@ def to_grid(data: Cube, grid: Grid, method: str = "near") -> Cube:
         df = data.df.join(cells, ["y", "x"]).groupBy("t", F.col("_y").alias("y"), F.col("_x").alias("x"))
         out = df.agg(*[AGGREGATES[method](data.band(b)).cast("double").alias(b) for b in bands])
         return data.with_df(out, grid=grid).dense(times)
+    shift = grid.shift(old)
+    if method == "near" and shift:
+        # cells of the same size, side by side with the old ones: another numbering
+        dy, dx = shift
+        y, x = F.col("y") - dy, F.col("x") - dx
+        inside = data.df.where(F.col("y").between(dy, dy + grid.height - 1) & F.col("x").between(dx, dx + grid.width - 1))
+        return data.with_df(inside.select("t", y.cast("int").alias("y"), x.cast("int").alias("x"), *[data.band(b) for b in bands]), grid=grid).dense(times)
     px, py = reproject(*grid.centre(), grid.crs, old.crs)
     fx, fy = (px - old.bounds[0]) / old.dx, (old.bounds[3] - py) / old.dy
     cells = grid.cells(spark).select(F.col("y").alias("_y"), F.col("x").alias("_x"), fx.alias("_fx"), fy.alias("_fy"))

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.cube import KEYS, Cube, reproject_bounds
-from rasterloom.errors import FeatureUnsupported, ProcessParameterInvalid
+from rasterloom.errors import FeatureUnsupported, OutputLimitExceeded, ProcessParameterInvalid
 from rasterloom.functions.maths import col
 from rasterloom.functions.reducers import Series
 
 Ring = list[tuple[float, float]]
+#: Rows of the grid in one piece of a shape's work.
+STRIP = 64
+#: Polygons up to which a mask tests them in place.
+FEW_POLYGONS = 8
+#: Values of features that may come to the driver as one document.
+MAX_VALUES = 1_000_000
 _TYPES = {"Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection", "Feature", "FeatureCollection"}
 
 
@@ -79,43 +86,89 @@ def overlaps(edges: Column, px: Column, py: Column, dx: float, dy: float) -> Col
     return contains(edges, px, py) | F.exists(edges, hit)
 
 
+def _boxed(found: list[Ring]) -> tuple[float, float, float, float]:
+    xs, ys = [x for r in found for x, _ in r], [y for r in found for _, y in r]
+    return min(xs), min(ys), max(xs), max(ys)
+
+
 def mask_polygon(data: Cube, mask: dict, replacement: float | None = None, inside: bool = False) -> Cube:
     """Replace valid values of cells whose centres are outside (or inside) of all polygons.
 
-    Without a polygon nothing changes.
+    Without a polygon nothing changes.  A few polygons are tested in place; of many, the cells whose
+    centres they hold are made first and joined.
     """
-    found = [g for g in geometries(mask) if g["type"] in ("Polygon", "MultiPolygon")]
+    found = [rings(g, 4326, data.grid.crs) for g in geometries(mask) if g["type"] in ("Polygon", "MultiPolygon")]
     if not found:
         return data
-    px, py = data.grid.centre()
-    held = F.lit(False)
-    for g in found:
-        held = held | contains(_edges(rings(g, 4326, data.grid.crs)), px, py)
+    df = data.df
+    if len(found) <= FEW_POLYGONS:
+        px, py = data.grid.centre()
+        held = F.lit(False)
+        for r in found:
+            west, south, east, north = _boxed(r)
+            held = held | (px.between(west, east) & py.between(south, north) & contains(_edges(r), px, py))
+    else:
+        cells = _cells_of(data, found, lambda e, px, py: contains(e, px, py)).select("y", "x", F.lit(True).alias("_in")).distinct()
+        df, held = df.join(cells, ["y", "x"], "left"), F.coalesce("_in", F.lit(False))
     new = F.lit(None).cast("double") if replacement is None else F.lit(float(replacement))
     hit = held if inside else ~held
-    return data.select({b: F.when(data.band(b).isNotNull() & hit, new).otherwise(data.band(b)) for b in data.bands})
+    return data.with_df(df, times=data.times).select({b: F.when(data.band(b).isNotNull() & hit, new).otherwise(data.band(b)) for b in data.bands})
 
 
-def covered_cells(data: Cube, geojson: dict) -> DataFrame:
-    """``(feature_index, y, x)`` of the cells that share an area with each polygon.
+def _cells_of(data: Cube, shapes: list[list[Ring]], test: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``(feature_index, y, x)`` of the cells in a shape's bounding box that pass a test of its edges.
 
-    Only the cells in a polygon's bounding box are made and tested.
+    Shapes are a table.  Strips of ``STRIP`` rows, each with the edges that reach it, are dealt out before
+    cells are made, so neither a large shape nor many shapes are one task's work.
     """
-    spark, grid, out = data.df.sparkSession, data.grid, None
-    for i, g in enumerate(geometries(geojson)):
-        found = rings(g, 4326, grid.crs)
-        xs, ys = [x for r in found for x, _ in r], [y for r in found for _, y in r]
-        x0 = max(0, math.floor((min(xs) - grid.bounds[0]) / grid.dx))
-        x1 = min(grid.width, math.ceil((max(xs) - grid.bounds[0]) / grid.dx))
-        y0 = max(0, math.floor((grid.bounds[3] - max(ys)) / grid.dy))
-        y1 = min(grid.height, math.ceil((grid.bounds[3] - min(ys)) / grid.dy))
-        w, h = max(0, x1 - x0), max(0, y1 - y0)
-        cells = spark.range(w * h).select(F.lit(i).alias("feature_index"), (F.expr(f"id div {max(w, 1)}") + y0).cast("int").alias("y"), (F.col("id") % max(w, 1) + x0).cast("int").alias("x"))
-        part = cells.where(overlaps(_edges(found), *grid.centre(), grid.dx, grid.dy))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    spark, g = data.df.sparkSession, data.grid
+    rows = []
+    for i, found in enumerate(shapes):
+        y0, y1, x0, x1 = g.window(_boxed(found))
+        rows.append((i, max(0, y0), min(g.height - 1, y1), max(0, x0), min(g.width - 1, x1), [(*a, *b) for r in found for a, b in zip(r[:-1], r[1:], strict=True)]))
+    edge = "edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
+    table = spark.createDataFrame(rows, f"feature_index int, y0 int, y1 int, x0 int, x1 int, {edge}").where("y0 <= y1 and x0 <= x1")
+    strips = table.withColumn("s", F.explode(F.sequence(F.expr(f"y0 div {STRIP}"), F.expr(f"y1 div {STRIP}"))))
+    strips = strips.withColumn("y0", F.greatest("y0", F.col("s") * STRIP).cast("int")).withColumn("y1", F.least("y1", F.col("s") * STRIP + STRIP - 1).cast("int"))
+    north, south = g.bounds[3] - F.col("y0") * g.dy, g.bounds[3] - (F.col("y1") + 1) * g.dy
+    near = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+    strips = strips.select("feature_index", "y0", "y1", "x0", "x1", near.alias("edges"))
+    strips = strips.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature_index", "y0")
+    cells = strips.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return cells.where(test(F.col("edges"), *g.centre())).select("feature_index", "y", "x")
+
+
+def covered_cells(data: Cube, geojson: dict) -> DataFrame:
+    """``(feature_index, y, x)`` of the cells that share an area with each polygon."""
+    g = data.grid
+    shapes = [rings(x, 4326, g.crs) for x in geometries(geojson)]
+    if not shapes:
         raise ProcessParameterInvalid("there is no geometry")
-    return out
+    return _cells_of(data, shapes, lambda e, px, py: overlaps(e, px, py, g.dx, g.dy))
+
+
+@dataclass(frozen=True)
+class Zones:
+    """What ``aggregate_spatial`` gives, with the features that its rows belong to."""
+
+    rows: DataFrame
+    features: dict
+    target_dimension: str | None = None
+
+    def collection(self, limit: int = MAX_VALUES) -> dict:
+        """A feature collection in the driver, if it has no more than ``limit`` values."""
+        if self.rows.limit(limit + 1).count() > limit:
+            raise OutputLimitExceeded("there are too many values for one document; write a table instead")
+        return feature_collection(self.rows, self.features, self.target_dimension)
+
+    def table(self) -> DataFrame:
+        """``date, feature_index, value``."""
+        return self.rows.select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "feature_index", "value")
+
+
+def zonal_statistics(data: Cube, geometries: dict, reducer: Callable, target_dimension: str | None = None, context: Any = None) -> Zones:
+    """``aggregate_spatial`` whose result can be saved with its features."""
+    return Zones(aggregate_spatial(data, geometries, reducer, target_dimension, context), geometries, target_dimension)
 
 
 def aggregate_spatial(data: Cube, geometries: dict, reducer: Callable, target_dimension: str | None = None, context: Any = None) -> DataFrame:

@@ -78,12 +78,22 @@ def need_time(name: str | None) -> None:
 def filter_temporal(data: Cube, extent: list, dimension: str | None = None) -> Cube:
     """Keep the timestamps in an extent; none may be left."""
     need_time(dimension)
-    return data.with_df(data.df.where(within(extent, F.col("t"))))
+    return data.with_df(data.df.where(within(extent, F.col("t"))), times=known_within(data.times, extent))
+
+
+def known_within(times: tuple[datetime, ...] | None, extent: list) -> tuple[datetime, ...] | None:
+    """What is left of known timestamps; unknown for times of day, which Spark evaluates."""
+    if times is None or any(clock(x) for x in extent):
+        return None
+    low, high = (None if x is None else parse_time(x) for x in extent)
+    return tuple(t for t in times if (low is None or t >= low) and (high is None or t < high))
 
 
 def filter_labels(data: Cube, keys: list) -> Cube:
     """Keep the named timestamps."""
-    return data.with_df(data.df.where(F.col("t").isin([F.lit(parse_time(k)).cast("timestamp_ntz") for k in keys])))
+    wanted = [parse_time(k) for k in keys]
+    left = None if data.times is None else tuple(t for t in data.times if t in wanted)
+    return data.with_df(data.df.where(F.col("t").isin([F.lit(k).cast("timestamp_ntz") for k in wanted])), times=left)
 
 
 def series_of(data: Cube) -> list[Series]:
@@ -106,7 +116,7 @@ def reduce_dimension(data: Cube, reducer: Callable, dimension: str, context: Any
     if named(dimension) == "t":
         aggs = [reduced(reducer(s, context)).cast("double").alias(b) for b, s in zip(data.bands, series_of(data), strict=True)]
         df = data.df.groupBy("y", "x").agg(*aggs)
-        return data.with_df(df.select(F.lit(REDUCED).cast("timestamp_ntz").alias("t"), "y", "x", *[data.band(b) for b in data.bands]), has_t=False)
+        return data.with_df(df.select(F.lit(REDUCED).cast("timestamp_ntz").alias("t"), "y", "x", *[data.band(b) for b in data.bands]), has_t=False, times=(REDUCED,))
     out = reducer(Bands([data.band(b) for b in data.bands], data.bands), context)
     if isinstance(out, list):
         names = out.names if isinstance(out, Bands) and len(out.names) == len(out) else [f"band{i + 1}" for i in range(len(out))]

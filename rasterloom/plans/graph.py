@@ -12,13 +12,20 @@ from collections.abc import Callable
 from functools import partial
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from rasterloom.cube import Cube
 from rasterloom.errors import CubeError, ProcessParameterInvalid, ProcessParameterRequired, ProcessUnsupported
 from rasterloom.functions import arrays, logic, maths, reducers
 from rasterloom.operators import combine, imagery, pixels, resample, spatial, temporal
 from rasterloom.plans.params import get_param_item, with_defaults
+from rasterloom.services.tiles import Assignments, tile_processes
 from rasterloom.sinks.save import save_result
+from rasterloom.sources import catalog
+from rasterloom.sources.catalog import Collection
 
+#: Processes that are bound to the tables of a session.
+LOADERS = ("load_collection", "load_stac", "load_url", "tile_assignment", "tiles_summary")
 #: Parameters that hold a child graph, and the names of its parameters.
 CALLBACKS = {
     ("apply", "process"): ("x", "context"), ("apply_dimension", "process"): ("data", "context"), ("array_apply", "process"): ("x", "index"),
@@ -49,10 +56,11 @@ def processes() -> dict[str, Callable]:
         for f in (
             temporal.filter_temporal, temporal.reduce_dimension, temporal.aggregate_temporal, temporal.apply_pixel_selection, pixels.apply, pixels.apply_dimension, pixels.image_indexes,
             pixels.ndvi, pixels.ndwi, pixels.add_dimension, pixels.rename_labels, pixels.create_data_cube, pixels.to_image, combine.merge_cubes, combine.mask, resample.resample_spatial,
-            resample.resample_cube_spatial, spatial.mask_polygon, spatial.aggregate_spatial, spatial.xyz_to_bbox, spatial.xyz_to_tileinfo, save_result,
+            resample.resample_cube_spatial, spatial.mask_polygon, spatial.xyz_to_bbox, spatial.xyz_to_tileinfo, save_result,
         )
     }
     out["to_array"] = lambda data: data
+    out["aggregate_spatial"] = spatial.zonal_statistics
     return out
 
 
@@ -76,6 +84,8 @@ class Evaluation:
         if name not in nodes:
             raise ProcessParameterInvalid(f"there is no node {name}")
         process = nodes[name].get("process_id")
+        if process in LOADERS and process not in self.registry:
+            raise ProcessUnsupported(f"{process} is not bound to the tables of a session")
         if process not in self.registry:
             raise ProcessUnsupported(f"no process is named {process!r}")
         args = {}
@@ -135,10 +145,34 @@ def execute(graph: dict, parameters: dict | None = None, loaders: dict[str, Call
     return Evaluation(processes() | (loaders or {}), given).run(nodes)
 
 
-def validate(graph: dict, loaders: tuple[str, ...] = ("load_collection", "load_stac", "load_url")) -> list[dict]:
-    """Errors of a graph that show without data; an empty list if there are none."""
+def _needs(v: Any) -> set[str]:
+    """Names of the nodes that a value is made of."""
+    if isinstance(v, dict):
+        if "from_node" in v:
+            return {v["from_node"]}
+        return set() if "process_graph" in v else {n for x in v.values() for n in _needs(x)}
+    return {n for x in v for n in _needs(x)} if isinstance(v, list) else set()
+
+
+def validate(graph: dict, loaders: tuple[str, ...] = LOADERS) -> list[dict]:
+    """Errors of a graph that show without data; an empty list if there are none.
+
+    ``loaders`` name the processes that will be bound to tables.
+    """
     nodes, found = graph.get("process_graph", graph), []
-    known = set(processes()) | set(loaders)
+    registry = processes()
+    known = set(registry) | set(loaders)
+    needs = {name: _needs(node.get("arguments", {})) & set(nodes) for name, node in nodes.items()}
+    while ready := [n for n, of in needs.items() if not of & set(needs)]:
+        for n in ready:
+            del needs[n]
+    if needs:
+        found.append({"code": ProcessParameterInvalid.__name__, "message": f"the node {min(needs)} needs itself"})
+    for name, node in nodes.items():
+        f = registry.get(node.get("process_id"))
+        for p in [] if f is None else inspect.signature(f).parameters.values():
+            if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD and p.name not in node.get("arguments", {}):
+                found.append({"code": ProcessParameterRequired.__name__, "message": f"{name}: {node['process_id']} needs {p.name}"})
 
     def note(e: CubeError) -> None:
         found.append({"code": e.code, "message": str(e)})
@@ -157,12 +191,28 @@ def validate(graph: dict, loaders: tuple[str, ...] = ("load_collection", "load_s
     return found
 
 
+def session_loaders(spark: SparkSession, collections: dict[str, Collection] | None = None, stac: dict[str, Any] | None = None, assignments: Assignments | None = None, service_id: str = "", user_id: str = "") -> dict[str, Callable]:
+    """All processes that read or write tables, for ``execute``.
+
+    ``stac`` holds the ``pixels``, ``grid`` and ``known`` bands of ``load_stac``; without ``assignments``
+    the processes of tiles are left out.
+    """
+
+    def load_stac(url: str, **args: Any) -> Cube:
+        if stac is None:
+            raise ProcessUnsupported("load_stac is not bound to a table of pixels")
+        return catalog.load_stac(spark, url, **stac, **{k: v for k, v in args.items() if k != "named_parameters"})
+
+    out = {"load_collection": bind(catalog.load_collection, collections or {}), "load_stac": load_stac, "load_url": partial(catalog.load_url, spark)}
+    return out | (tile_processes(assignments, service_id, user_id) if assignments else {})
+
+
 def bind(loader: Callable, tables: dict[str, Any]) -> Callable:
     """``load_collection`` over named collections."""
 
     def load(id: str, **args: Any) -> Any:  # noqa: A002
         if id not in tables:
             raise ProcessParameterInvalid(f"no collection is named {id!r}")
-        return partial(loader, tables[id])(**{k: v for k, v in args.items() if k not in ("tile_buffer", "target_crs", "named_parameters")})
+        return partial(loader, tables[id])(**{k: v for k, v in args.items() if k != "named_parameters"})
 
     return load

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.cube import REDUCED, Cube, Grid
 from rasterloom.functions import arrays, logic, maths, reducers
 from rasterloom.operators import combine, imagery, pixels, resample, spatial, temporal
-from rasterloom.plans.graph import bind, execute
+from rasterloom.plans.graph import bind, execute, session_loaders
 from rasterloom.services import tiles
 from rasterloom.sources.catalog import BandInfo, Collection, load_collection, search
 from rasterloom.sources.tables import EVENT_BANDS, EVENT_GRID, SCENE_BANDS, events_cube, order_catalog, scene_cube, scenes, table
@@ -734,6 +734,48 @@ def graph_json_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(execute(RGB, loaders={"load_collection": bind(load_collection, {"scenes": scenes(spark, sf_dir)})}), time=False)
 
 
+ZONAL = {
+    "load": {"process_id": "load_collection", "arguments": {"id": "scenes", "temporal_extent": ["1996-03-01", "1996-06-01"], "bands": ["price"], "properties": {"line": _rule("lte", y=5)}}},
+    "zones": {"process_id": "aggregate_spatial", "arguments": {"data": {"from_node": "load"}, "geometries": FEATURES, "reducer": {"process_graph": {"m": {"process_id": "mean", "arguments": {"data": {"from_parameter": "data"}}, "result": True}}}}, "result": True},
+}
+
+
+@query(
+    "graph_zonal",
+    SCENES.replace("from p group by all", "from p where right(item, 1)::int <= 5 group by all")
+    + f", {_BOX_SQL} select i::int as feature_index, t, {r('avg(price)', 'value')}, count(*) as total_count, count(price) as valid_count from s join f on x < e and x + 1 > w and 16 - y > s.s_ and 15 - y < n where t >= '1996-03-01' and t < '1996-06-01' group by i, t".replace("s.s_", "f.s"),
+)
+def graph_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(execute(ZONAL, loaders=session_loaders(spark, {"scenes": scenes(spark, sf_dir)})).rows)
+
+
+@query(
+    "load_extent_window",
+    f"{SCENES} select t, (y - 4)::int as y, (x - 3)::int as x, {_each('{b}', ('quantity', 'tax'))} from s where t >= '1996-03-01' and t < '1996-05-01' and x between 3 and 9 and y between 4 and 13",
+)
+def load_extent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extent = {"west": 3, "south": 2, "east": 10, "north": 12}
+    return rows(load_collection(scenes(spark, sf_dir), extent, ["1996-03-01", "1996-05-01"], ["quantity", "tax"]))
+
+
+@query(
+    "load_scale_offset_all",
+    SCENES.replace("arg_min(l_tax, l_orderkey) as tax", "nullif(arg_min(l_tax, l_orderkey), 0) as tax").replace("arg_min(l_discount, l_orderkey) as discount", "arg_min(l_discount, l_orderkey) * 100 + 1 as discount")
+    + f"select t, y, x, {_each('{b}', ('discount', 'tax'))} from s",
+)
+def load_scale_offset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scenes: as many items as there are months and line numbers."""
+    c = scenes(spark, sf_dir)
+    c = Collection(c.id, c.items, c.pixels, c.grid, c.bands | {"discount": BandInfo(scale=100.0, offset=1.0), "tax": BandInfo(nodata=0.0)}, c.narrow)
+    return rows(load_collection(c, bands=["discount", "tax"], max_items=100_000))
+
+
+@query("load_property_all", f"{SCENES.replace('from p group by all', 'from p where item like ' + chr(39) + '%-1' + chr(39) + ' group by all').replace('select distinct t from p', 'select distinct t from p where item like ' + chr(39) + '%-1' + chr(39))} select t, y, x, {r('quantity', 'quantity')} from s")
+def load_property_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scenes of one line number."""
+    return rows(load_collection(scenes(spark, sf_dir), bands=["quantity"], properties={"line": "1"}, max_items=100_000))
+
+
 @query("create_data_cube", "select timestamp '1900-01-01' as t, 0::int as y, 0::int as x where false")
 def create_data_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.create_data_cube(spark.range(0)).df

@@ -6,9 +6,12 @@ one; a store writes it.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.errors import NoTileAvailable, ProcessParameterInvalid, TileAlreadyLocked, TileNotAssigned
@@ -96,3 +99,47 @@ def tile_assignment(state: DataFrame, zoom: int, x_range: tuple[int, int], y_ran
 def tiles_summary(state: DataFrame, service_id: str) -> DataFrame:
     """All tiles of a service."""
     return state.where(F.col("service_id") == service_id).select("x", "y", "z", "stage", "user_id", "data")
+
+
+class Assignments:
+    """The table of assignments as a Parquet folder for each version; the newest is read.
+
+    A step writes the version after the one that it read and fails if another writer has made
+    that version meanwhile.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self) -> tuple[int, DataFrame]:
+        try:
+            last = self.spark.read.parquet(self.path).agg(F.max("version")).first()[0]
+        except AnalysisException as e:  # nothing is written before the first step
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            last = None
+        if last is None:
+            return 0, self.spark.createDataFrame([], SCHEMA)
+        return last, self.spark.read.schema(SCHEMA).parquet(f"{self.path}/version={last}").where("service_id is not null")
+
+    def state(self) -> DataFrame:
+        return self._read()[1]
+
+    def step(self, zoom: int, x_range: tuple[int, int], y_range: tuple[int, int], stage: str, service_id: str, user_id: str, data: str | None = None, seed: int = 0) -> dict:
+        """One ``tile_assignment``; the table is written only if the step changes it."""
+        version, before = self._read()
+        after, tile = tile_assignment(before, zoom, tuple(x_range), tuple(y_range), stage, service_id, user_id, data, seed)
+        if after is not before:
+            # a row of nulls shows the version of a table that is empty otherwise
+            marked = after.unionByName(self.spark.createDataFrame([(None,) * 7], SCHEMA))
+            marked.write.mode("error").parquet(f"{self.path}/version={version + 1}")
+        return tile
+
+
+def tile_processes(store: Assignments, service_id: str, user_id: str) -> dict[str, Callable]:
+    """The processes of a graph that a user runs for a service."""
+
+    def assign(zoom: int, x_range: list, y_range: list, stage: str, data: Any = None) -> dict:
+        return store.step(zoom, x_range, y_range, stage, service_id, user_id, None if data is None else data if isinstance(data, str) else json.dumps(data))
+
+    return {"tile_assignment": assign, "tiles_summary": lambda: tiles_summary(store.state(), service_id)}

@@ -8,20 +8,26 @@ extent are plain predicates that reach the Parquet scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.cube import REDUCED, Cube, Grid, clean, reproject_bounds
-from rasterloom.errors import ItemsLimitExceeded, NoDataAvailable, OutputLimitExceeded, ProcessParameterInvalid, TemporalExtentEmpty
+from rasterloom.errors import FeatureUnsupported, ItemsLimitExceeded, NoDataAvailable, OutputLimitExceeded, ProcessParameterInvalid, TemporalExtentEmpty
 from rasterloom.operators.resample import to_grid
 from rasterloom.operators.temporal import parse_time
 
 MAX_ITEMS = 20
 MAX_PIXELS = 100_000_000
+#: Item ids that become a list in a predicate; more of them meet the pixels in the join alone.
+MAX_LISTED = 1000
+#: Cells beyond an extent that a resampling kernel may read.
+KERNEL_REACH = 3
 
 
 @dataclass(frozen=True)
@@ -43,6 +49,14 @@ class Collection:
     pixels: DataFrame
     grid: Grid
     bands: dict[str, BandInfo] = field(default_factory=dict)
+    #: The part of the collection between two times (either may be None) or a little more, by predicates on stored columns.
+    narrow: Callable[[datetime | None, datetime | None], Collection] | None = None
+
+    def between(self, temporal_extent: list | None) -> Collection:
+        """Narrowed to an extent, where the collection knows how."""
+        if self.narrow is None or temporal_extent is None:
+            return self
+        return self.narrow(*(None if x in (None, "..") else parse_time(x) for x in temporal_extent))
 
     def describe(self) -> dict:
         """Dimensions and bands, from one aggregation of the items."""
@@ -150,7 +164,7 @@ def property_filter(properties: dict | None) -> Column:
 
 def search(collection: Collection, spatial_extent: dict | None = None, temporal_extent: list | None = None, properties: dict | None = None) -> DataFrame:
     """Items that meet an extent, lie in ``[start, end)`` and fulfil the conditions."""
-    df = collection.items
+    df = collection.between(temporal_extent).items
     if spatial_extent:
         b = tuple(float(spatial_extent[k]) for k in ("west", "south", "east", "north"))
         b = reproject_bounds(b, int(spatial_extent.get("crs") or 4326), 4326)
@@ -202,11 +216,14 @@ def read_bands(collection: Collection, bands: list[str]) -> list[Column]:
 def load_collection(
     collection: Collection, spatial_extent: dict | None = None, temporal_extent: list | None = None, bands: list[str] | None = None, properties: dict | None = None,
     width: int | None = None, height: int | None = None, max_items: int = MAX_ITEMS, max_pixels: int = MAX_PIXELS, method: str = "near",
+    target_crs: int | str | None = None, tile_buffer: float | None = None,
 ) -> Cube:
     """Search, check limits, mosaic the items of each timestamp, cut to the extent.
 
-    In a mosaic each band takes the first valid value, in the order of item ids.  Number and
-    times of items are all that reaches the driver.
+    In a mosaic each band takes the first valid value, in the order of item ids.  Ids and
+    times of the items found are all that reaches the driver.  They and the extent's rows and columns are
+    predicates on the pixels, ahead of the mosaic.  ``target_crs`` is the projection of the
+    cube, ``tile_buffer`` a number of cells more on every side.
     """
     items = search(collection, spatial_extent, temporal_extent, properties)
     names = list(bands or [next(iter(collection.bands))])
@@ -219,16 +236,38 @@ def load_collection(
     if len(found) > max_items:
         raise ItemsLimitExceeded(f"more than {max_items} items match")
     g = collection.grid
-    bounds = g.bounds
+    crs = g.crs if target_crs is None else parse_crs(target_crs)
+    bounds = reproject_bounds(g.bounds, g.crs, crs)
     if spatial_extent:
         b = tuple(float(spatial_extent[k]) for k in ("west", "south", "east", "north"))
-        bounds = reproject_bounds(b, int(spatial_extent.get("crs") or 4326), g.crs)
-    w, h = output_size(bounds, g.dx, g.dy, width, height)
-    times = {r[1] for r in found}
+        bounds = reproject_bounds(b, int(spatial_extent.get("crs") or 4326), crs)
+    fine = Grid(g.width, g.height, reproject_bounds(g.bounds, g.crs, crs), crs)
+    w, h = output_size(bounds, fine.dx, fine.dy, width, height)
+    if tile_buffer:
+        n, dx, dy = math.ceil(tile_buffer), (bounds[2] - bounds[0]) / w, (bounds[3] - bounds[1]) / h
+        bounds = bounds[0] - n * dx, bounds[1] - n * dy, bounds[2] + n * dx, bounds[3] + n * dy
+        w, h = w + 2 * n, h + 2 * n
+    target = Grid(w, h, bounds, crs)
+    times = tuple(sorted({r[1] for r in found}))
     if w * h * len(times) * len(names) > max_pixels:
         raise OutputLimitExceeded(f"{w} x {h} cells at {len(times)} times in {len(names)} bands are more than {max_pixels} values")
-    pixels = collection.pixels.select("item_id", "y", "x", *read_bands(collection, names))
-    return mosaic(items, pixels, names, g).dense(sorted(times)) if bounds == g.bounds and (w, h) == (g.width, g.height) else to_grid(mosaic(items, pixels, names, g).dense(sorted(times)), Grid(w, h, bounds, g.crs), method)
+    pixels = collection.between(temporal_extent).pixels.select("item_id", "y", "x", *read_bands(collection, names))
+    if len(found) <= MAX_LISTED:
+        pixels = pixels.where(F.col("item_id").isin([r[0] for r in found]))
+    if target != g:
+        y0, y1, x0, x1 = g.window(reproject_bounds(bounds, crs, g.crs), KERNEL_REACH)
+        pixels = pixels.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
+    listed = pixels.sparkSession.createDataFrame([(r[0], r[1]) for r in found], items.select("id", "datetime").schema)
+    cube = replace(mosaic(listed, pixels, names, g), times=times)
+    return cube.dense(list(times)) if target == g else to_grid(cube, target, method)
+
+
+def parse_crs(value: int | str) -> int:
+    """A number of a projection, or its name such as ``EPSG:3857``."""
+    text = str(value).upper().removeprefix("EPSG:")
+    if not text.isdigit():
+        raise ProcessParameterInvalid(f"{value!r} names no projection")
+    return int(text)
 
 
 def mosaic(items: DataFrame, pixels: DataFrame, bands: list[str], grid: Grid) -> Cube:
@@ -239,15 +278,46 @@ def mosaic(items: DataFrame, pixels: DataFrame, bands: list[str], grid: Grid) ->
     return Cube(rows.groupBy("t", "y", "x").agg(*first).select("t", "y", "x", *[f"`{b}`" for b in bands]), tuple(bands), grid)
 
 
+def stac_items(spark: SparkSession, url: str) -> DataFrame:
+    """Items out of documents: an item, a folder of them, or the catalogue or collection above them.
+
+    A static catalogue is the folder of its document; links out of it are not followed.
+    """
+    fields = "type string, id string, collection string, bbox array<double>, properties map<string,string>"
+    reader = spark.read.schema(fields).option("multiLine", True)
+    raw = reader.json(url)
+    if not raw.where(F.col("type").isin("Catalog", "Collection")).isEmpty():
+        raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(url.rsplit("/", 1)[0] if url.endswith(".json") else url)
+    at = F.try_to_timestamp(F.coalesce(F.try_element_at("properties", F.lit("datetime")), F.try_element_at("properties", F.lit("start_datetime")))).cast("timestamp_ntz")
+    corners = [F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))]
+    items = raw.where(at.isNotNull() & ~F.coalesce(F.col("type").isin("Catalog", "Collection"), F.lit(False)))
+    return items.select("id", "collection", at.alias("datetime"), *corners, "properties")
+
+
 def load_stac(spark: SparkSession, path: str, pixels: DataFrame, grid: Grid, known: dict[str, BandInfo], **how: Any) -> Cube:
-    """A cube out of item documents (JSON, one per line or file) and a table of pixels."""
-    raw = spark.read.schema("id string, collection string, bbox array<double>, properties map<string,string>").option("multiLine", True).json(path)
-    at = F.try_to_timestamp(F.try_element_at("properties", F.lit("datetime"))).cast("timestamp_ntz")
-    items = raw.where(at.isNotNull()).select("id", "collection", at.alias("datetime"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))], "properties")
-    return load_collection(Collection("stac", items, pixels, grid, known), **how)
+    """A cube out of the documents of ``stac_items`` and a table of pixels."""
+    return load_collection(Collection("stac", stac_items(spark, path), pixels, grid, known), **how)
+
+
+def load_url(spark: SparkSession, url: str, format: str | None = None, options: dict | None = None) -> Cube:  # noqa: A002
+    """One image out of a Parquet table ``y, x`` and bands.
+
+    ``options`` may hold ``bands``, ``width``, ``height``, ``bounds``, ``crs`` and ``time``; the bands are
+    otherwise all other columns, the grid as large as the table's cells need (one aggregation).
+    """
+    if format is not None and format.lower() != "parquet":
+        raise FeatureUnsupported(f"a table is read from Parquet, not {format}")
+    o, df = options or {}, spark.read.parquet(url)
+    bands = list(o.get("bands") or [c for c in df.columns if c not in ("y", "x")])
+    w, h = o.get("width"), o.get("height")
+    if not w or not h:
+        last = df.agg(F.max("x"), F.max("y")).first()
+        w, h = w or (last[0] or 0) + 1, h or (last[1] or 0) + 1
+    grid = Grid(int(w), int(h), tuple(map(float, o.get("bounds") or (0, 0, w, h))), parse_crs(o.get("crs", 4326)))
+    return load_table(spark, url, bands, grid, o.get("time", REDUCED))
 
 
 def load_table(spark: SparkSession, path: str, bands: list[str], grid: Grid, at: Any = REDUCED) -> Cube:
     """One image out of a Parquet table ``y, x`` and bands, stamped with a fixed time."""
     df = spark.read.parquet(path)
-    return Cube(df.select(F.lit(parse_time(at)).cast("timestamp_ntz").alias("t"), "y", "x", *[clean(F.col(f"`{b}`")).alias(b) for b in bands]), tuple(bands), grid, has_t=False)
+    return Cube(df.select(F.lit(parse_time(at)).cast("timestamp_ntz").alias("t"), "y", "x", *[clean(F.col(f"`{b}`")).alias(b) for b in bands]), tuple(bands), grid, has_t=False, times=(parse_time(at),))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,16 @@ def events_cube(spark: SparkSession, sf_dir: str, hours: int = 24, temporal_exte
     return Cube(cells, EVENT_BANDS, EVENT_GRID).dense(rows.select("t").distinct())
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> Collection:
-    """Line items as scenes: one per month and line number, pixels by part and supplier."""
+def scenes(spark: SparkSession, sf_dir: str, start: datetime | None = None, end: datetime | None = None) -> Collection:
+    """Line items as scenes: one per month and line number, pixels by part and supplier.
+
+    Ship dates from ``start`` to the end of the month of ``end`` are read.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if start:
+        li = li.where(F.col("l_shipdate") >= F.lit(start.replace(day=1, hour=0, minute=0, second=0, microsecond=0)).cast(li.schema["l_shipdate"].dataType))
+    if end:
+        li = li.where(F.col("l_shipdate") < F.lit(end + timedelta(days=31)).cast(li.schema["l_shipdate"].dataType))
     month = F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz")
     name = F.concat_ws("-", F.date_format("l_shipdate", "yyyy-MM"), F.col("l_linenumber").cast("string"))
     rows = li.select(name.alias("item_id"), month.alias("t"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "l_orderkey", *[f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")])
@@ -45,7 +54,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> Collection:
     pixels = rows.groupBy("item_id", "y", "x").agg(*[F.min_by(c, "l_orderkey").alias(b) for b, c in source.items()])
     box = [F.lit(float(v)).alias(n) for n, v in zip(("west", "south", "east", "north"), SCENE_GRID.bounds, strict=True)]
     items = rows.groupBy("item_id").agg(F.min("t").alias("datetime")).select(F.col("item_id").alias("id"), F.lit("scenes").alias("collection"), "datetime", *box, F.create_map(F.lit("line"), F.element_at(F.split("item_id", "-"), -1)).alias("properties"))
-    return Collection("scenes", items, pixels, SCENE_GRID, {b: BandInfo() for b in SCENE_BANDS})
+    return Collection("scenes", items, pixels, SCENE_GRID, {b: BandInfo() for b in SCENE_BANDS}, lambda a, b: scenes(spark, sf_dir, a, b))
 
 
 def scene_cube(spark: SparkSession, sf_dir: str) -> Cube:

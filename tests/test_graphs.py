@@ -112,3 +112,70 @@ def test_stored_graphs(spark, tmp_path):
         store.get("ann", "g")
     with pytest.raises(errors.ProcessParameterInvalid):
         store.put("ann", "h", {"a": {"process_id": "nope", "arguments": {}, "result": True}})
+
+
+def test_zonal_statistics_are_saved(make, tmp_path, spark):
+    box = lambda w, s, e, n: {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[w, s], [e, s], [e, n], [w, n], [w, s]]]}}
+    features = {"type": "FeatureCollection", "features": [box(0, 0, 1, 1), box(0, 0, 2, 1), box(50, 50, 51, 51)]}
+    mean = {"process_graph": {"m": {"process_id": "mean", "arguments": {"data": {"from_parameter": "data"}}, "result": True}}}
+    graph = {"l": {"process_id": "load", "arguments": {}}, "z": {"process_id": "aggregate_spatial", "arguments": {"data": {"from_node": "l"}, "geometries": features, "reducer": mean}}}
+
+    def save(kind, **options):
+        done = graph | {"s": {"process_id": "save_result", "arguments": {"data": {"from_node": "z"}, "format": kind, "options": options}, "result": True}}
+        return execute(done, loaders={"load": lambda: make(DATA)})
+
+    doc = json.loads(save("json").data)
+    assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 2
+    assert doc["features"][1]["properties"]["values"] == {"2024-01-01T00:00:00": 1.5, "2024-01-02T00:00:00": 5.5}
+    assert save("geojson").media_type == "application/geo+json"
+    assert b"date,feature_index,value\n2024-01-01T00:00:00,0,1.0\n" in save("csv").data
+    save("csv", path=str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+    assert validate(graph | {"s": {"process_id": "save_result", "arguments": {"data": {"from_node": "z"}, "format": "json"}, "result": True}}, ("load",)) == []
+
+
+def test_many_features_are_a_table(make):
+    import time
+
+    from rasterloom.functions import reducers
+    from rasterloom.operators import spatial
+
+    tiny = [{"type": "Polygon", "coordinates": [[[x / 5000, 0], [(x + 1) / 5000, 0], [(x + 1) / 5000, 1], [x / 5000, 1], [x / 5000, 0]]]} for x in range(10_000)]
+    features = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": g} for g in tiny]}
+    start = time.time()
+    rows = spatial.aggregate_spatial(make(DATA), features, lambda s, _: reducers.mean(s))
+    rows._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 20
+    assert rows.count() == 20_000
+    masked = spatial.mask_polygon(make(DATA), {"type": "GeometryCollection", "geometries": tiny[:5000]})
+    assert {(r["x"], r["red"] is None) for r in masked.df.collect()} == {(0, False), (1, True)}
+
+
+def test_tiles_as_processes(spark, tmp_path):
+    from rasterloom.plans.graph import session_loaders
+
+    store = tiles.Assignments(spark, str(tmp_path / "tiles"))
+
+    def run(user, stage, **more):
+        args = {"zoom": 3, "x_range": [0, 1], "y_range": [0, 0], "stage": stage, **more}
+        return execute({"t": {"process_id": "tile_assignment", "arguments": args, "result": True}}, loaders=session_loaders(spark, assignments=store, service_id="s", user_id=user))
+
+    first, second = run("ann", "claim"), run("bob", "claim")
+    assert {(first["x"], first["y"]), (second["x"], second["y"])} == {(0, 0), (1, 0)}
+    assert run("ann", "claim") == first
+    with pytest.raises(errors.NoTileAvailable):
+        run("cem", "claim")
+    assert run("ann", "update", data={"note": 1})["data"] == '{"note": 1}'
+    assert run("ann", "submit")["stage"] == "submitted"
+    with pytest.raises(errors.TileAlreadyLocked):
+        run("ann", "release")
+    summary = execute({"t": {"process_id": "tiles_summary", "arguments": {}, "result": True}}, loaders=session_loaders(spark, assignments=store, service_id="s", user_id="bob"))
+    assert {(r["user_id"], r["stage"]) for r in summary.collect()} == {("ann", "submitted"), ("bob", "claimed")}
+    run("ann", "force-release")
+    run("bob", "release")
+    assert store.state().count() == 0
+
+
+def test_validate_sees_what_execute_would():
+    graph = {"a": {"process_id": "load_collection", "arguments": {"id": "x"}}, "b": {"process_id": "ndvi", "arguments": {"data": {"from_node": "c"}}}, "c": {"process_id": "apply", "arguments": {"data": {"from_node": "b"}}, "result": True}}
+    assert {e["code"] for e in validate(graph)} == {"ProcessParameterInvalid", "ProcessParameterRequired"}

@@ -91,3 +91,54 @@ def test_stream_equals_table(spark, tmp_path):
     assert {tuple(r) for r in spark.table("means").collect()} == want
     assert len(want) == 4
     assert {r["v"] for r in spark.table("means").where(F.col("y") == 0).collect()} == {1, 4, 7, 10}
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    """Items found, rows and columns of the extent are predicates on the stored pixels."""
+    data = [(f"i{k}", y, x, float(k)) for k in range(6) for y in range(8) for x in range(8)]
+    spark.createDataFrame(data, "item_id string, y int, x int, a double").write.parquet(str(tmp_path / "p"))
+    items = spark.createDataFrame([(f"i{k}", "c", datetime(2024, 1, k + 1), 0.0, 0.0, 8.0, 8.0, {}) for k in range(6)], "id string, collection string, datetime timestamp_ntz, west double, south double, east double, north double, properties map<string,string>")
+    c = Collection("c", items, spark.read.parquet(str(tmp_path / "p")), Grid(8, 8, (0.0, 0.0, 8.0, 8.0)), {"a": BandInfo()})
+    cube = load_collection(c, {"west": 2, "south": 1, "east": 5, "north": 7}, ["2024-01-02", "2024-01-04"])
+    assert (cube.grid.width, cube.grid.height) == (3, 6) and cube.labels() == [datetime(2024, 1, 2), datetime(2024, 1, 3)]
+    plan = cube.df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert "In(item_id" in pushed and "GreaterThanOrEqual(y" in pushed and "LessThanOrEqual(y" in pushed
+    assert sorted({r["a"] for r in cube.df.collect()}) == [1.0, 2.0] and cube.df.count() == 36
+
+
+def test_another_projection_and_a_buffer(spark, tmp_path):
+    data = [("i", y, x, float(10 * y + x)) for y in range(8) for x in range(8)]
+    items = spark.createDataFrame([("i", "c", datetime(2024, 1, 1), 0.0, 0.0, 8.0, 8.0, {})], "id string, collection string, datetime timestamp_ntz, west double, south double, east double, north double, properties map<string,string>")
+    c = Collection("c", items, spark.createDataFrame(data, "item_id string, y int, x int, a double"), Grid(8, 8, (0.0, 0.0, 8.0, 8.0)), {"a": BandInfo()})
+    web = load_collection(c, target_crs="EPSG:3857")
+    assert web.grid.crs == 3857 and (web.grid.width, web.grid.height) == (8, 8) and abs(web.grid.bounds[2] - 890555.9) < 1
+    assert sorted(r["a"] for r in web.df.collect()) == [r[3] for r in data]
+    wide = load_collection(c, {"west": 2, "south": 2, "east": 6, "north": 6}, tile_buffer=3)
+    assert (wide.grid.width, wide.grid.height, wide.grid.bounds) == (10, 10, (-1.0, -1.0, 9.0, 9.0))
+    assert wide.df.where("a is not null").count() == 64
+    with pytest.raises(errors.ProcessParameterInvalid):
+        load_collection(c, target_crs="nowhere")
+
+
+def test_static_catalogues_and_tables_as_processes(spark, tmp_path):
+    import json
+
+    from rasterloom.plans.graph import execute, session_loaders
+
+    (tmp_path / "cat" / "items").mkdir(parents=True)
+    (tmp_path / "cat" / "catalog.json").write_text(json.dumps({"type": "Catalog", "id": "c", "links": []}))
+    for k in range(3):
+        doc = {"type": "Feature", "id": f"i{k}", "collection": "c", "bbox": [0, 0, 4, 4], "properties": {"datetime": f"2024-01-0{k + 1}T00:00:00Z", "cloud": str(10 * k)}}
+        (tmp_path / "cat" / "items" / f"i{k}.json").write_text(json.dumps(doc, indent=1))
+    pixels = spark.createDataFrame([(f"i{k}", y, x, float(k)) for k in range(3) for y in range(4) for x in range(4)], "item_id string, y int, x int, a double")
+    loaders = session_loaders(spark, stac={"pixels": pixels, "grid": Grid(4, 4, (0.0, 0.0, 4.0, 4.0)), "known": {"a": BandInfo()}})
+    load = lambda url, **more: execute({"l": {"process_id": "load_stac", "arguments": {"url": str(url), **more}, "result": True}}, loaders=loaders)
+    assert len(load(tmp_path / "cat" / "catalog.json").labels()) == 3
+    assert load(tmp_path / "cat" / "items" / "i1.json").labels() == [datetime(2024, 1, 2)]
+    assert len(load(tmp_path / "cat" / "catalog.json", properties={"cloud": "20"}).labels()) == 1
+    spark.createDataFrame([(y, x, 1.0 * y, None) for y in range(2) for x in range(3)], "y int, x int, a double, b double").write.parquet(str(tmp_path / "t"))
+    one = execute({"l": {"process_id": "load_url", "arguments": {"url": str(tmp_path / "t")}, "result": True}}, loaders=loaders)
+    assert one.bands == ("a", "b") and (one.grid.width, one.grid.height) == (3, 2)
+    with pytest.raises(errors.ProcessUnsupported):
+        execute({"l": {"process_id": "load_url", "arguments": {"url": "x"}, "result": True}})
