@@ -13,6 +13,7 @@ from rasterloom.functions import arrays, logic, maths, reducers
 from rasterloom.operators import combine, imagery, pixels, resample, spatial, temporal
 from rasterloom.plans.graph import bind, execute, session_loaders
 from rasterloom.services import tiles
+from rasterloom.sources import annotation
 from rasterloom.sources.catalog import BandInfo, Collection, load_collection, search
 from rasterloom.sources.tables import EVENT_BANDS, EVENT_GRID, SCENE_BANDS, events_cube, order_catalog, scene_cube, scenes, table
 from rasterloom.streaming.windows import windowed
@@ -776,6 +777,28 @@ def load_property_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(load_collection(scenes(spark, sf_dir), bands=["quantity"], properties={"line": "1"}, max_items=100_000))
 
 
+_CALIBRATION = """<calibration><calibrationVectorList>
+<calibrationVector><line>0</line><pixel count="2">0 7</pixel><sigmaNought count="2">20 27</sigmaNought></calibrationVector>
+<calibrationVector><line>7</line><pixel count="2">0 7</pixel><sigmaNought count="2">34 55</sigmaNought></calibrationVector>
+</calibrationVectorList></calibration>"""
+_NOISE = """<noise><noiseVectorList>
+<noiseVector><line>0</line><pixel>0 7</pixel><noiseLut>100 107</noiseLut></noiseVector>
+<noiseVector><line>7</line><pixel>0 7</pixel><noiseLut>114 121</noiseLut></noiseVector>
+</noiseVectorList></noise>"""
+
+
+@query(
+    "sar_chain",
+    f"{EV} select t, y, x, {r('case when click > 0 then greatest(click * click - (100 + x + 2 * y), 0) / pow((1 - y / 7.0) * ((1 - x / 7.0) * 20 + x / 7.0 * 27) + y / 7.0 * ((1 - x / 7.0) * 34 + x / 7.0 * 55), 2) end', 'vv')} from c",
+)
+def sar_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From annotation documents to backscatter."""
+    c = events_cube(spark, sf_dir)
+    one = lambda text: spark.createDataFrame([(text,)], "value string")
+    c = annotation.with_annotations(c.select({"vv": c.band("click")}), {"vv": one(_CALIBRATION)}, {"vv": one(_NOISE)})
+    return rows(imagery.sar_backscatter(c, "sigma0-ellipsoid"))
+
+
 @query("create_data_cube", "select timestamp '1900-01-01' as t, 0::int as y, 0::int as x where false")
 def create_data_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.create_data_cube(spark.range(0)).df

@@ -179,3 +179,20 @@ def test_tiles_as_processes(spark, tmp_path):
 def test_validate_sees_what_execute_would():
     graph = {"a": {"process_id": "load_collection", "arguments": {"id": "x"}}, "b": {"process_id": "ndvi", "arguments": {"data": {"from_node": "c"}}}, "c": {"process_id": "apply", "arguments": {"data": {"from_node": "b"}}, "result": True}}
     assert {e["code"] for e in validate(graph)} == {"ProcessParameterInvalid", "ProcessParameterRequired"}
+
+
+def test_tiffs_of_whole_numbers(make):
+    c = make({"2024-01-01": {"red": [[1, None]], "nir": [[300, -4]]}})
+
+    def tags(data):
+        (at,) = struct.unpack("<I", data[4:8])
+        return {t: (kind, n, value) for t, kind, n, value in (struct.unpack("<HHII", data[at + 2 + 12 * i : at + 14 + 12 * i]) for i in range(struct.unpack("<H", data[at : at + 2])[0]))}
+
+    data = save_result(c, "GTiff", {"dtype": "int16", "nodata": -9999}).data
+    assert np.frombuffer(data[-8:], "<i2").tolist() == [1, -9999, 300, -4]
+    assert tags(data)[258][2] & 0xFFFF == 16 and tags(data)[339][2] & 0xFFFF == 2
+    assert b"-9999\0" in data
+    assert np.frombuffer(save_result(c, "GTiff", {"dtype": "uint8"}).data[-4:], "u1").tolist() == [1, 0, 255, 0]
+    assert np.isnan(np.frombuffer(save_result(c, "GTiff", {"dtype": "float32"}).data[-16:], "<f4")[1])
+    with pytest.raises(errors.ProcessParameterInvalid):
+        save_result(c, "GTiff", {"dtype": "uint8", "nodata": -1})
