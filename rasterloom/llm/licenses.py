@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of lines to templates, and inheritance down directories.
 
-Every line of a file is compared with every template notice; words weigh by their inverse
-frequency among the templates, unknown words the most.  A file whose best line reaches the
-threshold declares that licence.  A file without one inherits from the licence file of the
+Parts of a file (lines, or also paragraphs and the whole) are compared with templates (notices, or
+also licence texts); words weigh by their inverse frequency among the templates, unknown
+words the most.  A file whose best part reaches the threshold declares that licence.  A file without one inherits from the licence file of the
 nearest ancestor directory.
 
 A line can only reach the threshold if it has one of the *key words*: those are added per
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,62 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
 )
+
+#: Texts of licences and the notices of several lines by which files refer to them.
+TEXTS = (
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+License for more details. You should have received a copy of the GNU General Public License along with this program.
+If not, see https://www.gnu.org/licenses/."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The
+above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""),
+)
 THRESHOLD = 0.8
 _TERM = "[a-z0-9]+"
 
@@ -62,9 +119,11 @@ def weigh(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in bag.items()))
         rows += [(i, templates[i][0], t, k * idf[t] / norm) for t, k in bag.items()]
     for i in range(n):
-        own = sorted(((w, t) for j, _, t, w in rows if j == i and t not in keys), reverse=True)
-        left = sum(w * w for w, _ in own)
-        for w, t in own:
+        long_notice = len(bags[i]) > 20
+        # long words are rarer in prose: short ones come last, and of words that weigh the same the shortest
+        own = sorted(((long_notice and len(t), round(w, 9), len(t), t, w) for j, _, t, w in rows if j == i and t not in keys), reverse=True)
+        left = sum(w * w for *_, w in own)
+        for *_, t, w in own:
             if left < (threshold * 0.999) ** 2:
                 break
             keys.add(t)
@@ -72,12 +131,29 @@ def weigh(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple
     return rows, math.log(1 + n) + 1, sorted(keys)
 
 
-def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def lines(text: Column) -> Column:
+    """Each line of a text."""
+    return F.split(text, "[\n\r]")
+
+
+def blocks(text: Column) -> Column:
+    """The whole text, each of its paragraphs, each of its lines.
+
+    So a licence file, a header wrapped over several lines and a notice on one line are each compared as
+    one.
+    """
+    even = F.regexp_replace(text, "\r\n?", "\n")
+    return F.concat(F.array(even), F.split(even, "\n[ \t]*\n"), F.split(even, "\n"))
+
+
+def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, threshold: float = THRESHOLD, units: Callable[[Column], Column] = lines) -> DataFrame:
     """``id, license, score, line``: the best declared licence of each file that has one.
 
-    ``line`` is the first line (from 0) of the best score; ties go to the earlier line, then
-    the smaller licence.  Rows that share an id are one file's parts.  Null texts and
-    lines without words declare nothing.
+    ``units`` makes an array of the parts of a text that are compared; ``line`` is the place (from 0) of the
+    first part of the best score; ties go to the earlier part, then the smaller licence.  Rows that share an
+    id are one file's parts, so repeated rows declare what one of them does.  Null texts and parts
+    without words declare nothing; texts of any length are read whole; an empty table
+    declares nothing.
     """
     spark = files.sparkSession
     rows, unknown, keys = weigh(templates, threshold)
@@ -90,19 +166,19 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))
 
     text, any_key = F.col(f"`{text_col}`"), "(?i)(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
-    told = files.where(text.rlike(any_key)).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(text, "[\n\r]")).alias("line", "words"))
+    told = files.where(text.rlike(any_key)).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(units(text)).alias("line", "words"))
     bag = F.regexp_extract_all(lower_ascii(F.col("words")), F.lit(_TERM), F.lit(0))
     # in an array of one, a bag is made once, whatever reads it
     bags = F.filter(F.array(bag), lambda b: F.arrays_overlap(b, F.array(*[F.lit(k) for k in keys])) & _may_reach(b, idf, unknown, threshold))
-    lines = told.where(F.col("words").rlike(any_key)).select("id", "line", F.explode_outer(bags).alias("bag")).where("bag is not null")
-    lines = cut(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
-    tf = lines.select("id", "line", "at", F.explode("bag").alias("term")).groupBy("id", "line", "at", "term").agg(F.count("*").alias("tf"))
+    met = told.where(F.col("words").rlike(any_key)).select("id", "line", F.explode_outer(bags).alias("bag")).where("bag is not null")
+    met = cut(met.withColumn("at", F.monotonically_increasing_id()), "lines")
+    tf = met.select("id", "line", "at", F.explode("bag").alias("term")).groupBy("id", "line", "at", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(weights, "term", "left").withColumn("w1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("w1") * F.col("w1"))).alias("norm"))
     dots = weighed.join(vectors, "term").groupBy("id", "line", "at", "template", "license").agg(F.sum(F.col("w1") * F.col("w")).alias("dot"))
     scored = dots.join(norms, "at").select("id", "line", "license", F.least(F.col("dot") / F.col("norm"), F.lit(1.0)).alias("score"))
     # equal up to rounding is a tie
-    best = F.max_by(F.struct("license", "score", "line"), F.struct(F.round("score", 9), -F.col("line"), _reverse("license")))
+    best = F.min_by(F.struct("license", "score", "line"), F.struct(-F.round("score", 9), "line", "license"))
     return scored.where(F.col("score") >= threshold - 1e-12).groupBy("id").agg(best.alias("b")).select("id", "b.license", "b.score", "b.line")
 
 
@@ -110,7 +186,8 @@ def _may_reach(bag: Column, idf: dict[str, float], unknown: float, threshold: fl
     """Whether a line's cosine with any template can reach the threshold.
 
     With K the square of its known words' vector and U that of the others, no cosine squared
-    exceeds K / (K + U), and U is at least the number of other words times ``unknown`` squared.
+    exceeds K / (K + U), and U is at least the square of the number of other words over that of distinct ones,
+    times ``unknown`` squared.
     """
     weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
     least = (threshold * 0.999) ** 2
@@ -118,17 +195,13 @@ def _may_reach(bag: Column, idf: dict[str, float], unknown: float, threshold: fl
     def enough(known: Column) -> Column:
         square = lambda t: F.pow(F.size(F.filter(known, lambda x: x == t)) * weight[t], F.lit(2.0))
         k = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda total, t: total + square(t))
-        return k * (1 - least) >= (F.size(bag) - F.size(known)) * (least * unknown * unknown)
+        others, distinct = F.size(bag) - F.size(known), F.size(F.array_distinct(bag)) - F.size(F.array_distinct(known))
+        return k * (1 - least) >= F.coalesce(F.try_divide(others * others.cast("double"), distinct), F.lit(0.0)) * (least * unknown * unknown)
 
     known = F.filter(bag, lambda x: F.array_contains(F.array(*[F.lit(t) for t in sorted(idf)]), x))
     return F.exists(F.array(known), enough)
 
 
-def _reverse(text: str) -> Column:
-    """A key that sorts short ASCII texts the other way round."""
-    return F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: -F.ascii(F.substring(F.col(text), i, F.lit(1))))
-
-
 def ancestors(directory: Column) -> Column:
     """The directory itself and those above, up to the empty one: structs (dir, depth)."""
     parts = F.when(directory == "", F.array().cast("array<string>")).otherwise(F.split(directory, "/"))

@@ -94,13 +94,21 @@ def op10_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     divisible by four in that of their hundreds, the rest, like all other documents, in that of
     their tens.
     """
-    docs = _table(spark, sf_dir, "documents")
+    return _tree(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of ``op10_license_tree``; lines, paragraphs and whole texts against notices and licence texts."""
+    return _tree(_table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES + licenses.TEXTS, units=licenses.blocks)
+
+
+def _tree(docs: DataFrame, **how) -> DataFrame:
     i = F.col("doc_id")
     name = F.when(i % 2 == 0, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(i.cast("string"))
     hundreds = F.when(i % 10 != 0, F.floor(i / 100).cast("string"))
     tens = F.when((i % 10 != 0) & (i % 4 != 0), F.floor(i / 10).cast("string"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), hundreds, tens, name)
-    out = licenses.license_scan(docs, path)
+    out = licenses.license_scan(docs, path, **how)
     return out.select(out["id"].alias("doc_id"), "path", "license", "score", "origin", "license_dir")
 
 
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
     "op10_license_tree": op10_license_tree,
+    "op10_license_texts": op10_license_texts,
 }
 
 ORACLE: dict[str, str] = {
@@ -126,4 +135,5 @@ ORACLE: dict[str, str] = {
     "op9_chat": sql.OP9,
     "op10_licenses": sql.OP10,
     "op10_license_tree": sql.OP10_TREE,
+    "op10_license_texts": sql.OP10_TEXTS,
 }

@@ -92,12 +92,17 @@ from c group by conv_id
 """
 
 
-def _op10() -> str:
-    """Every word of every line against every template."""
-    from rasterloom.llm.licenses import TEMPLATES, THRESHOLD
+def _op10(texts: bool = False) -> str:
+    """Every word of every line (or also of every paragraph and text) against every template."""
+    from rasterloom.llm.licenses import TEMPLATES, TEXTS, THRESHOLD
 
-    notices = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
-    n = len(TEMPLATES)
+    templates = TEMPLATES + TEXTS if texts else TEMPLATES
+    parts = "string_split_regex(text, '[\\n\\r]')"
+    if texts:
+        even = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+        parts = f"list_concat([{even}], string_split_regex({even}, '\\n[ \\t]*\\n'), string_split_regex({even}, '\\n'))"
+    notices = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    n = len(templates)
     bag = "unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))"
     return f"""
 with t(i, license, notice) as (values {notices}),
@@ -105,7 +110,7 @@ tt as (select i, license, {bag.format("notice")} as term from t),
 tf as (select i, license, term, count(*) as k from tt group by all),
 idf as (select term, ln({1 + n}::double / (1 + count(*))) + 1 as idf from tf group by 1),
 tv as (select i, license, term, k * idf as w, sqrt(sum((k * idf) ** 2) over (partition by i)) as norm from tf join idf using (term)),
-l as (select doc_id, unnest(string_split_regex(text, '[\\n\\r]')) as words, generate_subscripts(string_split_regex(text, '[\\n\\r]'), 1) - 1 as line from documents where text is not null),
+l as (select doc_id, unnest({parts}) as words, generate_subscripts({parts}, 1) - 1 as line from documents where text is not null),
 lt as (select doc_id, line, {bag.format("words")} as term from l),
 lf as (select doc_id, line, term, count(*) as k from lt group by all),
 lw as (select doc_id, line, term, k * coalesce(idf, ln({1 + n}::double) + 1) as w from lf left join idf using (term)),
@@ -130,10 +135,8 @@ from u
 
 OP10 = _op10()
 
-#: The scan of OP10, and every licence file above a document rather than its own directory's.
-OP10_TREE = (
-    OP10[: OP10.index("\nf as (") + 1]
-    + """f as (
+#: After the scan of OP10: every licence file above a document rather than its own directory's.
+_TREE = """f as (
   select d.doc_id, d.doc_id % 2 = 0 as named,
     concat_ws('/', coalesce(d.source, ''), case when d.doc_id % 10 <> 0 then floor(d.doc_id / 100)::bigint::varchar end,
       case when d.doc_id % 10 <> 0 and d.doc_id % 4 <> 0 then floor(d.doc_id / 10)::bigint::varchar end) as dir, b.license, b.score
@@ -148,4 +151,7 @@ select p.doc_id, p.path, coalesce(p.license, u.l1) as license, coalesce(p.score,
   case when p.license is null then u.from1 end as license_dir
 from p left join u on u.path = p.path and u.r = 1
 """
-)
+OP10_TREE = OP10[: OP10.index("\nf as (") + 1] + _TREE
+
+#: The same with licence texts among the templates, paragraphs and whole texts among the parts.
+OP10_TEXTS = _op10(True)[: _op10(True).index("\nf as (") + 1] + _TREE

@@ -125,9 +125,10 @@ def test_conversations_read_back(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
-def test_key_words_are_enough():
-    rows, unknown, keys = licenses.weigh()
-    for i in range(len(licenses.TEMPLATES)):
+@pytest.mark.parametrize("templates", [licenses.TEMPLATES, licenses.TEMPLATES + licenses.TEXTS])
+def test_key_words_are_enough(templates):
+    rows, unknown, keys = licenses.weigh(templates)
+    for i in range(len(templates)):
         rest = sum(w * w for j, _, t, w in rows if j == i and t not in keys)
         assert rest < licenses.THRESHOLD**2
     assert unknown > 0
@@ -158,3 +159,30 @@ def test_tree_inherits_across_levels(spark, tmp_path):
     assert all(out[i] == ("MPL-2.0", "inherited", "web/1") for i in (107, 115))  # hundreds, one level up
     assert all(out[i] == ("MIT", "inherited", "web") for i in (1, 15, 203))  # source, two levels up
     assert out[301] == (None, "none", None)
+
+
+def test_licence_texts_and_wrapped_headers(spark):
+    full = {name: text for name, text in licenses.TEXTS}
+    apache = "#!/bin/sh\n" + "\n".join(f"# {line}" for line in full["Apache-2.0"].splitlines()) + "\n#\n\nimport os\n" + "x = y + z\n" * 400
+    wrapped = "/* Copyright 2020 Somebody.\n\n   This work is licensed under the GNU\n   General Public License, version 3\n\n*/ int main() { return 0; }"
+    rows = [
+        (0, "MIT License\n\nCopyright (c) 2020 Foo Inc\n\n" + full["MIT"]), (1, full["BSD-2-Clause"]), (2, "Copyright 2021, The Authors\r\n\r\n" + full["BSD-3-Clause"].replace("\n", "\r\n")), (3, apache),
+        (4, wrapped), (5, "/*\n" + full["GPL-3.0"] + "\n*/\nvoid f();"), (6, full["ISC"]), (7, "The authors of the work shall not be liable for the use of the software or of the notice. " * 3), (8, None), (9, ""),
+        (10, "of the and to in or a is that it " * 30000),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    how = {"templates": licenses.TEMPLATES + licenses.TEXTS, "units": licenses.blocks}
+    out = {r["id"]: r["license"] for r in licenses.scan(df, "doc_id", "text", **how).collect()}
+    assert out == {0: "MIT", 1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "Apache-2.0", 4: "GPL-3.0", 5: "GPL-3.0", 6: "ISC"}
+
+
+def test_licence_ties_repeats_and_long_texts(spark):
+    a, b = "Released under the MIT License", "Licensed under the BSD 3-Clause License"
+    rows = [(1, f"x\n{b}\n{a}"), (2, f"{a}\n{b}"), (2, f"{a}\n{b}"), (3, "word\n" * 200_000 + a), (4, f"{a} {a}"), (None, a)]
+    out = {r["id"]: (r["license"], r["line"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert out[1] == ("BSD-3-Clause", 1) and out[2] == ("MIT", 0) and out[3] == ("MIT", 200_000) and out[4] == ("MIT", 0)
+    same = (("Zeta", "shared words of a notice"), ("Alpha", "shared words of a notice"))
+    tied = licenses.scan(spark.createDataFrame([(1, "shared words of a notice")], "doc_id long, text string"), "doc_id", "text", templates=same).collect()
+    assert [r["license"] for r in tied] == ["Alpha"]
+    repeated = licenses.license_scan(spark.createDataFrame([(5, a, "p/LICENSE"), (5, a, "p/LICENSE"), (6, "x", "p/x")], "doc_id long, text string, path string"), F.col("path")).collect()
+    assert sorted((r["id"], r["license"], r["origin"]) for r in repeated) == [(5, "MIT", "header"), (5, "MIT", "header"), (6, "MIT", "inherited")]
