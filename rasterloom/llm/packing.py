@@ -10,6 +10,7 @@ closed up, and the last one is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -33,6 +34,9 @@ CACHE = 250_000
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 _PLAIN = re.compile(r"[\x00-įı-ɏ]*")
+#: How the vocabulary file that ``Ids`` knows cuts a text, and its special strings.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
 
@@ -46,18 +50,30 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+def splits_at_blanks(about: dict) -> bool:
+    """Whether a tokenizer's file has the steps, the pattern and the special strings that ``Ids`` imitates."""
+    before, cuts = ((about.get(part) or {}).get(of) or [] for part, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    steps = [x.get("type") for x in (*before, *cuts)]
+    patterns = [x["pattern"].get("Regex") for x in (*before, *cuts) if "pattern" in x]
+    special = {x["content"] for x in about.get("added_tokens") or []}
+    return steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and patterns == [r"\s+", _SPLIT] and special == _SPECIAL and about["model"]["type"] == "BPE"
+
+
 class Ids:
     """Ids of texts, word by word, equal to the tokenizer's own for the whole text.
 
     The tokenizer never joins what white space parts, so a word's ids are the same in any
     text; words met before are looked up.  Texts with its special strings, or with the four
-    control characters that it and Python split differently, go to it whole.
+    control characters that it and Python split differently, go to it whole.  So do all texts if the
+    file is set up in another way than this class knows.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = splits_at_blanks(json.load(f))
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.coded = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
@@ -82,7 +98,7 @@ class Ids:
 
     def __call__(self, text: str) -> bytes:
         """Unsigned little-endian 32-bit ids."""
-        if _ODD.search(text):
+        if not self.by_words or _ODD.search(text):
             return self._whole(text)
         words = text.split()
         new = set(words).difference(self.words)
@@ -112,7 +128,7 @@ class Packer:
         self.length, self.most, self.slack = length, windows, slack
         self.open: dict[int, list] = {}
         self.free: list[tuple[int, int]] = []
-        self.made = 0
+        self.made = self._key = 0
         self.closed: list[tuple[int, list]] = []
 
     def _close(self, pieces: list) -> None:
@@ -148,7 +164,7 @@ class Packer:
             self._close(pieces)
             self._place(doc, start, ids, doc_tokens)
             return
-        self._key = getattr(self, "_key", 0) + 1
+        self._key += 1
         self.open[self._key] = [(doc, start, ids, doc_tokens)]
         insort(self.free, (self.length - size, self._key))
 

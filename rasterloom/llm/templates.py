@@ -253,11 +253,14 @@ def fold(node: Any, pure: frozenset[str] = frozenset(FILTERS)) -> Any:
         if kind == "get":
             return ("const", _get(*values))
         if kind in _BINARY:
-            return ("const", _BINARY[kind](*values))
+            try:
+                return ("const", _BINARY[kind](*values))
+            except TypeError as e:
+                raise TemplateError(f"{values[0]!r} and {values[1]!r} don't go together") from e
     return (kind, *parts)
 
 
-def fold_body(body: list[tuple]) -> list[tuple]:
+def fold_body(body: list[tuple], pure: frozenset[str] = frozenset(FILTERS)) -> list[tuple]:
     """Statements with constants folded, dead branches dropped and neighbouring texts joined."""
     out: list[tuple] = []
 
@@ -270,15 +273,15 @@ def fold_body(body: list[tuple]) -> list[tuple]:
     for node in body:
         kind = node[0]
         if kind == "write":
-            e = fold(node[1])
+            e = fold(node[1], pure)
             put(("text", _text(e[1])) if e[0] == "const" else ("write", e))
         elif kind == "if":
             branches = []
             for condition, inner in node[1]:
-                c = fold(condition)
+                c = fold(condition, pure)
                 if c[0] == "const" and not c[1]:
                     continue
-                branches.append((c, fold_body(inner)))
+                branches.append((c, fold_body(inner, pure)))
                 if c[0] == "const":
                     break
             if branches and branches[0][0][0] == "const":
@@ -287,11 +290,11 @@ def fold_body(body: list[tuple]) -> list[tuple]:
             elif branches:
                 put(("if", branches))
         elif kind == "for":
-            put(("for", node[1], fold(node[2]), fold_body(node[3])))
+            put(("for", node[1], fold(node[2], pure), fold_body(node[3], pure)))
         elif kind == "generation":
-            put(("generation", fold_body(node[1])))
+            put(("generation", fold_body(node[1], pure)))
         elif kind == "set":
-            put(("set", node[1], fold(node[2])))
+            put(("set", node[1], fold(node[2], pure)))
         else:
             put(node)
     return out
@@ -389,5 +392,5 @@ def _statement(node: tuple, filters: dict[str, Callable]) -> Callable[[dict, boo
 
 def compile_template(source: str, filters: dict[str, Callable] | None = None) -> Callable[..., Pieces]:
     """A function of named data that yields ``(text, generated)`` pieces."""
-    run = _statements(fold_body(parse(source)), FILTERS | (filters or {}))
+    run = _statements(fold_body(parse(source), frozenset(FILTERS) - set(filters or {})), FILTERS | (filters or {}))
     return lambda **data: run(data, False)

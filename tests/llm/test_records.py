@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chat, licenses, warc
-from rasterloom.llm.templates import TemplateError, compile_template, fold_body, parse
+from rasterloom.llm.templates import FILTERS, TemplateError, compile_template, fold_body, parse
 
 
 def pages(spark, rows):
@@ -101,6 +101,14 @@ def test_templates():
         render("{{ a.b }}", a=3)
 
 
+def test_given_filters_are_not_folded_away():
+    name = next(iter(FILTERS))
+    shown = list(compile_template("{{ 'ab' | " + name + " }}", {name: lambda v: "mine"})())
+    assert shown == [("mine", False)]
+    with pytest.raises(TemplateError):
+        compile_template("{{ 1 + 'a' }}")
+
+
 def test_escapes_are_reversible():
     for text in ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<s><s>", "[[INST]]", "[/ROLE]\\", "plain"]:
         assert chat.unescape(chat.escape(text)) == text

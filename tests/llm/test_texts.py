@@ -84,6 +84,41 @@ def test_word_ids_equal_those_of_the_text():
         assert np.frombuffer(ids(text), "<u4").tolist() == ids.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_take_texts_whole(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        about = json.load(f)
+    assert packing.splits_at_blanks(about)
+    about["normalizer"]["normalizers"] = about["normalizer"]["normalizers"][:2]
+    (tmp_path / "other.json").write_text(json.dumps(about), encoding="utf-8")
+    ids = packing.Ids(str(tmp_path / "other.json"))
+    text = "Upper lower ÜBER it's"
+    assert np.frombuffer(ids(text), "<u4").tolist() == ids.whole.encode(text, add_special_tokens=False).ids
+    assert ids(text) != packing.Ids(PATH)(text)
+
+
+def test_merges_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rows = [(i, f"word {i} " * (i % 40 + 1), "x", "s") for i in range(300)]
+    out = packing.pack(docs(spark, rows).repartition(13), PATH).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    full = 0
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        full += at == 2048 or at & (at - 1) == 0
+    assert full >= len(by) - 2 * 13
+    total = {}
+    for r in out:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert all(total[r["doc_id"]] == r["doc_tokens"] for r in out) and len(total) == 300
+
+
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(rng.integers(0, 60)), "x", ["b", "a", None, "ä"][i % 4] if i % 3 else "hot") for i in range(400)] + [(900, None, "x", "only nothing")]
