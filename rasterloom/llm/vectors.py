@@ -1,10 +1,11 @@
 """Near-duplicate vectors by Euclidean p-stable hashing with exact cosine checks.
 
-A normalised vector's bucket in a table is the tuple of ``floor((a . x + b) / w)`` over
-``HASHES`` Gaussian directions ``a``.  At cosine 0.9 (distance 0.447) two vectors share one
-hash with probability 0.857 and all sixteen of a table with 0.085, so 64 tables miss such
-a pair with probability 0.004; at cosine 0.98 they miss it with less than 1e-13.  Unrelated
-vectors of 64 parts share a table's bucket about once in 10,000.
+A normalised vector's bucket in a table is the tuple of ``floor((a . x + b) / w)`` over some
+Gaussian directions ``a``.  ``plan`` takes so many directions that about ``MATES`` unrelated vectors
+share a bucket, whatever the number of vectors, and so many tables that a pair at the threshold
+shares none of their buckets with probability ``MISS`` at most: 13 directions and 43 tables for 50,000 vectors and
+cosine 0.9, 26 and 338 for 50 million.  Nearer pairs are missed far less often: at
+cosine 0.95, 43 tables of 13 miss one in 200,000.
 
 Equal vectors are one row from the first step on.  A bucket of more than ``BLOCK`` rows is
 dealt into blocks, and a unit of work compares two blocks.  Rows first travel with 128 sign bits of
@@ -16,6 +17,7 @@ components a unit emits a star for each component that it sees.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +28,43 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import connected_components, cut, grouped, matrix, roots, valid_vector
 from rasterloom.llm.minhash import mix
 
-TABLES = 64
-HASHES = 16
+#: Unrelated vectors in a bucket, and the chance that a pair at the threshold is missed.
+MATES = 32
+MISS = 0.002
+#: Directions of a table at least.
+LEAST_HASHES = 12
 WIDTH = 2.5
 BLOCK = 1024
+#: A unit of work: a bucket and two of its blocks, the smaller times ``SIDES`` plus the larger; ``one`` tells
+#: the rows of the smaller.
+UNIT = ["key", "unit"]
+SIDES = 1 << 31
 #: Sign bits of a sketch.
 BITS = 128
 #: Whole numbers of this fineness stand for parts of vectors and directions.
 SCALE = float(1 << 20)
 
 
+def collision(distance: float, width: float = WIDTH) -> float:
+    """The chance that one rounded projection of two vectors at a distance is the same."""
+    x = width / max(distance, 1e-9)
+    return math.erf(x / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * x) * (1 - math.exp(-x * x / 2))
+
+
+def plan(n: int, threshold: float) -> tuple[int, int]:
+    """Tables and directions in each for ``n`` vectors; unrelated ones are at right angles."""
+    hashes = max(LEAST_HASHES, math.ceil(math.log(max(n, 1) / MATES) / -math.log(collision(math.sqrt(2))))) if n > MATES else LEAST_HASHES
+    near = collision(math.sqrt(max(0.0, 2 - 2 * threshold))) ** hashes
+    return math.ceil(math.log(MISS) / math.log1p(-min(near, 1 - 1e-9))), hashes
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows divided by their lengths, in double precision."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def bucket_keys(u: np.ndarray, seed: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> np.ndarray:
+def bucket_keys(u: np.ndarray, seed: int, tables: int, hashes: int, width: float = WIDTH) -> np.ndarray:
     """One key per row and table.  A row's keys don't depend on the rows beside it.
 
     Vectors and directions are rounded to integers before they are multiplied, so sums are exact
@@ -74,18 +96,18 @@ def most_bits(threshold: float) -> int:
     return int(BITS * p + 6.3 * np.sqrt(BITS * p * (1 - p))) + 1
 
 
-def _hash(seed: int):
+def _hash(seed: int, tables: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             lens = np.diff(batch.column("vec").offsets.to_numpy())
-            keys, bits = np.empty((batch.num_rows, TABLES), dtype=np.uint64), np.empty((batch.num_rows, 2), dtype=np.int64)
+            keys, bits = np.empty((batch.num_rows, tables), dtype=np.uint64), np.empty((batch.num_rows, 2), dtype=np.int64)
             for d in np.unique(lens):
                 rows = np.flatnonzero(lens == d)
                 u = unit_rows(matrix(batch.column("vec").take(pa.array(rows)), len(rows)))
-                keys[rows], bits[rows] = bucket_keys(u, seed), sketches(u, seed)
-            at = np.arange(0, keys.size + 1, TABLES, dtype=np.int32)
+                keys[rows], bits[rows] = bucket_keys(u, seed, tables, hashes), sketches(u, seed)
+            at = np.arange(0, keys.size + 1, tables, dtype=np.int32)
             lists = pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "keys", "s0", "s1"])
 
@@ -96,20 +118,21 @@ def _sieve(most: int):
     """Rows of units, sorted: those that have a partner whose sketch differs in few bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, at in grouped(batches, ["table", "key", "i", "j"]):
-            i, j, side = (rows[c].to_numpy() for c in ("i", "j", "side"))
+        for rows, at in grouped(batches, UNIT):
+            unit, one_side = rows["unit"].to_numpy(), rows["one"].to_numpy()
+            inner = unit % SIDES == unit // SIDES
             s0, s1 = (rows[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
             end = np.repeat(at[1:], np.diff(at))
             near, step, one = np.zeros(rows.num_rows, dtype=bool), 1, np.arange(rows.num_rows)
             while len(one := one[one + step < end[one]]):
                 two = one + step
                 bits = np.bitwise_count(s0[one] ^ s0[two]) + np.bitwise_count(s1[one] ^ s1[two])
-                hit = (bits <= most) & ((i[one] == j[one]) | (side[one] != side[two]))
+                hit = (bits <= most) & (inner[one] | (one_side[one] != one_side[two]))
                 near[one[hit]] = near[two[hit]] = True
                 step += 1
             kept = np.flatnonzero(near)
             if len(kept):
-                yield from rows.select(["table", "key", "i", "j", "side", "id"]).take(pa.array(kept)).combine_chunks().to_batches()
+                yield from rows.select([*UNIT, "one", "id"]).take(pa.array(kept)).combine_chunks().to_batches()
 
     return run
 
@@ -126,11 +149,11 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, keys: np.ndarray, table: int) -
     return out
 
 
-def _compare(threshold: float, seed: int):
+def _compare(threshold: float, seed: int, tables: int, hashes: int):
     """Rows of units, sorted: for each row the weight of new links and a node of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, at in grouped(batches, ["table", "key", "i", "j"]):
+        for rows, at in grouped(batches, UNIT):
             n = rows.num_rows
             lens = np.diff(rows["vec"].combine_chunks().offsets.to_numpy())
             if lens.min() != lens.max():
@@ -140,18 +163,19 @@ def _compare(threshold: float, seed: int):
             for part, bounds in parts:
                 n = part.num_rows
                 u = unit_rows(matrix(part["vec"], n))
-                ids, weight, table, side, i, j = (part[c].to_numpy() for c in ("id", "weight", "table", "side", "i", "j"))
+                ids, weight, key, unit, one_side = (part[c].to_numpy() for c in ("id", "weight", "key", "unit", "one"))
+                inner = unit % SIDES == unit // SIDES
                 left, right = [], []
                 for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                     if e - s < 2:
                         continue
-                    if i[s] == j[s]:
+                    if inner[s]:
                         one = two = np.arange(s, e)
                     else:
-                        one, two = (s + np.flatnonzero(side[s:e] == x) for x in (i[s], j[s]))
+                        one, two = (s + np.flatnonzero(one_side[s:e] == x) for x in (True, False))
                     p, q = np.nonzero(u[one] @ u[two].T >= threshold)
                     p, q = one[p], two[q]
-                    if i[s] == j[s]:
+                    if inner[s]:
                         p, q = p[p < q], q[p < q]
                     left.append(p)
                     right.append(q)
@@ -159,11 +183,12 @@ def _compare(threshold: float, seed: int):
                     continue
                 a, b = np.concatenate(left), np.concatenate(right)
                 met, back = np.unique(np.r_[a, b], return_inverse=True)
-                keys = bucket_keys(u[met], seed)
+                keys = bucket_keys(u[met], seed, tables, hashes)
+                table = (keys == key[met].view(np.uint64)[:, None]).argmax(axis=1)
                 a, b = back[: len(a)], back[len(a) :]
                 count = np.zeros(len(met), dtype=np.int64)
-                for t in np.unique(table[met]):
-                    mine = table[met[a]] == t
+                for t in np.unique(table):
+                    mine = table[a] == t
                     new = np.flatnonzero(mine)[_first_meeting(a[mine], b[mine], keys, int(t))]
                     np.add.at(count, a[new], weight[met[b[new]]])
                     np.add.at(count, b[new], weight[met[a[new]]])
@@ -189,21 +214,22 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     one = usable.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     # two different vectors may share an id, so distinct vectors get numbers of their own
     one = cut(one.select("id", "weight", "vec", F.monotonically_increasing_id().alias("rep")), "vectors")
-    keyed = cut(one.select(F.col("rep").alias("id"), "vec").mapInArrow(_hash(seed), "id long, keys array<long>, s0 long, s1 long"), "buckets")
-    entries = keyed.select("id", "s0", "s1", F.posexplode("keys").alias("table", "key"))
-    large = cut(entries.groupBy("table", "key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large")
-    parts = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    side = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    units = entries.join(large, ["table", "key"], "left").withColumn("parts", parts).withColumn("side", side)
-    units = units.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    unit = ["table", "key", "i", "j"]
-    units = units.select("table", "key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "s0", "s1")
-    units = units.repartition(*unit).sortWithinPartitions(*unit)
+    tables, hashes = plan(one.count(), threshold)
+    keyed = cut(one.select(F.col("rep").alias("id"), "vec").mapInArrow(_hash(seed, tables, hashes), "id long, keys array<long>, s0 long, s1 long"), "buckets")
+    entries = keyed.select("id", "s0", "s1", F.explode("keys").alias("key"))
+    large = cut(entries.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large")
+    parts = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("long")
+    side = F.pmod(F.xxhash64("id"), F.col("parts"))
+    units = entries.join(large, "key", "left").withColumn("parts", parts).withColumn("side", side)
+    units = units.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    number = F.least("side", "o") * SIDES + F.greatest("side", "o")
+    units = units.select("key", number.alias("unit"), (F.col("side") <= F.col("o")).alias("one"), "id", "s0", "s1")
+    units = units.repartition(*UNIT).sortWithinPartitions(*UNIT)
     # vectors join only rows of a unit that have a likely partner there
-    likely = cut(units.mapInArrow(_sieve(most_bits(threshold)), "table int, key long, i int, j int, side int, id long"), "likely")
+    likely = cut(units.mapInArrow(_sieve(most_bits(threshold)), "key long, unit long, one boolean, id long"), "likely")
     work = likely.join(one.select(F.col("rep").alias("id"), "weight", "vec"), "id")
-    work = work.repartition(*unit).sortWithinPartitions(*unit, "id")
-    found = cut(work.mapInArrow(_compare(threshold, seed), "id long, other long, links long"), "links")
+    work = work.repartition(*UNIT).sortWithinPartitions(*UNIT, "id")
+    found = cut(work.mapInArrow(_compare(threshold, seed, tables, hashes), "id long, other long, links long"), "links")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per = one.join(counts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "id", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))

@@ -113,9 +113,9 @@ def test_keys_don_t_depend_on_the_rows_beside():
     from rasterloom.llm.vectors import bucket_keys, sketches, unit_rows
 
     u = unit_rows(np.random.default_rng(3).standard_normal((700, 48)))
-    whole = bucket_keys(u, 7)
+    whole = bucket_keys(u, 7, 40, 13)
     for rows in ([0], [5, 699], list(range(100, 163))):
-        assert (bucket_keys(u[rows], 7) == whole[rows]).all()
+        assert (bucket_keys(u[rows], 7, 40, 13) == whole[rows]).all()
     assert sketches(u, 7).shape == (700, 2)
 
 
@@ -146,3 +146,17 @@ def test_rows_that_share_an_id_or_have_none(spark):
     out = nearest(frame(spark, [*rows, (3, b), (5, [0.9, 0.1, 0.0])]), F.col("vec_id") == 2, k=3).collect()
     assert [r["id"] for r in sorted(out, key=lambda r: r["rank"])][:1] == [1]
     assert all(r["id"] not in (None, 2) for r in out)
+
+
+def test_tables_and_directions():
+    from rasterloom.llm.vectors import MISS, collision, plan
+
+    rng = np.random.default_rng(1)
+    for distance in (0.447, 1.414):
+        gap = distance * rng.standard_normal(200_000)
+        same = np.floor(rng.uniform(0, 1, gap.size) + gap / 2.5) == 0
+        assert abs(same.mean() - collision(distance)) < 5e-3
+    for n in (0, 100, 50_000, 50_000_000):
+        tables, hashes = plan(n, 0.9)
+        assert (1 - collision(np.sqrt(0.2)) ** hashes) ** tables <= MISS
+    assert plan(50_000, 0.9) == (43, 13) and plan(50_000_000, 0.9) == (338, 26)
