@@ -551,7 +551,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     coded = cut(rows.mapInArrow(_code(shared), "row long, id long, held_out boolean, codes array<int>, words array<binary>, guess array<int>"), "coded")
     rare = coded.select("row", F.posexplode("words").alias("k", "word"))
     seen = others if least is None else others.where(step < least)
-    met = rare.join(seen, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("met"))
+    # the side that is built is the slim one; sorting both takes more of an executor's memory
+    met = rare.join(seen.hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "cls")).alias("met"))
     known = coded.drop("words").join(met, "row", "left").select("id", "held_out", "codes", "guess", "met")
     known = cut(known.mapInArrow(_resolve(shared), "id long, held_out boolean, n_known long, emitted double, classes binary"), "resolved")
     between = np.zeros(CLASSES * CLASSES)
