@@ -46,7 +46,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each text is kept or none.  Documents without an id stay.  Other columns are passed on.
     """
     kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # ids are the side that is built: sorting whole documents for the join takes more of an executor's memory
+    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
