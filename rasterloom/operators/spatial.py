@@ -115,6 +115,26 @@ def mask_polygon(data: Cube, mask: dict, replacement: float | None = None, insid
     return data.with_df(df, times=data.times).select({b: F.when(data.band(b).isNotNull() & hit, new).otherwise(data.band(b)) for b in data.bands})
 
 
+def cutline(data: Cube, footprints: dict | list[dict | None] | None) -> Cube:
+    """Only what lies in one of the footprints (geometries in degrees); other cells are NULL.
+
+    A missing footprint in a list is that of nothing, and only areas count; where none is left, every value
+    is missing.  Without any list or geometry nothing is cut.  Cut after mosaics, by ``union_of_footprints`` of their items.
+    """
+    if footprints is None:
+        return data
+    given = [f for f in (footprints if isinstance(footprints, list) else [footprints]) if f is not None]
+    shapes = [g for f in given for g in geometries(f) if g["type"] in ("Polygon", "MultiPolygon")]
+    if not shapes:
+        return data.select({b: F.lit(None).cast("double") for b in data.bands})
+    return mask_polygon(data, {"type": "GeometryCollection", "geometries": shapes})
+
+
+def union_of_footprints(footprints: list[dict | None]) -> list[dict] | None:
+    """The footprint of images together: none, that is everything, where one of them has none."""
+    return None if not footprints or any(f is None for f in footprints) else list(footprints)
+
+
 def _cells_of(data: Cube, shapes: list[list[Ring]], test: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """``(feature_index, y, x)`` of the cells in a shape's bounding box that pass a test of its edges.
 

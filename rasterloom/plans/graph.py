@@ -28,7 +28,7 @@ from rasterloom.sources.catalog import Collection
 LOADERS = ("load_collection", "load_stac", "load_url", "tile_assignment", "tiles_summary")
 #: Parameters that hold a child graph, and the names of its parameters.
 CALLBACKS = {
-    ("apply", "process"): ("x", "context"), ("apply_dimension", "process"): ("data", "context"), ("array_apply", "process"): ("x", "index"),
+    ("apply", "process"): ("x", "context"), ("apply_dimension", "process"): ("data", "context"), ("array_apply", "process"): ("x", "index", "label", "context"),
     ("reduce_dimension", "reducer"): ("data", "context"), ("aggregate_temporal", "reducer"): ("data", "context"), ("aggregate_spatial", "reducer"): ("data", "context"),
     ("merge_cubes", "overlap_resolver"): ("x", "y", "context"), ("count", "condition"): ("x",),
 }
@@ -44,9 +44,15 @@ def _either(of_cube: Callable, of_value: Callable) -> Callable:
     return run
 
 
+def _array_apply(data: Any, process: Callable, context: Any = None) -> Any:
+    """The child graph sees no label, and the context of the node or else that of the graph around."""
+    more = (None,) if context is None else (None, context)
+    return arrays.array_apply(data, lambda x, i: process(x, i, *more))
+
+
 def processes() -> dict[str, Callable]:
     """All operators by name."""
-    out: dict[str, Callable] = {**maths.PROCESSES, **logic.PROCESSES, **arrays.PROCESSES, **imagery.PROCESSES, "array_apply": arrays.array_apply, "get_param_item": get_param_item}
+    out: dict[str, Callable] = {**maths.PROCESSES, **logic.PROCESSES, **arrays.PROCESSES, **imagery.PROCESSES, "array_apply": _array_apply, "get_param_item": get_param_item}
     out |= {n: _either(temporal.slice_reducer(n), f) for n, f in reducers.PROCESSES.items()}
     for n in ("lastbandlow", "lastbandhight"):
         out[n] = temporal.slice_reducer(n)

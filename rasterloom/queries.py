@@ -12,7 +12,7 @@ from rasterloom.cube import REDUCED, Cube, Grid
 from rasterloom.functions import arrays, logic, maths, reducers
 from rasterloom.operators import combine, imagery, pixels, resample, spatial, temporal
 from rasterloom.plans.graph import bind, execute, session_loaders
-from rasterloom.services import tiles
+from rasterloom.services import render, tiles
 from rasterloom.sources import annotation
 from rasterloom.sources.catalog import BandInfo, Collection, load_collection, search
 from rasterloom.sources.tables import EVENT_BANDS, EVENT_GRID, SCENE_BANDS, events_cube, order_catalog, scene_cube, scenes, table
@@ -808,3 +808,43 @@ def create_data_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def to_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = pixels.image_indexes(events_cube(spark, sf_dir), [1])
     return rows(pixels.to_image(temporal.filter_labels(c, [datetime(2024, 1, 2)]), REDUCED))
+
+
+@query("cutline_footprints", f"{EV}, {_BOX_SQL} select t, y, x, {_each('case when exists (select 1 from f where x + 0.5 between w and e and 7.5 - y between s and n) then {b} end')} from c")
+def cutline_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies in the footprints of three items together."""
+    return rows(spatial.cutline(events_cube(spark, sf_dir), spatial.union_of_footprints(FEATURES["features"])))
+
+
+_TILE_GRAPH = render.scoped({
+    "load": {"process_id": "load_collection", "arguments": {"id": "scenes", "temporal_extent": ["1996-03-01", "1996-05-01"], "bands": ["quantity"]}},
+    "double": {"process_id": "apply", "arguments": {"data": {"from_node": "load"}, "process": {"process_graph": {"m": {"process_id": "multiply", "arguments": {"x": {"from_parameter": "x"}, "y": 2}, "result": True}}}}, "result": True},
+})
+
+
+@query(
+    "graph_map_tile",
+    f"""{SCENES}, seen as (select * from s where t >= '1996-03-01' and t < '1996-05-01'),
+tile as (select j::int as y, i::int as x, floor((i + 0.5) / 8 * 22.5)::int as sx,
+floor(16 - degrees(2 * atan(exp((7.5 - j) / 8 * 2 * pi() / 16)) - pi() / 2))::int as sy from range(8) a(i), range(8) b(j))
+select d.t, tile.y, tile.x, {r('seen.quantity * 2', 'quantity')} from (select distinct t from seen) d cross join tile left join seen on seen.t = d.t and seen.x = tile.sx and seen.y = tile.sy""",
+)
+def graph_map_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for one tile of the web map grid, which reaches beyond the scenes."""
+    loaders = session_loaders(spark, {"scenes": scenes(spark, sf_dir)})
+    return rows(render.render_tile(_TILE_GRAPH, 8, 7, 4, loaders, configuration={"tile_size": 8, "extent": [0, 0, 16, 16]}))
+
+
+_ELEMENTS = {
+    "a": {"process_id": "array_apply", "arguments": {"data": {"from_parameter": "data"}, "context": {"by": 3}, "process": {"process_graph": {
+        "w": {"process_id": "get_param_item", "arguments": {"parameter": {"from_parameter": "context"}, "path": "$.by"}},
+        "m": {"process_id": "multiply", "arguments": {"x": {"from_parameter": "x"}, "y": {"from_node": "w"}}},
+        "s": {"process_id": "add", "arguments": {"x": {"from_node": "m"}, "y": {"from_parameter": "index"}}, "result": True},
+    }}}, "result": True},
+}
+
+
+@query("graph_array_apply", f"{EV}, n as (select *, row_number() over (partition by y, x order by t) - 1 as i from c) select t, y, x, {_each('{b} * 3 + i')} from n")
+def graph_array_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = {"p": {"process_id": "apply_dimension", "arguments": {"data": {"from_parameter": "cube"}, "dimension": "t", "process": {"process_graph": _ELEMENTS}}, "result": True}}
+    return rows(execute(graph, {"cube": events_cube(spark, sf_dir)}))
