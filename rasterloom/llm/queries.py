@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, chat, langid, licenses, lm, mixing, packing, sql, warc
+from rasterloom.llm import ann, chat, extract, importance, langid, licenses, lm, mixing, negatives, packing, sql, warc
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.vectors import near_vectors
 
@@ -112,6 +112,24 @@ def _tree(docs: DataFrame, **how) -> DataFrame:
     return out.select(out["id"].alias("doc_id"), "path", "license", "score", "origin", "license_dir")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their words' likeness to those of the benchmark."""
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(out["id"].alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; labels of ids divisible by 7 are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -125,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op10_license_tree": op10_license_tree,
     "op10_license_texts": op10_license_texts,
+    "op11_resampling": op11_resampling,
+    "op12_extraction": op12_extraction,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -136,4 +157,6 @@ ORACLE: dict[str, str] = {
     "op10_licenses": sql.OP10,
     "op10_license_tree": sql.OP10_TREE,
     "op10_license_texts": sql.OP10_TEXTS,
+    "op11_resampling": sql.OP11,
+    "op13_negatives": sql.OP13,
 }

@@ -155,3 +155,55 @@ OP10_TREE = OP10[: OP10.index("\nf as (") + 1] + _TREE
 
 #: The same with licence texts among the templates, paragraphs and whole texts among the parts.
 OP10_TEXTS = _op10(True)[: _op10(True).index("\nf as (") + 1] + _TREE
+
+#: CRC-32 of the bytes of ``w``, byte by byte; the table of remainders follows from the polynomial.
+_CRC = """
+rest as (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as r from range(256) t(i)),
+remainders as (select list(r order by i) as r from rest),
+{kinds} as (
+  select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(w)) + 1),
+      lambda i: ('0x' || substring(hex(encode(w)), (2 * i - 1)::int, 2))::bigint)),
+    lambda c, b: xor(c >> 8, r[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket
+  from (select distinct w from {words}), remainders)"""
+
+_FEATURES = r"unnest(regexp_extract_all(" + LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+
+OP11 = f"""
+with dw as (select doc_id, {_FEATURES} as w from documents),
+tw as (select {_FEATURES} as w from benchmark),
+aw as (select w from dw union all select w from tw),
+{_CRC.format(kinds="kinds", words="aw")},
+df as (select doc_id, bucket, count(*) as n from dw join kinds using (w) group by all),
+s as (select bucket, sum(n)::double as s from df group by 1),
+t as (select bucket, count(*)::double as t from tw join kinds using (w) group by 1),
+total as (select (select coalesce(sum(s), 0) from s)::double as s, (select coalesce(sum(t), 0) from t)::double as t),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(t.t, 0) + 1) * (total.s + 10000) / ((s.s + 1) * (total.t + 10000))))::bigint as gain
+  from s left join t using (bucket), total),
+weighed as (
+  select d.doc_id, coalesce(sum(n), 0)::bigint as n_features, coalesce(floor(sum(n * gain)::double / sum(n)), 0)::bigint as weight
+  from documents d left join df on df.doc_id = d.doc_id left join gain using (bucket) group by d.doc_id),
+scored as (
+  select *, weight + floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from weighed),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20)
+select scored.*, case when rank <= (select 10 * count(*) // 100 from ranked) then rank end as rank from scored left join ranked using (doc_id)
+"""
+
+OP13 = """
+with v as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.id as anchor_id, b.id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score
+  from v a join v b on a.id <> b.id and len(a.e) = len(b.e) where a.id % 100 = 0),
+p as (
+  select anchor_id, id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, id) as k from s where same),
+n as (
+  select p.anchor_id, positive_id, s.id as negative_id, positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and k <= 5
+    and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
