@@ -14,15 +14,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.errors import DimensionNotAvailable, FeatureUnsupported
+from rasterloom import projections
+from rasterloom.errors import DimensionNotAvailable
+from rasterloom.projections import SPHERE  # noqa: F401
 
 REDUCED = datetime(1900, 1, 1)
 KEYS = ("t", "y", "x")
 TIME_NAMES = {"t", "temporal", "time"}
 BAND_NAMES = {"bands", "spectral"}
 SPACE_NAMES = {"x", "y", "spatial"}
-#: Radius of the sphere of web maps, in metres.
-SPHERE = 6378137.0
 
 
 @dataclass(frozen=True)
@@ -132,28 +132,10 @@ def clean(value: Column) -> Column:
 
 
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """Between geographic coordinates (4326) and the web map projection (3857)."""
-    if source == target:
-        return x, y
-    if (source, target) == (4326, 3857):
-        lat = F.radians(y)
-        return F.radians(x) * SPHERE, F.ln(F.tan(math.pi / 4 + lat / 2)) * SPHERE
-    if (source, target) == (3857, 4326):
-        return F.degrees(x / SPHERE), F.degrees(2 * F.atan(F.exp(y / SPHERE)) - math.pi / 2)
-    raise FeatureUnsupported(f"no transformation from {source} to {target}")
+    """Coordinates of one projection in another."""
+    return projections.transform(x, y, source, target, projections.COLUMNS)
 
 
 def reproject_bounds(b: tuple[float, float, float, float], source: int, target: int) -> tuple[float, float, float, float]:
-    """Both projections are monotone in x and in y, so corners go to corners."""
-    if source == target:
-        return b
-
-    def one(x: float, y: float) -> tuple[float, float]:
-        if (source, target) == (4326, 3857):
-            y = max(-85.0511287798066, min(85.0511287798066, y))
-            return math.radians(x) * SPHERE, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * SPHERE
-        if (source, target) == (3857, 4326):
-            return math.degrees(x / SPHERE), math.degrees(2 * math.atan(math.exp(y / SPHERE)) - math.pi / 2)
-        raise FeatureUnsupported(f"no transformation from {source} to {target}")
-
-    return (*one(b[0], b[1]), *one(b[2], b[3]))
+    """The box of a box in another projection."""
+    return projections.box_in(b, source, target)

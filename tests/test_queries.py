@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from rasterloom import queries_geometry  # noqa: F401
 from rasterloom.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
