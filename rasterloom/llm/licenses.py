@@ -40,6 +40,19 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0", "Licensed under the GNU General Public License v3"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "MIT License"),
 )
 
 #: Texts of licences and the notices of several lines by which files refer to them.
@@ -99,6 +112,8 @@ THE SOFTWARE."""),
 )
 THRESHOLD = 0.8
 _TERM = "[a-z0-9]+"
+#: Words that tell versions apart: a part without all of a template's is not under that licence, however alike.
+VERSION = "v?[0-9]+"
 
 
 def terms(text: str) -> list[str]:
@@ -108,7 +123,8 @@ def terms(text: str) -> list[str]:
 def weigh(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple[int, str, str, float]], float, list[str]]:
     """Unit vectors of the templates as rows, the weight of an unknown word, and the key words.
 
-    idf is ln((1 + n) / (1 + df)) + 1.  A template is told from others by its number.
+    idf is ln((1 + n) / (1 + df)) + 1.  A template is told from others by its number.  Which words are keys
+    decides how many parts are looked at, not what is found.
     """
     bags = [Counter(terms(text)) for _, text in templates]
     df = Counter(t for bag in bags for t in bag)
@@ -119,9 +135,8 @@ def weigh(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in bag.items()))
         rows += [(i, templates[i][0], t, k * idf[t] / norm) for t, k in bag.items()]
     for i in range(n):
-        long_notice = len(bags[i]) > 20
-        # long words are rarer in prose: short ones come last, and of words that weigh the same the shortest
-        own = sorted(((long_notice and len(t), round(w, 9), len(t), t, w) for j, _, t, w in rows if j == i and t not in keys), reverse=True)
+        # long words are rarer in prose: short ones and numbers come last
+        own = sorted(((len(t), round(w, 9), t, w) for j, _, t, w in rows if j == i and t not in keys), reverse=True)
         left = sum(w * w for *_, w in own)
         for *_, t, w in own:
             if left < (threshold * 0.999) ** 2:
@@ -150,7 +165,8 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     """``id, license, score, line``: the best declared licence of each file that has one.
 
     ``units`` makes an array of the parts of a text that are compared; ``line`` is the place (from 0) of the
-    first part of the best score; ties go to the earlier part, then the smaller licence.  Rows that share an
+    first part of the best score; ties go to the earlier part, then the smaller licence.  A template whose numbers a
+    part does not all have is no match.  A bag of words is scored once, in however many parts it stands.  Rows that share an
     id are one file's parts, so repeated rows declare what one of them does.  Null texts and parts
     without words declare nothing; texts of any length are read whole; an empty table
     declares nothing.
@@ -163,7 +179,9 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     for t, k in df.items():
         idf[t] = math.log((1 + n) / (1 + k)) + 1
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))
+    versions = Counter(i for i, _, t, _ in rows if re.fullmatch(VERSION, t))
+    numbered = [(*r, bool(re.fullmatch(VERSION, r[2])), versions[r[0]]) for r in rows]
+    vectors = F.broadcast(spark.createDataFrame(numbered, "template int, license string, term string, w double, version boolean, versions long"))
 
     text, any_key = F.col(f"`{text_col}`"), "(?i)(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
     told = files.where(text.rlike(any_key)).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(units(text)).alias("line", "words"))
@@ -171,15 +189,19 @@ def scan(files: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, thre
     # in an array of one, a bag is made once, whatever reads it
     bags = F.filter(F.array(bag), lambda b: F.arrays_overlap(b, F.array(*[F.lit(k) for k in keys])) & _may_reach(b, idf, unknown, threshold))
     met = told.where(F.col("words").rlike(any_key)).select("id", "line", F.explode_outer(bags).alias("bag")).where("bag is not null")
-    met = cut(met.withColumn("at", F.monotonically_increasing_id()), "lines")
-    tf = met.select("id", "line", "at", F.explode("bag").alias("term")).groupBy("id", "line", "at", "term").agg(F.count("*").alias("tf"))
+    met = cut(met, "parts")
+    distinct = cut(met.select("bag").distinct().withColumn("at", F.monotonically_increasing_id()), "bags")
+    tf = distinct.select("at", F.explode("bag").alias("term")).groupBy("at", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(weights, "term", "left").withColumn("w1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("w1") * F.col("w1"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy("id", "line", "at", "template", "license").agg(F.sum(F.col("w1") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "at").select("id", "line", "license", F.least(F.col("dot") / F.col("norm"), F.lit(1.0)).alias("score"))
+    dots = weighed.join(vectors, "term").groupBy("at", "template", "license", "versions").agg(F.sum(F.col("w1") * F.col("w")).alias("dot"), F.count_if("version").alias("has"))
+    scored = dots.where("has = versions").join(norms, "at").select("at", "license", F.least(F.col("dot") / F.col("norm"), F.lit(1.0)).alias("score"))
     # equal up to rounding is a tie
+    of_bag = F.min_by(F.struct("license", "score"), F.struct(-F.round("score", 9), "license"))
+    found = scored.where(F.col("score") >= threshold - 1e-12).groupBy("at").agg(of_bag.alias("b"))
+    found = cut(found.join(distinct, "at").select("bag", "b.license", "b.score"), "found")
     best = F.min_by(F.struct("license", "score", "line"), F.struct(-F.round("score", 9), "line", "license"))
-    return scored.where(F.col("score") >= threshold - 1e-12).groupBy("id").agg(best.alias("b")).select("id", "b.license", "b.score", "b.line")
+    return met.join(found, "bag").groupBy("id").agg(best.alias("b")).select("id", "b.license", "b.score", "b.line")
 
 
 def _may_reach(bag: Column, idf: dict[str, float], unknown: float, threshold: float) -> Column:

@@ -94,7 +94,7 @@ from c group by conv_id
 
 def _op10(texts: bool = False) -> str:
     """Every word of every line (or also of every paragraph and text) against every template."""
-    from rasterloom.llm.licenses import TEMPLATES, TEXTS, THRESHOLD
+    from rasterloom.llm.licenses import TEMPLATES, TEXTS, THRESHOLD, VERSION
 
     templates = TEMPLATES + TEXTS if texts else TEMPLATES
     parts = "string_split_regex(text, '[\\n\\r]')"
@@ -109,7 +109,10 @@ with t(i, license, notice) as (values {notices}),
 tt as (select i, license, {bag.format("notice")} as term from t),
 tf as (select i, license, term, count(*) as k from tt group by all),
 idf as (select term, ln({1 + n}::double / (1 + count(*))) + 1 as idf from tf group by 1),
-tv as (select i, license, term, k * idf as w, sqrt(sum((k * idf) ** 2) over (partition by i)) as norm from tf join idf using (term)),
+tv as (
+  select i, license, term, k * idf as w, sqrt(sum((k * idf) ** 2) over (partition by i)) as norm, regexp_full_match(term, '{VERSION}') as version,
+    count(*) filter (where regexp_full_match(term, '{VERSION}')) over (partition by i) as versions
+  from tf join idf using (term)),
 l as (select doc_id, unnest({parts}) as words, generate_subscripts({parts}, 1) - 1 as line from documents where text is not null),
 lt as (select doc_id, line, {bag.format("words")} as term from l),
 lf as (select doc_id, line, term, count(*) as k from lt group by all),
@@ -117,7 +120,8 @@ lw as (select doc_id, line, term, k * coalesce(idf, ln({1 + n}::double) + 1) as
 ln_ as (select doc_id, line, sqrt(sum(w * w)) as norm from lw group by all),
 s as (
   select lw.doc_id, lw.line, tv.i, tv.license, least(sum(lw.w * tv.w / tv.norm) / min(ln_.norm), 1.0) as score
-  from lw join tv using (term) join ln_ on ln_.doc_id = lw.doc_id and ln_.line = lw.line group by all),
+  from lw join tv using (term) join ln_ on ln_.doc_id = lw.doc_id and ln_.line = lw.line group by lw.doc_id, lw.line, tv.i, tv.license, tv.versions
+  having count(*) filter (where version) = tv.versions),
 b as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, line, license) as r from s where score >= {THRESHOLD} - 1e-12),
 f as (
   select d.doc_id, concat(coalesce(d.source, ''), '/', floor(d.doc_id / 10)::bigint) as dir, b.license, b.score, b.line

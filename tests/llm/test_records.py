@@ -194,3 +194,57 @@ def test_licence_ties_repeats_and_long_texts(spark):
     assert [r["license"] for r in tied] == ["Alpha"]
     repeated = licenses.license_scan(spark.createDataFrame([(5, a, "p/LICENSE"), (5, a, "p/LICENSE"), (6, "x", "p/x")], "doc_id long, text string, path string"), F.col("path")).collect()
     assert sorted((r["id"], r["license"], r["origin"]) for r in repeated) == [(5, "MIT", "header"), (5, "MIT", "header"), (6, "MIT", "inherited")]
+
+
+def test_versions_and_siblings_are_told_apart(spark):
+    """Notices of several versions: the right licence, or none where there is no template for it."""
+    notices = [
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: ISC", None),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 1", None), ("Licensed under the GNU Lesser General Public License, version 2", None),
+        ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("Licensed under the BSD 2-Clause License", "BSD-2-Clause"), ("Licensed under the BSD 4-Clause License", None),
+        ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-SA 3.0", None), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        ("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("Licensed under the MIT License.", "MIT"), ("MIT License", "MIT"),
+        ("Licensed under the GNU General Public License v3", "GPL-3.0"), ("Licensed under the GNU General Public License v2", None), ("Licensed under the Apache License, Version 1.1", None),
+        ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("A story about a license to fish in the river", None),
+    ]
+    files = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in licenses.scan(files, "doc_id", "text").collect()}
+    assert {t: got.get(i) for i, (t, _) in enumerate(notices)} == dict(notices)
+
+
+@pytest.mark.parametrize("templates", [licenses.TEMPLATES, licenses.TEMPLATES + licenses.TEXTS])
+def test_what_is_passed_over_could_not_reach_the_threshold(spark, templates):
+    """Random parts near the threshold against plain cosines with every template."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    bags = [Counter(licenses.terms(t)) for _, t in templates]
+    df = Counter(t for b in bags for t in b)
+    weight = lambda t: math.log((1 + len(bags)) / (1 + df[t])) + 1
+    parts = []
+    for _ in range(400):
+        words = licenses.terms(rng.choice(templates)[1])
+        kept = [w for w in words if rng.random() > rng.choice([0.0, 0.1, 0.3])]
+        kept += [f"other{rng.randrange(9)}" for _ in range(rng.randrange(0, 1 + len(words) // 3))]
+        rng.shuffle(kept)
+        parts.append(" ".join(kept))
+
+    def best(text):
+        bag = Counter(licenses.terms(text))
+        norm = math.sqrt(sum((k * weight(t)) ** 2 for t, k in bag.items())) or 1
+        found = []
+        for (name, _), b in zip(templates, bags):
+            if all(t in bag for t in b if re.fullmatch(licenses.VERSION, t)):
+                dot = sum(bag[t] * k * weight(t) ** 2 for t, k in b.items()) / math.sqrt(sum((k * weight(t)) ** 2 for t, k in b.items())) / norm
+                if dot >= licenses.THRESHOLD:
+                    found.append((-round(dot, 9), name))
+        return min(found)[1] if found else None
+
+    files = spark.createDataFrame(list(enumerate(parts)), "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in licenses.scan(files, "doc_id", "text", templates).collect()}
+    want = {i: best(t) for i, t in enumerate(parts)}
+    assert got == {i: n for i, n in want.items() if n} and 50 < len(got) < 390
