@@ -43,18 +43,31 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts of fewer than five words are copies only of equal ones; texts without words stay.
     Rows of one id and text are one document; of rows that share an id but not the text
-    each text is kept or none.  Documents without an id stay.  Other columns are passed on.
+    each text is kept or none.  Documents without an id stay.  Texts are read whole, an empty table stays
+    empty.  Other columns, whatever their names, are passed on.
     """
     kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("id").alias("doc_id")).distinct()
     # ids are the side that is built: sorting whole documents for the join takes more of an executor's memory
-    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    # rows of one id and text are found by ids and hashes, so that only those rows are sorted whole
+    mark, times = column_names(docs, 2)
+    text = F.xxhash64("text").alias(mark)
+    again = docs.where("doc_id is not null").groupBy("doc_id", text).agg(F.count("*").alias(times)).where(F.col(times) > 1)
+    again = cut(again.select("doc_id", mark), "repeated")
+    if not again.isEmpty():
+        marked = named.select("*", text)
+        once = marked.join(again, ["doc_id", mark], "left_anti")
+        some = marked.join(again, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", "text"])
+        named = once.select(*docs.columns).unionByName(some.select(*docs.columns))
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source up to its target, copies included, in training order.
 
-    Documents without words are not taken.  ``n_chars`` is that of the text as taken.
+    Documents without words, and those of a null text, are not taken.  ``n_chars`` is that of the text as taken.
+    Documents without an id are taken as others are; those of one source, size and id are taken in an order that
+    reruns repeat.  A null source is one of its own; an empty table stays empty.  Other columns, whatever their names, are passed on.
     """
     out = mix(docs)
     if "n_chars" in out.columns:
@@ -63,7 +76,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids."""
+    """All documents in sequences of 2048 ids, as pieces; the columns are those of ``pack``.
+
+    Null and empty texts are their closing id alone, long ones are cut freely; rows that share an id, or have none, are
+    documents of their own; an empty table gives no sequence.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
