@@ -125,6 +125,12 @@ class Cube:
         return self.with_df(frame.join(self.df, list(KEYS), "left").select(*KEYS, *[self.band(b) for b in self.bands]), times=tuple(sorted(set(times))))
 
 
+def column_names(df: DataFrame, n: int, *other: str) -> list[str]:
+    """Names that a table does not have yet, and that are none of some others."""
+    taken = {c.lower() for c in (*df.columns, *other)}
+    return [name for name in (f"_n{i}" for i in range(n + len(taken))) if name not in taken][:n]
+
+
 def clean(value: Column) -> Column:
     """DOUBLE, with NaN as NULL."""
     v = value.cast("double")

@@ -215,8 +215,8 @@ def _gather(bands: list[str], method: str):
                     image[:, line.astype(np.int64), pixel.astype(np.int64)] = values
                 else:
                     found = sample(image, line, pixel, method)
-                    cols = [part.column("item_id"), part.column("y"), part.column("x"), *[pa.array(v, from_pandas=True) for v in found]]
-                    yield pa.RecordBatch.from_arrays(cols, names=["item_id", "y", "x", *bands])
+                    cols = [part.column(c) for c in ("item_id", "y", "x", "line", "pixel")] + [pa.array(v, from_pandas=True) for v in found]
+                    yield pa.RecordBatch.from_arrays(cols, names=["item_id", "y", "x", "line", "pixel", *bands])
 
     return run
 
@@ -224,7 +224,7 @@ def _gather(bands: list[str], method: str):
 def warp(pixels: DataFrame, positions: DataFrame, bands: list[str], method: str = "near") -> DataFrame:
     """Images in their own lines and pixels, ``pixels(item_id, line, pixel, bands)``, at ``positions(item_id, y, x, line, pixel)``.
 
-    Returns ``item_id, y, x`` and the bands, a row per position that lies in a block with pixels.  Image pixels are dealt into
+    Returns positions with the bands, a row per position that lies in a block with pixels.  Image pixels are dealt into
     blocks and copied to a neighbour's rim as far as the kernel reaches; the cells of a block stream past its pixels, so a task
     holds one block however many cells ask for it.  Of pixels with equal line and pixel one is taken.
     """
@@ -249,13 +249,13 @@ def warp(pixels: DataFrame, positions: DataFrame, bands: list[str], method: str
     right = cells.select(*keys, F.lit(1).cast("long").alias("role"), "line", "pixel", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *none)
     stream = left.unionByName(right).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "role")
     names = ", ".join(f"`{b}` double" for b in bands)
-    return stream.mapInArrow(_gather(bands, method), f"item_id string, y int, x int, {names}")
+    return stream.mapInArrow(_gather(bands, method), f"item_id string, y int, x int, line double, pixel double, {names}")
 
 
 def geocode(pixels: DataFrame, points: DataFrame, bands: list[str], grid: Grid, crs: int = 4326, method: str = "bilinear") -> DataFrame:
     """Radar images on a map grid: ``item_id, y, x`` and the bands, rows only where an image has a value."""
     out = warp(pixels, inverse_map(splines(points), grid, crs), bands, method)
-    return out.where(F.coalesce(*[F.col(f"`{b}`") for b in bands]).isNotNull())
+    return out.where(F.coalesce(*[F.col(f"`{b}`") for b in bands]).isNotNull()).drop("line", "pixel")
 
 
 def load_radar(items: DataFrame, pixels: DataFrame, points: DataFrame, bands: list[str], grid: Grid, crs: int = 4326, method: str = "bilinear") -> Cube:

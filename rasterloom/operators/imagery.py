@@ -8,9 +8,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.cube import KEYS, Cube, Grid
+from rasterloom.cube import KEYS, Cube, Grid, column_names
 from rasterloom.errors import FeatureUnsupported, ProcessParameterInvalid
-from rasterloom.functions.maths import arccos, col
+from rasterloom.functions.maths import arccos
+from rasterloom.operators import patches
+
 
 def _gradient(value: str, by: list[str], along: str, size: int) -> Column:
     """Central differences, one-sided at the edges.  Windows are one row or column of a slice."""
@@ -96,25 +98,16 @@ def lut_bilinear(points: DataFrame, lut: DataFrame, name: str = "value") -> Data
     """Add to ``points(line, pixel, ...)`` the value of a table ``lut(line, pixel, value)``.
 
     The table is a full grid of lines and pixels.  Between its nodes values are bilinear,
-    beyond them those of the edge.  A table is kilobytes; its axes and values are literals.
+    beyond them those of the edge.
     """
-    rows = lut.select("line", "pixel", F.col("value").cast("double")).orderBy("line", "pixel").collect()
-    lines, pixels = sorted({float(r[0]) for r in rows}), sorted({float(r[1]) for r in rows})
-    if len(rows) != len(lines) * len(pixels) or len(lines) < 2 or len(pixels) < 2:
+    n = lut.agg(F.count("*"), F.count_distinct("line"), F.count_distinct("pixel")).first()
+    if n[0] != n[1] * n[2] or n[1] < 2 or n[2] < 2:
         raise ProcessParameterInvalid("the table is no grid of two by two nodes at least")
-    values = F.array(*[F.lit(r[2]) for r in rows])
-
-    def place(axis: list[float], v: Column) -> tuple[Column, Column]:
-        nodes = F.array(*[F.lit(a) for a in axis])
-        i = F.greatest(F.lit(0), F.least(F.size(F.filter(nodes, lambda a: a < v)) - 1, F.lit(len(axis) - 2)))
-        low, high = F.get(nodes, i), F.get(nodes, i + 1)
-        return i, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / (high - low)))
-
-    li, tl = place(lines, col(F.col("line").cast("double")))
-    pi, tp = place(pixels, col(F.col("pixel").cast("double")))
-    at = lambda dl, dp: F.get(values, (li + dl) * len(pixels) + pi + dp)
-    v = at(0, 0) * (1 - tl) * (1 - tp) + at(0, 1) * (1 - tl) * tp + at(1, 0) * tl * (1 - tp) + at(1, 1) * tl * tp
-    return points.withColumn(name, v)
+    nodes = F.array_sort(F.collect_list(F.struct(F.col("pixel").cast("double").alias("pixel"), F.col("value").cast("double").alias("value"))))
+    table = lut.groupBy(F.lit("").alias("item_id"), F.col("line").cast("double").alias("line")).agg(nodes.alias("v"))
+    table = table.select("item_id", "line", "v.pixel", "v.value")
+    (own,) = column_names(points, 1, name)
+    return patches.look_up(points.withColumn(own, F.lit("")), patches.of_vectors(table), name, item=own).drop(own)
 
 
 def _bands_of(letters: str, n: int) -> list[int]:

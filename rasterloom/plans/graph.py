@@ -1,7 +1,8 @@
 """Evaluation of process graphs.
 
 Nodes are evaluated from the result backwards, each once; an operator adds to a DataFrame's
-plan, so nothing runs until the result is written.  Child graphs become functions that
+plan.  Only what the driver has to know (items found, labels, sizes) runs as a job of its own while the plan is
+built.  Bands that processes need are added to the nodes that load beforehand.  Child graphs become functions that
 build column expressions from columns.
 """
 
@@ -19,6 +20,7 @@ from rasterloom.errors import CubeError, ProcessParameterInvalid, ProcessParamet
 from rasterloom.functions import arrays, logic, maths, reducers
 from rasterloom.operators import combine, imagery, pixels, resample, spatial, temporal
 from rasterloom.plans.params import get_param_item, with_defaults
+from rasterloom.plans.requirements import with_requirements
 from rasterloom.services.tiles import Assignments, tile_processes
 from rasterloom.sinks.save import save_result
 from rasterloom.sources import catalog
@@ -148,7 +150,7 @@ def execute(graph: dict, parameters: dict | None = None, loaders: dict[str, Call
     """
     nodes = graph.get("process_graph", graph)
     given = with_defaults(graph.get("parameters") if nodes is not graph else None, parameters)
-    return Evaluation(processes() | (loaders or {}), given).run(nodes)
+    return Evaluation(processes() | (loaders or {}), given).run(with_requirements(nodes, given))
 
 
 def _needs(v: Any) -> set[str]:

@@ -1,26 +1,25 @@
 """Radar annotations: calibration and noise documents as tables of vectors, evaluated for pixels.
 
-A document (XML) holds vectors along range at some lines.  ``vectors`` turns it into rows
-``line, pixel ARRAY, value ARRAY``; ``evaluate`` is bilinear between them and constant beyond.  A
-document is kilobytes and has tens of vectors; pixels meet the two vectors beside them by an
-equi-join on the vectors' numbers.
+A document (XML) holds vectors along range at some lines, and of noise also blocks with factors along
+azimuth.  ``vectors`` turns documents into rows ``item_id, line, pixel ARRAY, value ARRAY``; what they mean between
+vectors and nodes is a table of patches, which points of any number of images meet in one join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.cube import Cube
+from rasterloom.cube import Cube, column_names
 from rasterloom.errors import ProcessParameterInvalid
+from rasterloom.functions.maths import arccos
+from rasterloom.operators import patches
+from rasterloom.operators.patches import interpolate  # noqa: F401
 
 #: Names of elements in the annotations, by the ending of the band that they become.
 CALIBRATION = {"sigma0_lut": "sigmaNought", "beta0_lut": "betaNought", "gamma0_lut": "gamma", "dn_lut": "dn"}
+ANGLE = "ellipsoid_incidence_angle"
 NUMBERS = "struct<_VALUE: string, _count: int>"
-#: Vectors of a document at most.
-MAX_VECTORS = 10_000
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +31,17 @@ def _numbers(element: Column) -> Column:
     return F.transform(F.split(F.trim(element["_VALUE"]), r"\s+"), lambda x: x.cast("double"))
 
 
+def _of_items(documents: DataFrame) -> DataFrame:
+    """``item_id, value``; documents without an item are all those of one nameless image."""
+    item = F.col("item_id").cast("string") if "item_id" in documents.columns else F.lit("")
+    return documents.select(item.alias("item_id"), "value")
+
+
 def vectors(documents: DataFrame, listed: str, vector: str, value: str) -> DataFrame:
-    """``line, pixel, value`` of the elements ``listed``/``vector`` of one document, values from ``value``."""
+    """``item_id, line, pixel, value`` of the elements ``listed``/``vector`` of documents, values from ``value``."""
     schema = f"{listed} struct<{vector}: array<struct<line: double, pixel: {NUMBERS}, {value}: {NUMBERS}>>>"
-    one = documents.select(F.explode(F.from_xml("value", F.lit(schema))[listed][vector]).alias("v"))
-    return one.select("v.line", _numbers(F.col("v.pixel")).alias("pixel"), _numbers(F.col(f"v.{value}")).alias("value"))
+    one = _of_items(documents).select("item_id", F.explode(F.from_xml("value", F.lit(schema))[listed][vector]).alias("v"))
+    return one.select("item_id", "v.line", _numbers(F.col("v.pixel")).alias("pixel"), _numbers(F.col(f"v.{value}")).alias("value"))
 
 
 def calibration(documents: DataFrame, coefficient: str) -> DataFrame:
@@ -44,74 +49,61 @@ def calibration(documents: DataFrame, coefficient: str) -> DataFrame:
     return vectors(documents, "calibrationVectorList", "calibrationVector", CALIBRATION[coefficient])
 
 
-@dataclass(frozen=True)
-class Block:
-    """Factors along azimuth of a part of the image."""
-
-    lines: tuple[float, float]
-    samples: tuple[float, float]
-    at: list[float] = field(default_factory=list)
-    factor: list[float] = field(default_factory=list)
+def noise(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Range vectors, and blocks ``item_id, rank, l0, l1, p0, p1, at, value`` with factors along azimuth.
 
-
-def noise(documents: DataFrame) -> tuple[DataFrame, list[Block]]:
-    """Range vectors and azimuth blocks; older documents have one list of vectors and no blocks."""
+    Older documents have one list of vectors and no blocks.  A later block (of the higher rank) counts where several hold a pixel.
+    """
     found = vectors(documents, "noiseRangeVectorList", "noiseRangeVector", "noiseRangeLut")
-    if found.isEmpty():
-        return vectors(documents, "noiseVectorList", "noiseVector", "noiseLut"), []
-    ends = ("firstAzimuthLine", "lastAzimuthLine", "firstRangeSample", "lastRangeSample")
+    found = found.unionByName(vectors(documents, "noiseVectorList", "noiseVector", "noiseLut"))
+    ends = {"firstAzimuthLine": "l0", "lastAzimuthLine": "l1", "firstRangeSample": "p0", "lastRangeSample": "p1"}
     schema = f"noiseAzimuthVectorList struct<noiseAzimuthVector: array<struct<{', '.join(f'{e}: double' for e in ends)}, line: {NUMBERS}, noiseAzimuthLut: {NUMBERS}>>>"
-    list_ = F.from_xml("value", F.lit(schema))["noiseAzimuthVectorList"]["noiseAzimuthVector"]
-    rows = documents.select(F.explode(list_).alias("b")).select(*[f"b.{e}" for e in ends], _numbers(F.col("b.line")).alias("at"), _numbers(F.col("b.noiseAzimuthLut")).alias("factor"))
-    blocks = [Block((r[0], r[1]), (r[2], r[3]), r["at"], r["factor"]) for r in rows.where("factor is not null").limit(MAX_VECTORS).collect()]
-    return found, blocks
+    listed = F.from_xml("value", F.lit(schema))["noiseAzimuthVectorList"]["noiseAzimuthVector"]
+    rows = _of_items(documents).select("item_id", F.posexplode(listed).alias("rank", "b"))
+    return found, rows.select("item_id", "rank", *[F.col(f"b.{e}").alias(n) for e, n in ends.items()], _numbers(F.col("b.line")).alias("at"), _numbers(F.col("b.noiseAzimuthLut")).alias("value"))
 
 
-def interpolate(x: Column, nodes: Column, values: Column) -> Column:
-    """Linear between ascending nodes, the edge's value beyond."""
-    last = F.size(nodes) - 1
-    i = F.greatest(F.lit(0), F.least(F.size(F.filter(nodes, lambda a: a < x)) - 1, last - 1))
-    low, high = F.get(nodes, i), F.get(nodes, i + 1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - low, high - low)))
-    return F.when(last == 0, F.get(values, F.lit(0))).otherwise(F.get(values, i) * (1 - t) + F.get(values, i + 1) * t)
+def evaluate(points: DataFrame, table: DataFrame, name: str, line: str = "line", pixel: str = "pixel", item: str | None = None) -> DataFrame:
+    """Add to ``points`` the value of a table of vectors: bilinear between them, constant beyond.
 
+    ``item`` is the column that names a point's image; without it all points are of the one image of the table.
+    """
+    return _evaluate(points, patches.of_vectors(table), name, line, pixel, item)
 
-def _literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
 
+def _evaluate(points: DataFrame, table: DataFrame, name: str, line: str, pixel: str, item: str | None, extend: bool = True) -> DataFrame:
+    if item is not None:
+        return patches.look_up(points, table, name, line, pixel, item, extend)
+    if table.isEmpty():
+        raise ProcessParameterInvalid("an annotation has one vector at least")
+    (own,) = column_names(points, 1, name)
+    one = table.withColumn("item_id", F.lit(""))
+    return patches.look_up(points.withColumn(own, F.lit("")), one, name, line, pixel, own, extend).drop(own)
 
-def evaluate(points: DataFrame, table: DataFrame, name: str, line: str = "line", pixel: str = "pixel") -> DataFrame:
-    """Add to ``points`` the value of a table of vectors.
 
-    All vectors are first brought to the range nodes of the first.
-    """
-    firsts = table.orderBy("line").select("line", "pixel").limit(MAX_VECTORS + 1).collect()
-    if not firsts or len(firsts) > MAX_VECTORS:
-        raise ProcessParameterInvalid(f"an annotation has 1 to {MAX_VECTORS} vectors, not {len(firsts)}")
-    lines, nodes = [r[0] for r in firsts], _literal(firsts[0][1])
-    number = F.size(F.filter(_literal(lines), lambda a: a < F.col("line")))
-    even = table.select(number.cast("int").alias("_i"), F.transform(nodes, lambda p: interpolate(p, F.col("pixel"), F.col("value"))).alias("_v"))
-    at = F.col(line).cast("double")
-    i = F.greatest(F.lit(0), F.least(F.size(F.filter(_literal(lines), lambda a: a < at)) - 1, F.lit(max(len(lines) - 2, 0)))).cast("int")
-    j = F.least(i + 1, F.lit(len(lines) - 1))
-    place = points.withColumns({"_i": i, "_j": j})
-    both = place.join(even.withColumnRenamed("_v", "_low"), "_i").join(even.withColumnsRenamed({"_v": "_high", "_i": "_j"}), "_j")
-    low, high = F.get(_literal(lines), F.col("_i")), F.get(_literal(lines), F.col("_j"))
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(at - low, high - low))), F.lit(0.0))
-    x = F.col(pixel).cast("double")
-    value = interpolate(x, nodes, F.col("_low")) * (1 - t) + interpolate(x, nodes, F.col("_high")) * t
-    return both.withColumn(name, value).drop("_i", "_j", "_low", "_high")
-
-
-def noise_of(points: DataFrame, documents: DataFrame, name: str, line: str = "line", pixel: str = "pixel") -> DataFrame:
-    """Add the thermal noise: its range table times the factor of the last azimuth block that holds the pixel."""
+def noise_of(points: DataFrame, documents: DataFrame, name: str, line: str = "line", pixel: str = "pixel", item: str | None = None) -> DataFrame:
+    """Add the thermal noise: its range table times the factor of the last azimuth block that holds the pixel, or 1."""
     table, blocks = noise(documents)
-    out = evaluate(points, table, name, line, pixel)
-    factor = F.lit(1.0)
-    at, x = F.col(line).cast("double"), F.col(pixel).cast("double")
-    for b in blocks:
-        factor = F.when(at.between(*b.lines) & x.between(*b.samples), interpolate(at, _literal(b.at), _literal(b.factor))).otherwise(factor)
-    return out.withColumn(name, F.col(name) * factor)
+    out = evaluate(points, table, name, line, pixel, item)
+    strips = patches.of_strips(blocks)
+    (factor,) = column_names(out, 1)
+    if item is not None:
+        out = patches.look_up(out, strips, factor, line, pixel, item, extend=False)
+    elif strips.isEmpty():
+        return out
+    else:
+        out = _evaluate(out, strips, factor, line, pixel, None, extend=False)
+    return out.withColumn(name, F.col(f"`{name}`") * F.coalesce(factor, F.lit(1.0))).drop(factor)
+
+
+def angle_of(points: DataFrame, documents: DataFrame, name: str, line: str = "line", pixel: str = "pixel", item: str | None = None) -> DataFrame:
+    """Add the incidence angle on the ellipsoid in degrees, from the constants of two coefficients."""
+    sigma, gamma = column_names(points, 2, name)
+    out = evaluate(points, calibration(documents, "sigma0_lut"), sigma, line, pixel, item)
+    out = evaluate(out, calibration(documents, "gamma0_lut"), gamma, line, pixel, item)
+    ratio = F.try_divide(F.col(gamma), F.col(sigma))
+    angle = F.degrees(arccos(F.greatest(F.least(ratio * ratio, F.lit(1.0)), F.lit(-1.0))))
+    return out.withColumn(name, angle).drop(sigma, gamma)
 
 
 def with_annotations(data: Cube, calibrations: dict[str, DataFrame], noises: dict[str, DataFrame] | None = None, coefficient: str = "sigma0_lut") -> Cube:

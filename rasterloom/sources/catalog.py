@@ -51,6 +51,8 @@ class Collection:
     bands: dict[str, BandInfo] = field(default_factory=dict)
     #: The part of the collection between two times (either may be None) or a little more, by predicates on stored columns.
     narrow: Callable[[datetime | None, datetime | None], Collection] | None = None
+    #: How cells of a grid are read where pixels don't lie on ``grid``: of items, band names, their infos, a grid and a method.
+    reader: Callable[[DataFrame, list[str], dict[str, BandInfo], Grid, str], Cube] | None = None
 
     def between(self, temporal_extent: list | None) -> Collection:
         """Narrowed to an extent, where the collection knows how."""
@@ -251,13 +253,15 @@ def load_collection(
     times = tuple(sorted({r[1] for r in found}))
     if w * h * len(times) * len(names) > max_pixels:
         raise OutputLimitExceeded(f"{w} x {h} cells at {len(times)} times in {len(names)} bands are more than {max_pixels} values")
+    listed = items.sparkSession.createDataFrame([(r[0], r[1]) for r in found], items.select("id", "datetime").schema)
+    if collection.reader is not None:
+        return replace(collection.reader(listed, names, collection.bands, target, method), times=times).dense(list(times))
     pixels = collection.between(temporal_extent).pixels.select("item_id", "y", "x", *read_bands(collection, names))
     if len(found) <= MAX_LISTED:
         pixels = pixels.where(F.col("item_id").isin([r[0] for r in found]))
     if target != g:
         y0, y1, x0, x1 = g.window(reproject_bounds(bounds, crs, g.crs), KERNEL_REACH)
         pixels = pixels.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
-    listed = pixels.sparkSession.createDataFrame([(r[0], r[1]) for r in found], items.select("id", "datetime").schema)
     cube = replace(mosaic(listed, pixels, names, g), times=times)
     return cube.dense(list(times)) if target == g else to_grid(cube, target, method)
 
