@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import projections
 from rasterloom.cube import Grid
 from rasterloom.operators import geocode, resample
+from rasterloom.plans.graph import bind, execute
 from rasterloom.queries import EV, SCENES, _each, query, r, rows
+from rasterloom.sources import annotation
+from rasterloom.sources.bandsources import Radar
+from rasterloom.sources.catalog import load_collection
 from rasterloom.sources.tables import SCENE_BANDS, events_cube, scene_cube, table
 
 # Radar images out of line items: one per line number, lines by part and pixels by supplier.  Their control
@@ -165,3 +169,89 @@ def resample_utm_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(resample.to_grid(scene_cube(spark, sf_dir), Grid(7, 6, (-500_000.0, 0.0, 1_600_000.0, 1_800_000.0), 32632), "average"))
 
 
+
+
+# Annotations of every image: three range vectors, and five azimuth blocks that overlap, from the image's number of line items.
+
+_COUNT = "c as (select l_linenumber::varchar as item, count(*) % 7 as c from lineitem group by 1)"
+_NODES = (0, 8, 20, 32)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, asset, value``: a calibration and a noise document of each image."""
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("item_id")).agg((F.count("*") % 7).cast("int").alias("c"))
+    nodes = " ".join(map(str, _NODES))
+
+    def text(parts: list) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def values(add: int, i: int, k: int) -> list:
+        return [x for j in range(4) for x in (F.col("c") + add + k * i * i + 2 * j * j, " ")]
+
+    noise: list = ["<noise><noiseRangeVectorList>"]
+    calibration: list = ["<calibration><calibrationVectorList>"]
+    for i in range(3):
+        noise += [f"<noiseRangeVector><line>{16 * i}</line><pixel>{nodes}</pixel><noiseRangeLut>", *values(100, i, 3), "</noiseRangeLut></noiseRangeVector>"]
+        calibration += [f'<calibrationVector><line>{16 * i}</line><pixel count="4">{nodes}</pixel><sigmaNought count="4">', *values(20, i, 5), "</sigmaNought></calibrationVector>"]
+    noise += ["</noiseRangeVectorList><noiseAzimuthVectorList>"]
+    for k in range(5):
+        ends = f"<firstAzimuthLine>{6 * k}</firstAzimuthLine><lastAzimuthLine>{6 * k + 9}</lastAzimuthLine><firstRangeSample>{5 * k}</firstRangeSample><lastRangeSample>{5 * k + 14}</lastRangeSample>"
+        noise += [f"<noiseAzimuthVector>{ends}<line>{6 * k} {6 * k + 4} {6 * k + 9}</line><noiseAzimuthLut>", 1 + F.col("c") / 8, f" 2 {1 + k / 4}</noiseAzimuthLut></noiseAzimuthVector>"]
+    noise += ["</noiseAzimuthVectorList></noise>"]
+    calibration += ["</calibrationVectorList></calibration>"]
+    both = [F.struct(F.lit(f"schema-{n}-dn").alias("asset"), text(d).alias("value")) for n, d in (("calibration", calibration), ("noise", noise))]
+    return c.select("item_id", F.explode(F.array(*both)).alias("d")).select("item_id", "d.asset", "d.value")
+
+
+def _annotated_sql(source: str) -> str:
+    """``lut``: noise and calibration of ``source(item, line, pixel)``."""
+    at = lambda add, k: f"({add} + c + {k} * i * i + 2 * j * j) * (1 - tl) * (1 - tp) + ({add} + c + {k} * i * i + 2 * (j + 1) * (j + 1)) * (1 - tl) * tp + ({add} + c + {k} * (i + 1) * (i + 1) + 2 * j * j) * tl * (1 - tp) + ({add} + c + {k} * (i + 1) * (i + 1) + 2 * (j + 1) * (j + 1)) * tl * tp"
+    return f"""{_COUNT},
+spot as (select *, case when line < 16 then 0 else 1 end as i, case when pixel < 8 then 0 when pixel < 20 then 1 else 2 end as j from {source} join c using (item)),
+share as (select *, greatest(0, least(1, (line - 16 * i) / 16.0)) as tl, greatest(0, least(1, (pixel - [0, 8, 20][j + 1]) / [8.0, 12.0, 12.0][j + 1])) as tp from spot),
+factor as (
+  select item, line, pixel, arg_max(case when line <= 6 * k + 4 then (1 + c / 8.0) + (1 - c / 8.0) * (line - 6 * k) / 4.0 else 2 + (k / 4.0 - 1) * (line - 6 * k - 4) / 5.0 end, k) as f
+  from (select distinct item, line, pixel, c from spot) join range(5) b(k) on line between 6 * k and 6 * k + 9 and pixel between 5 * k and 5 * k + 14 group by all),
+lut as (select share.*, ({at(100, 3)}) * coalesce(f, 1) as noise, {at(20, 5)} as gain from share left join factor using (item, line, pixel))"""
+
+
+@query(
+    "noise_blocks",
+    f"""with q as (select l_orderkey, l_linenumber, l_linenumber::varchar as item, (l_partkey % 32) + 0.5::double as line, (l_suppkey % 32) + 0.25::double as pixel from lineitem),
+{_annotated_sql("q")} select l_orderkey, l_linenumber, {r("noise", "noise")} from lut""",
+)
+def noise_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise at every line item's place in its image, by range vectors and overlapping azimuth blocks of all images."""
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("string").alias("item_id"), (F.col("l_partkey") % 32 + 0.5).alias("line"), (F.col("l_suppkey") % 32 + 0.25).alias("pixel"))
+    documents = _documents(spark, sf_dir).where("asset = 'schema-noise-dn'")
+    return rows(annotation.noise_of(points, documents, "noise", item="item_id").select("l_orderkey", "l_linenumber", "noise"))
+
+
+BACKSCATTER = {
+    "load": {"process_id": "load_collection", "arguments": {"id": "radar", "bands": ["vv"], "spatial_extent": {"west": 9.9, "south": 49.4, "east": 11.0, "north": 50.2}, "width": 20, "height": 16}},
+    "sar": {"process_id": "sar_backscatter", "arguments": {"data": {"from_node": "load"}, "coefficient": "sigma0-ellipsoid"}, "result": True},
+}
+
+
+@query(
+    "radar_backscatter",
+    f"""with recursive {RADAR} {SPLINE} {_place_sql(RADAR_GRID, "px", "py")},
+inside as (select item, y, x, line, pixel from placed where {_INSIDE}),
+{_annotated_sql("inside")},
+valued as (select lut.item, lut.y, lut.x, nullif(p.dn, 0) as dn, noise, gain from lut join p on p.item = lut.item and p.line = floor(lut.line) and p.pixel = floor(lut.pixel)),
+m as (select y, x, arg_min(dn, item) as dn, arg_min(noise, item) as noise, arg_min(gain, item) as gain from valued where dn is not null group by all),
+g as (select v.y::int as y, u.x::int as x from range({RADAR_GRID.height}) v(y), range({RADAR_GRID.width}) u(x))
+select timestamp '2024-01-01' as t, g.y, g.x, {r("greatest(dn * dn - noise, 0) / (gain * gain)", "vv")} from g left join m on m.y = g.y and m.x = g.x""",
+)
+def radar_backscatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that names backscatter only: control points, calibration and noise of the images are found and used."""
+    images, points = _images(spark, sf_dir)
+    west, south, east, north = RADAR_GRID.bounds
+    box = [F.lit(v).alias(n) for n, v in zip(("west", "south", "east", "north"), (west, south, east, north), strict=True)]
+    items = points.select("item_id").distinct().select(F.col("item_id").alias("id"), F.lit("sentinel-1-grd").alias("collection"), F.lit("2024-01-01").cast("timestamp_ntz").alias("datetime"), *box, F.lit(None).cast("map<string,string>").alias("properties"))
+    documents = _documents(spark, sf_dir).withColumn("asset", F.regexp_replace("asset", "-dn$", "-vv"))
+    href = F.concat_ws("/", "item_id", "asset").alias("href")
+    assets = documents.select("item_id", F.lit("sentinel-1-grd").alias("collection"), "asset", F.lit("application/xml").alias("media_type"), F.array(F.lit("metadata")).alias("roles"), href)
+    radar = Radar(images.withColumnRenamed("dn", "vv"), points, assets, documents.select(href, "value"))
+    radar = radar.collection("radar", items, RADAR_GRID, ["vv"])
+    return rows(execute(BACKSCATTER, loaders={"load_collection": bind(load_collection, {"radar": radar})}))
