@@ -82,6 +82,26 @@ def dimension(name: str) -> str:
     raise DimensionNotAvailable(f"there is no dimension {name!r} to work along")
 
 
+@dataclass(frozen=True)
+class Footprints:
+    """Where a cube has data: ``t, geometry`` of the items that it is made of."""
+
+    df: DataFrame
+
+    def at_all_times(self) -> Footprints:
+        """Of slices that were reduced: each footprint counts for the result."""
+        return Footprints(self.df.select(F.lit(None).cast("timestamp_ntz").alias("t"), "geometry").distinct())
+
+    def relabelled(self, labels: Column) -> Footprints:
+        """Each footprint at the times (an array) that its own has become."""
+        kept = self.df.where("t is null")
+        return Footprints(self.df.where("t is not null").select(F.explode(labels).alias("t"), "geometry").unionByName(kept).distinct())
+
+    def joined(self, other: Footprints | None) -> Footprints | None:
+        """Of two cubes together; one that has none covers everything."""
+        return None if other is None else Footprints(self.df.unionByName(other.df).distinct())
+
+
 @dataclass(frozen=True)
 class Cube:
     """A lazy cube."""
@@ -92,9 +112,15 @@ class Cube:
     has_t: bool = True
     has_bands: bool = True
     times: tuple[datetime, ...] | None = None  #: the timestamps in order, where they are known
+    footprints: Footprints | None = None  #: where the items lie that the cube is made of; None is everywhere
 
     def with_df(self, df: DataFrame, bands: tuple[str, ...] | list[str] | None = None, **more) -> Cube:
-        """Other rows; their timestamps are unknown unless given."""
+        """Other rows; their timestamps are unknown unless given.
+
+        Where time is reduced, the footprints of all slices count together.
+        """
+        if self.footprints is not None and self.has_t and more.get("has_t") is False and "footprints" not in more:
+            more["footprints"] = self.footprints.at_all_times()
         return replace(self, df=df, bands=tuple(self.bands if bands is None else bands), **{"times": None} | more)
 
     def select(self, columns: dict[str, Column], **more) -> Cube:

@@ -48,7 +48,8 @@ def merge_cubes(cube1: Cube, cube2: Cube, overlap_resolver: Callable | None = No
             value = F.when(one & ~two, x).when(two & ~one, y)
             columns[b] = value if overlap_resolver is None else value.otherwise(col(overlap_resolver(x, y, context)))
     known = None if cube1.times is None or cube2.times is None else tuple(sorted({*cube1.times, *cube2.times}))
-    return Cube(df, (), cube1.grid, cube1.has_t or cube2.has_t, times=known).select(columns)
+    marks = None if cube1.footprints is None else cube1.footprints.joined(cube2.footprints)
+    return Cube(df, (), cube1.grid, cube1.has_t or cube2.has_t, times=known, footprints=marks).select(columns)
 
 
 def mask(data: Cube, mask: Cube, replacement: float | None = None) -> Cube:

@@ -173,7 +173,8 @@ def rename_labels(data: Cube, dimension: str, target: list, source: list | None
         return data.select({names.get(b, b): data.band(b) for b in data.bands}, has_bands=True)
     pairs = [x for s, n in names.items() for x in (F.lit(s).cast("timestamp_ntz"), F.lit(n).cast("timestamp_ntz"))]
     moved = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("t")), F.col("t"))
-    return data.with_df(data.df.withColumn("t", moved), times=tuple(sorted(names.get(t, t) for t in old)))
+    marks = None if data.footprints is None else data.footprints.relabelled(F.array(moved))
+    return data.with_df(data.df.withColumn("t", moved), times=tuple(sorted(names.get(t, t) for t in old)), footprints=marks)
 
 
 def create_data_cube(frame: DataFrame) -> Cube:

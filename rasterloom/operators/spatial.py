@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.cube import KEYS, Cube, reproject_bounds
+from rasterloom.cube import KEYS, Cube, Grid, reproject_bounds
 from rasterloom.errors import FeatureUnsupported, OutputLimitExceeded, ProcessParameterInvalid
 from rasterloom.functions.maths import col
 from rasterloom.functions.reducers import Series
@@ -115,14 +115,17 @@ def mask_polygon(data: Cube, mask: dict, replacement: float | None = None, insid
     return data.with_df(df, times=data.times).select({b: F.when(data.band(b).isNotNull() & hit, new).otherwise(data.band(b)) for b in data.bands})
 
 
-def cutline(data: Cube, footprints: dict | list[dict | None] | None) -> Cube:
+def cutline(data: Cube, footprints: dict | list[dict | None] | None = None) -> Cube:
     """Only what lies in one of the footprints (geometries in degrees); other cells are NULL.
 
+    Without a list they are those that the cube carries along from its items; a cube that has none is not cut.
     A missing footprint in a list is that of nothing, and only areas count; where none is left, every value
-    is missing.  Without any list or geometry nothing is cut.  Cut after mosaics, by ``union_of_footprints`` of their items.
+    is missing.
     """
     if footprints is None:
-        return data
+        from rasterloom.operators.footprints import cut_to_footprints
+
+        return cut_to_footprints(data)
     given = [f for f in (footprints if isinstance(footprints, list) else [footprints]) if f is not None]
     shapes = [g for f in given for g in geometries(f) if g["type"] in ("Polygon", "MultiPolygon")]
     if not shapes:
@@ -147,15 +150,21 @@ def _cells_of(data: Cube, shapes: list[list[Ring]], test: Callable[[Column, Colu
         y0, y1, x0, x1 = g.window(_boxed(found))
         rows.append((i, max(0, y0), min(g.height - 1, y1), max(0, x0), min(g.width - 1, x1), [(*a, *b) for r in found for a, b in zip(r[:-1], r[1:], strict=True)]))
     edge = "edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
-    table = spark.createDataFrame(rows, f"feature_index int, y0 int, y1 int, x0 int, x1 int, {edge}").where("y0 <= y1 and x0 <= x1")
-    strips = table.withColumn("s", F.explode(F.sequence(F.expr(f"y0 div {STRIP}"), F.expr(f"y1 div {STRIP}"))))
+    table = spark.createDataFrame(rows, f"feature_index int, y0 int, y1 int, x0 int, x1 int, {edge}")
+    return strips_to_cells(table, g, ["feature_index"], test)
+
+
+def strips_to_cells(table: DataFrame, grid: Grid, keys: list[str], test: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``keys, y, x`` of the cells that pass a test, out of shapes ``keys, y0, y1, x0, x1, edges``."""
+    spark, g = table.sparkSession, grid
+    strips = table.where("y0 <= y1 and x0 <= x1").withColumn("s", F.explode(F.sequence(F.expr(f"y0 div {STRIP}"), F.expr(f"y1 div {STRIP}"))))
     strips = strips.withColumn("y0", F.greatest("y0", F.col("s") * STRIP).cast("int")).withColumn("y1", F.least("y1", F.col("s") * STRIP + STRIP - 1).cast("int"))
     north, south = g.bounds[3] - F.col("y0") * g.dy, g.bounds[3] - (F.col("y1") + 1) * g.dy
     near = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
-    strips = strips.select("feature_index", "y0", "y1", "x0", "x1", near.alias("edges"))
-    strips = strips.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature_index", "y0")
+    strips = strips.select(*keys, "y0", "y1", "x0", "x1", near.alias("edges"))
+    strips = strips.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "y0")
     cells = strips.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
-    return cells.where(test(F.col("edges"), *g.centre())).select("feature_index", "y", "x")
+    return cells.where(test(F.col("edges"), *g.centre())).select(*keys, "y", "x")
 
 
 def covered_cells(data: Cube, geojson: dict) -> DataFrame:

@@ -177,7 +177,8 @@ def aggregate_temporal(data: Cube, intervals: list, reducer: Callable, labels: l
     rows = df.where(any_of).withColumn("_label", F.explode(held))
     aggs = [reduced(reducer(s, context)).cast("double").alias(b) for b, s in zip(data.bands, series_of(data), strict=True)]
     out = rows.groupBy(F.col("_label").alias("t"), "y", "x").agg(*aggs)
-    return data.with_df(out.select(*KEYS, *[data.band(b) for b in data.bands]), has_t=True).dense(names)
+    marks = None if data.footprints is None else data.footprints.relabelled(held)
+    return data.with_df(out.select(*KEYS, *[data.band(b) for b in data.bands]), has_t=True, footprints=marks).dense(names)
 
 
 PIXEL_SELECTIONS = {"first", "highest", "lowest", "mean", "median", "stdev", "lastbandlow", "lastbandhight", "count"}

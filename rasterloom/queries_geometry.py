@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import projections
-from rasterloom.cube import Grid
-from rasterloom.operators import geocode, resample
+from rasterloom.cube import Cube, Grid
+from rasterloom.functions import reducers
+from rasterloom.operators import geocode, resample, spatial, temporal
 from rasterloom.plans.graph import bind, execute
 from rasterloom.queries import EV, SCENES, _each, query, r, rows
 from rasterloom.sources import annotation
 from rasterloom.sources.bandsources import Radar
 from rasterloom.sources.catalog import load_collection
-from rasterloom.sources.tables import SCENE_BANDS, events_cube, scene_cube, table
+from rasterloom.sources.tables import SCENE_BANDS, events_cube, scene_cube, scenes, table
 
 # Radar images out of line items: one per line number, lines by part and pixels by supplier.  Their control
 # points lie on a bent sheet whose bend is the image's mean discount.
@@ -255,3 +258,39 @@ def radar_backscatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     radar = Radar(images.withColumnRenamed("dn", "vv"), points, assets, documents.select(href, "value"))
     radar = radar.collection("radar", items, RADAR_GRID, ["vv"])
     return rows(execute(BACKSCATTER, loaders={"load_collection": bind(load_collection, {"radar": radar})}))
+
+
+# Footprints: the scenes of lines 1 and 2 lie in a triangle and in two squares, those of line 2 in some months anywhere.
+
+_TRIANGLE = '{"type": "Polygon", "coordinates": [[[0, 0], [15.3, 0], [0, 15.3]]]}'
+_SQUARES = '{"type": "MultiPolygon", "coordinates": [[[[8.2, 8.2], [12.2, 8.2], [12.2, 12.2], [8.2, 12.2], [8.2, 8.2]]], [[[2.2, 11.2], [4.2, 11.2], [4.2, 15.2], [2.2, 15.2]]]]}'
+_IN_TRIANGLE = "x + 0.5 + 16 - (y + 0.5) < 15.3"
+_IN_SQUARES = "((x + 0.5 between 8.2 and 12.2 and 15.5 - y between 8.2 and 12.2) or (x + 0.5 between 2.2 and 4.2 and 15.5 - y between 11.2 and 15.2))"
+_OF_LINES = SCENES.replace("from p group by all", "from p where item like '%-1' or item like '%-2' group by all").replace("(select distinct t from p)", "(select distinct t from p where item like '%-1' or item like '%-2')")
+
+
+def _scenes_with_footprints(spark: SparkSession, sf_dir: str, anywhere: bool) -> Cube:
+    c = scenes(spark, sf_dir)
+    line = F.col("properties")["line"]
+    open_ = F.lit(anywhere) & (F.month("datetime") % 4 == 0)
+    shape = F.when(line == "1", _TRIANGLE).when((line == "2") & ~open_, _SQUARES)
+    c = replace(c, items=c.items.withColumn("geometry", shape), narrow=None)
+    return load_collection(c, bands=["quantity"], properties={"line": {"process_graph": {"r": {"process_id": "in", "arguments": {"x": {"from_parameter": "value"}, "values": ["1", "2"]}, "result": True}}}}, max_items=100_000)
+
+
+@query(
+    "cutline_of_items",
+    f"""{_OF_LINES}, found as (select distinct t, split_part(item, '-', 3) as line from p where item like '%-1' or item like '%-2'),
+held as (select t, bool_or(line = '1') as one, bool_or(line = '2') as two from found group by t)
+select s.t, y, x, {r(f"case when (one and {_IN_TRIANGLE}) or (two and (month(s.t) % 4 = 0 or {_IN_SQUARES})) then quantity end", "quantity")} from s join held on held.t = s.t""",
+)
+def cutline_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices cut to the footprints of their own items; a slice with an item that has none is not cut."""
+    return rows(spatial.cutline(_scenes_with_footprints(spark, sf_dir, True)))
+
+
+@query("cutline_reduced", f"{_OF_LINES} select y, x, {r(f'case when {_IN_TRIANGLE} or {_IN_SQUARES} then avg(quantity) end', 'quantity')} from s group by y, x")
+def cutline_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints of all slices together after time is reduced."""
+    c = temporal.reduce_dimension(_scenes_with_footprints(spark, sf_dir, False), lambda s, _: reducers.mean(s), "t")
+    return rows(spatial.cutline(c), time=False)

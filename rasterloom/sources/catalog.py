@@ -1,7 +1,7 @@
 """Catalogues of scenes, and cubes out of them.
 
 An item is a row ``id, collection, datetime, west, south, east, north, properties
-MAP<STRING,STRING>``; its pixels are rows ``item_id, y, x`` and a column per band, in a table
+MAP<STRING,STRING>``, and perhaps its footprint as ``geometry`` (GeoJSON); its pixels are rows ``item_id, y, x`` and a column per band, in a table
 that shares the grid of the cube asked for or is resampled to it.  Filters on time and
 extent are plain predicates that reach the Parquet scan.
 """
@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.cube import REDUCED, Cube, Grid, clean, reproject_bounds
+from rasterloom.cube import REDUCED, Cube, Footprints, Grid, clean, reproject_bounds
 from rasterloom.errors import FeatureUnsupported, ItemsLimitExceeded, NoDataAvailable, OutputLimitExceeded, ProcessParameterInvalid, TemporalExtentEmpty
 from rasterloom.operators.resample import to_grid
 from rasterloom.operators.temporal import parse_time
@@ -254,15 +254,16 @@ def load_collection(
     if w * h * len(times) * len(names) > max_pixels:
         raise OutputLimitExceeded(f"{w} x {h} cells at {len(times)} times in {len(names)} bands are more than {max_pixels} values")
     listed = items.sparkSession.createDataFrame([(r[0], r[1]) for r in found], items.select("id", "datetime").schema)
+    marks = Footprints(items.select(F.col("datetime").alias("t"), F.col("geometry").cast("string").alias("geometry"))) if "geometry" in items.columns else None
     if collection.reader is not None:
-        return replace(collection.reader(listed, names, collection.bands, target, method), times=times).dense(list(times))
+        return replace(collection.reader(listed, names, collection.bands, target, method), times=times, footprints=marks).dense(list(times))
     pixels = collection.between(temporal_extent).pixels.select("item_id", "y", "x", *read_bands(collection, names))
     if len(found) <= MAX_LISTED:
         pixels = pixels.where(F.col("item_id").isin([r[0] for r in found]))
     if target != g:
         y0, y1, x0, x1 = g.window(reproject_bounds(bounds, crs, g.crs), KERNEL_REACH)
         pixels = pixels.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
-    cube = replace(mosaic(listed, pixels, names, g), times=times)
+    cube = replace(mosaic(listed, pixels, names, g), times=times, footprints=marks)
     return cube.dense(list(times)) if target == g else to_grid(cube, target, method)
 
 
@@ -287,7 +288,7 @@ def stac_items(spark: SparkSession, url: str) -> DataFrame:
 
     A static catalogue is the folder of its document; links out of it are not followed.
     """
-    fields = "type string, id string, collection string, bbox array<double>, properties map<string,string>"
+    fields = "type string, id string, collection string, bbox array<double>, geometry string, properties map<string,string>"
     reader = spark.read.schema(fields).option("multiLine", True)
     raw = reader.json(url)
     if not raw.where(F.col("type").isin("Catalog", "Collection")).isEmpty():
@@ -295,7 +296,7 @@ def stac_items(spark: SparkSession, url: str) -> DataFrame:
     at = F.try_to_timestamp(F.coalesce(F.try_element_at("properties", F.lit("datetime")), F.try_element_at("properties", F.lit("start_datetime")))).cast("timestamp_ntz")
     corners = [F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))]
     items = raw.where(at.isNotNull() & ~F.coalesce(F.col("type").isin("Catalog", "Collection"), F.lit(False)))
-    return items.select("id", "collection", at.alias("datetime"), *corners, "properties")
+    return items.select("id", "collection", at.alias("datetime"), *corners, "properties", "geometry")
 
 
 def load_stac(spark: SparkSession, path: str, pixels: DataFrame, grid: Grid, known: dict[str, BandInfo], **how: Any) -> Cube:
