@@ -106,15 +106,19 @@ def _place(grid: Grid, crs: int):
     return run
 
 
-def _box_on(grid: Grid, crs: int, margin: float) -> tuple[Column, Column, Column, Column]:
+def box_on(grid: Grid, crs: int, margin: float) -> tuple[Column, Column, Column, Column]:
     """First and last row and column of the cells that meet the box of an image's points, a little wider."""
     pad = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")) * margin
     west, east, south, north = F.col("west") - pad, F.col("east") + pad, F.col("south") - pad, F.col("north") + pad
-    along = [i / (projections.SIDE_POINTS - 1) for i in range(projections.SIDE_POINTS)]
-    sides = [(west + (east - west) * a, e) for a in along for e in (south, north)] + [(e, south + (north - south) * a) for a in along for e in (west, east)]
-    points = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in sides])
-    on_grid = F.transform(points, lambda p: F.struct(*[c.alias(n) for n, c in zip("xy", reproject(p["x"], p["y"], crs, grid.crs), strict=True)]))
-    x, y = F.transform(on_grid, lambda p: p["x"]), F.transform(on_grid, lambda p: p["y"])
+    n = projections.SIDE_POINTS - 1
+
+    def sides(i: Column) -> Column:
+        x, y = west + (east - west) * i / n, south + (north - south) * i / n
+        ends = ((x, south), (x, north), (west, y), (east, y))
+        return F.array(*[F.struct(*[c.alias(k) for k, c in zip("xy", reproject(*p, crs, grid.crs), strict=True)]) for p in ends])
+
+    points = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n)), sides))
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     rows = [F.floor((grid.bounds[3] - v) / grid.dy) for v in (F.array_max(y), F.array_min(y))]
     cols = [F.floor((v - grid.bounds[0]) / grid.dx) for v in (F.array_min(x), F.array_max(x))]
     return F.greatest(rows[0], F.lit(0)), F.least(rows[1], F.lit(grid.height - 1)), F.greatest(cols[0], F.lit(0)), F.least(cols[1], F.lit(grid.width - 1))
@@ -126,7 +130,7 @@ def inverse_map(curves: DataFrame, grid: Grid, crs: int = 4326, margin: float =
     ``curves`` are the ``splines`` of control points in ``crs``.  Cells of the blocks that meet the box of an image's points
     (wider by ``margin`` of its size) are made; lines and pixels are fractions and may lie outside of the image.
     """
-    y0, y1, x0, x1 = _box_on(grid, crs, margin)
+    y0, y1, x0, x1 = box_on(grid, crs, margin)
     asked = curves.withColumns({"y0_": y0, "y1_": y1, "x0_": x0, "x1_": x1}).where("y0_ <= y1_ and x0_ <= x1_")
     tops = F.explode(F.transform(F.sequence(F.expr(f"y0_ div {CELLS}"), F.expr(f"y1_ div {CELLS}")), lambda i: i * CELLS))
     lefts = F.explode(F.transform(F.sequence(F.expr(f"x0_ div {CELLS}"), F.expr(f"x1_ div {CELLS}")), lambda i: i * CELLS))

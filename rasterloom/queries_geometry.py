@@ -15,8 +15,9 @@ from rasterloom.plans.graph import bind, execute
 from rasterloom.queries import EV, SCENES, _each, query, r, rows
 from rasterloom.sources import annotation
 from rasterloom.sources.bandsources import Radar
-from rasterloom.sources.catalog import load_collection
-from rasterloom.sources.tables import SCENE_BANDS, events_cube, scene_cube, scenes, table
+from rasterloom.sources.catalog import BandInfo, load_collection, search
+from rasterloom.sources.images import FRAMES, Images
+from rasterloom.sources.tables import SCENE_BANDS, events_cube, order_catalog, scene_cube, scenes, table
 
 # Radar images out of line items: one per line number, lines by part and pixels by supplier.  Their control
 # points lie on a bent sheet whose bend is the image's mean discount.
@@ -294,3 +295,66 @@ def cutline_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints of all slices together after time is reduced."""
     c = temporal.reduce_dimension(_scenes_with_footprints(spark, sf_dir, False), lambda s, _: reducers.mean(s), "t")
     return rows(spatial.cutline(c), time=False)
+
+
+# Searches by geometry and by order over the catalogue of orders.
+
+_TRI = ((-40.3, -20.7), (30.2, 10.9), (-10.6, 60.1))
+
+
+def _separated_sql(corners: tuple) -> str:
+    """Whether no axis separates a triangle from the box of an order (side 1, centre ``cx, cy``)."""
+    axes = [(1.0, 0.0), (0.0, 1.0)] + [(b[1] - a[1], a[0] - b[0]) for a, b in zip(corners, (*corners[1:], corners[0]), strict=True)]
+    tests = []
+    for nx, ny in axes:
+        along = [nx * x + ny * y for x, y in corners]
+        middle, half = f"({nx!r}::double * cx + {ny!r}::double * cy)", (abs(nx) + abs(ny)) / 2
+        tests.append(f"{middle} + {half!r} >= {min(along)!r}::double and {middle} - {half!r} <= {max(along)!r}::double")
+    return " and ".join(tests)
+
+
+@query(
+    "catalog_intersects",
+    f"select id, datetime from (select o_orderkey::varchar as id, o_orderdate::timestamp as datetime, o_custkey % 360 - 179.5 as cx, o_custkey % 180 - 89.5 as cy from orders) where {_separated_sql(_TRI)}",
+)
+def catalog_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose box shares a point with a triangle."""
+    triangle = {"type": "Polygon", "coordinates": [[list(p) for p in (*_TRI, _TRI[0])]]}
+    return search(order_catalog(spark, sf_dir), intersects=triangle).select("id", "datetime")
+
+
+@query("catalog_newest", "select o_orderkey::varchar as id, o_orderdate::timestamp as datetime from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey::varchar limit 100")
+def catalog_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred dearest orders of a status."""
+    return search(order_catalog(spark, sf_dir), properties={"status": "F"}, sortby="-properties.totalprice", limit=100, fields=["id", "datetime"])
+
+
+# Images of three frames: cells of a degree, of half a degree, and of 100 km on the web map.
+
+_FRAMES = [("1", "quantity", 4326, [1.0, 0.0, 0.0, 0.0, -1.0, 8.0], 8, 8, False), ("2", "quantity", 4326, [0.5, 0.0, 2.0, 0.0, -0.5, 6.0], 8, 8, False), ("3", "quantity", 3857, [100000.0, 0.0, 0.0, 0.0, -100000.0, 900000.0], 9, 9, False)]
+_BOXES = [("1", 0.0, 0.0, 8.0, 8.0), ("2", 2.0, 2.0, 6.0, 6.0), ("3", 0.0, 0.0, 8.08, 8.05)]
+
+
+@query(
+    "load_mixed_grids",
+    f"""with v as (
+  select 1 + l_linenumber % 3 as item, l_partkey % 9 as line, l_suppkey % 9 as pixel, max(case when l_quantity > 25 then l_quantity end) as v from lineitem group by all),
+cells as (select y::int as y, x::int as x, (x + 0.5) * 0.5 as lon, 8 - (y + 0.5) * 0.5 as lat from range(16) a(y), range(16) b(x)),
+spot as (
+  select y, x, 1 as item, floor(8 - lat) as line, floor(lon) as pixel from cells
+  union all select y, x, 2, floor((6 - lat) / 0.5), floor((lon - 2) / 0.5) from cells where lat between 2 and 6 and lon between 2 and 6
+  union all select y, x, 3, floor((900000 - ln(tan(pi() / 4 + radians(lat) / 2)) * {projections.SPHERE}) / 100000), floor(radians(lon) * {projections.SPHERE} / 100000) from cells),
+found as (select spot.y, spot.x, arg_min(v, spot.item) as v from spot join v on v.item = spot.item and v.line = spot.line and v.pixel = spot.pixel and v is not null group by all)
+select timestamp '2024-01-01' as t, cells.y, cells.x, {r("v", "quantity")} from cells left join found on found.y = cells.y and found.x = cells.x""",
+)
+def load_mixed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mosaic of images of different projections and resolutions, on the grid that the finest of them asks for."""
+    li = table(spark, sf_dir, "lineitem")
+    quantity = F.max(F.when(F.col("l_quantity") > 25, F.col("l_quantity")))
+    pixels_ = li.groupBy((F.col("l_linenumber") % 3 + 1).cast("string").alias("item_id"), F.lit("quantity").alias("band"), (F.col("l_partkey") % 9).alias("line"), (F.col("l_suppkey") % 9).alias("pixel")).agg(quantity.alias("value"))
+    items = spark.createDataFrame(_BOXES, "id string, west double, south double, east double, north double")
+    items = items.select("id", F.lit("mixed").alias("collection"), F.lit("2024-01-01").cast("timestamp_ntz").alias("datetime"), "west", "south", "east", "north", F.lit(None).cast("map<string,string>").alias("properties"))
+    images = Images(spark.createDataFrame(_FRAMES, FRAMES), pixels_)
+    extent = {"west": 0, "south": 0, "east": 8, "north": 8}
+    c = images.over(images.collection("mixed", items, {"quantity": BandInfo()}), items, spatial_extent=extent)
+    return rows(load_collection(c, spatial_extent=extent))

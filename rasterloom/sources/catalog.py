@@ -21,6 +21,7 @@ from rasterloom.cube import REDUCED, Cube, Footprints, Grid, clean, reproject_bo
 from rasterloom.errors import FeatureUnsupported, ItemsLimitExceeded, NoDataAvailable, OutputLimitExceeded, ProcessParameterInvalid, TemporalExtentEmpty
 from rasterloom.operators.resample import to_grid
 from rasterloom.operators.temporal import parse_time
+from rasterloom.sources.intersects import intersecting
 
 MAX_ITEMS = 20
 MAX_PIXELS = 100_000_000
@@ -164,8 +165,15 @@ def property_filter(properties: dict | None) -> Column:
     return out
 
 
-def search(collection: Collection, spatial_extent: dict | None = None, temporal_extent: list | None = None, properties: dict | None = None) -> DataFrame:
-    """Items that meet an extent, lie in ``[start, end)`` and fulfil the conditions."""
+def search(
+    collection: Collection, spatial_extent: dict | None = None, temporal_extent: list | None = None, properties: dict | None = None, ids: list[str] | None = None,
+    intersects: dict | None = None, sortby: str | list[str] | None = None, fields: list[str] | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Items that meet an extent and a geometry, lie in ``[start, end)`` and fulfil the conditions.
+
+    ``sortby`` names fields, with a leading ``-`` for falling order and ``properties.`` before a property (numbers by value);
+    ties go by id.  With ``limit`` only the first ones are kept, by id where no order is asked for; ``fields`` are the columns returned.
+    """
     df = collection.between(temporal_extent).items
     if spatial_extent:
         b = tuple(float(spatial_extent[k]) for k in ("west", "south", "east", "north"))
@@ -181,7 +189,34 @@ def search(collection: Collection, spatial_extent: dict | None = None, temporal_
             df = df.where(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
         if end:
             df = df.where(F.col("datetime") < F.lit(end).cast("timestamp_ntz"))
-    return df.where(property_filter(properties)) if properties else df
+    if properties:
+        df = df.where(property_filter(properties))
+    if ids is not None:
+        listed = [str(i) for i in ids]
+        df = df.where(F.col("id").isin(listed)) if len(listed) <= MAX_LISTED else df.join(df.sparkSession.createDataFrame([(i,) for i in listed], "id string").distinct(), "id", "left_semi")
+    if intersects is not None:
+        df = intersecting(df, intersects)
+    if sortby or limit is not None:
+        df = df.orderBy(*sort_order([sortby] if isinstance(sortby, str) else sortby or []))
+    if limit is not None:
+        df = df.limit(limit)
+    return df.select(*fields) if fields else df
+
+
+def sort_order(sortby: list[str]) -> list[Column]:
+    """Columns of an order, the id last; missing values come last either way."""
+    out = []
+    for rule in sortby:
+        down, name = rule.startswith("-"), rule.lstrip("+-")
+        if name.startswith("properties."):
+            value = _prop(name)
+            keys = [value.try_cast("double"), value]
+        elif name in ("id", "collection", "datetime", "west", "south", "east", "north"):
+            keys = [F.col(name)]
+        else:
+            raise ProcessParameterInvalid(f"items have no field {name!r} to sort by")
+        out += [k.desc_nulls_last() if down else k.asc_nulls_last() for k in keys]
+    return [*out, F.col("id").asc()]
 
 
 def output_size(bounds: tuple[float, float, float, float], dx: float | None, dy: float | None, width: int | None = None, height: int | None = None) -> tuple[int, int]:
