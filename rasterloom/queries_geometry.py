@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from rasterloom import projections
 from rasterloom.cube import Cube, Grid
 from rasterloom.functions import reducers
-from rasterloom.operators import geocode, resample, spatial, temporal
+from rasterloom.operators import geocode, pixels, resample, spatial, temporal
 from rasterloom.plans.graph import bind, execute
 from rasterloom.queries import EV, SCENES, _each, query, r, rows
+from rasterloom.sinks.tiles import tiles_of
 from rasterloom.sources import annotation
 from rasterloom.sources.bandsources import Radar
 from rasterloom.sources.catalog import BandInfo, load_collection, search
@@ -110,8 +111,8 @@ select item_id, y, x, {r("dn", "dn")} from g""",
 )
 def geocode_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All images on a map grid, bilinear between their own lines and pixels."""
-    pixels_, points = _images(spark, sf_dir)
-    return rows(geocode.geocode(pixels_, points, ["dn"], RADAR_GRID))
+    images, points = _images(spark, sf_dir)
+    return rows(geocode.geocode(images, points, ["dn"], RADAR_GRID))
 
 
 # zones of UTM
@@ -358,3 +359,17 @@ def load_mixed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     extent = {"west": 0, "south": 0, "east": 8, "north": 8}
     c = images.over(images.collection("mixed", items, {"quantity": BandInfo()}), items, spatial_extent=extent)
     return rows(load_collection(c, spatial_extent=extent))
+
+
+@query(
+    "map_tiles",
+    f"""{EV},
+m as (select y, x, avg(click) as v from c group by y, x),
+dots as (select 32 + u // 32 as tx, 30 + v // 32 as ty, degrees((-pi() * {projections.SPHERE} + (32 + (u + 0.5) / 32) * 2 * pi() * {projections.SPHERE} / 64) / {projections.SPHERE}) as lon,
+  degrees(2 * atan(exp((pi() * {projections.SPHERE} - (30 + (v + 0.5) / 32) * 2 * pi() * {projections.SPHERE} / 64) / {projections.SPHERE})) - pi() / 2) as lat from range(64) a(u), range(64) b(v))
+select distinct 6::int as z, tx::int as x, ty::int as y from dots join m on m.y = floor(8 - lat) and m.x = floor(lon) and m.v is not null""",
+)
+def map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of a zoom level that a map of mean clicks has; each is encoded as PNG by a task."""
+    c = temporal.reduce_dimension(pixels.image_indexes(events_cube(spark, sf_dir), [1]), lambda s, _: reducers.mean(s), "t")
+    return tiles_of(c, 6, 32).where("length(png) > 0").select("z", "x", "y")

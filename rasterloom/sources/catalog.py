@@ -340,14 +340,19 @@ def load_stac(spark: SparkSession, path: str, pixels: DataFrame, grid: Grid, kno
 
 
 def load_url(spark: SparkSession, url: str, format: str | None = None, options: dict | None = None) -> Cube:  # noqa: A002
-    """One image out of a Parquet table ``y, x`` and bands.
+    """One image out of a GeoTIFF, on its own grid, or out of a Parquet table ``y, x`` and bands.
 
     ``options`` may hold ``bands``, ``width``, ``height``, ``bounds``, ``crs`` and ``time``; the bands are
     otherwise all other columns, the grid as large as the table's cells need (one aggregation).
     """
+    o = options or {}
+    if (format or "").lower() in ("gtiff", "tiff", "tif") or (format is None and url.lower().endswith((".tif", ".tiff"))):
+        from rasterloom.sources.geotiff import load_image
+
+        return load_image(spark, url, o.get("bands"), o.get("time", REDUCED))
     if format is not None and format.lower() != "parquet":
-        raise FeatureUnsupported(f"a table is read from Parquet, not {format}")
-    o, df = options or {}, spark.read.parquet(url)
+        raise FeatureUnsupported(f"an image is read from GTiff or Parquet, not {format}")
+    df = spark.read.parquet(url)
     bands = list(o.get("bands") or [c for c in df.columns if c not in ("y", "x")])
     w, h = o.get("width"), o.get("height")
     if not w or not h:

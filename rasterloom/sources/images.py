@@ -7,6 +7,7 @@ A cube's grid is estimated from all frames in one aggregation, and each image is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,8 @@ class Images:
 
     frames: DataFrame
     pixels: DataFrame  #: ``item_id, band, line, pixel, value``
+    #: The pixels within windows ``item_id, window ARRAY`` (first and last line and pixel), where files can be read in part.
+    part: Callable[[DataFrame], DataFrame] | None = None
 
     def collection(self, id_: str, items: DataFrame, bands: dict[str, BandInfo], grid: Grid | None = None) -> Collection:
         """A collection whose grid is estimated over all items, unless it is given."""
@@ -151,7 +154,11 @@ class Images:
         key = F.concat_ws(_MARK, "item_id", "band")
         of = lambda df: df.join(asked, "item_id", "left_semi").where(F.col("band").isin(names))
         at = places(of(self.frames), grid).withColumn("item_id", key)
-        raw = of(self.pixels).select(key.alias("item_id"), "band", "line", "pixel", F.col("value").cast("double").alias("value"))
+        # files are decoded only where the grid meets them, a kernel's reach wider
+        reach = geocode.KERNELS.get(method, (3,))[0] + 1
+        ends = [(f(n) + d).cast("int") for n in ("line", "pixel") for f, d in ((lambda c: F.floor(F.min(c)), -reach), (lambda c: F.floor(F.max(c)), reach))]
+        source = self.pixels if self.part is None else self.part(places(of(self.frames), grid).groupBy("item_id").agg(F.array(*ends).alias("window")))
+        raw = of(source).select(key.alias("item_id"), "band", "line", "pixel", F.col("value").cast("double").alias("value"))
         value = F.when(F.isnan("value"), None).otherwise(F.col("value"))
         for b in names:
             if infos[b].nodata is not None:
