@@ -34,8 +34,8 @@ from rasterloom.llm.common import connected_components, cut, grouped, roots
 
 BINS = 128
 ROWS = 4
-#: A head's candidates are dealt into this many units of work.
-UNITS = 512
+#: Candidates of a head in one unit of work; each unit has a copy of the head's text.
+UNIT = 256
 #: Rows of a bucket that one unit of work compares with as many others.
 BLOCK = 1024
 #: Bytes of text that are sketched at once.
@@ -268,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         """Confirmed pairs."""
-        unit = F.pmod(F.xxhash64("b"), F.lit(UNITS)).cast("int")
-        pairs = pairs.withColumn("unit", unit)
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).alias("units"))
+        pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("units")).alias("unit"))
         ask = pairs.select("a", "unit", "b", F.col("b").alias("id")).union(
             pairs.select("a", "unit").distinct().select("a", "unit", F.lit(None).cast("long"), F.col("a").alias("id"))
         )

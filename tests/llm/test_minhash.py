@@ -76,3 +76,18 @@ def test_every_bin_is_filled_and_estimates_hold():
     a, b = np.unique(items[:800]), np.unique(items[200:])
     s = sketch([a, b])
     assert abs((s[0] == s[1]).sum() / BINS - 0.6) < 0.15
+
+
+def test_small_units_and_blocks_find_the_same(spark, monkeypatch):
+    """Heads of many candidates dealt into units of three, buckets into blocks of four."""
+    import rasterloom.llm.minhash as m
+
+    monkeypatch.setattr(m, "UNIT", 3)
+    monkeypatch.setattr(m, "BLOCK", 4)
+    docs = list(enumerate(texts(11, 60)))
+    base = " ".join(f"w{k}" for k in range(60))
+    docs += [(1000 + k, base + f" tail{k}") for k in range(25)] + [(2000 + k, base.replace("w7 ", f"x{k} ")) for k in range(12)]
+    want = brute(docs, 2, 80)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, shingle=2, percent=80).collect()}
+    assert got == want
