@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.cube import KEYS, Cube, Grid, column_names
@@ -14,21 +16,51 @@ from rasterloom.functions.maths import arccos
 from rasterloom.operators import patches
 
 
-def _gradient(value: str, by: list[str], along: str, size: int) -> Column:
-    """Central differences, one-sided at the edges.  Windows are one row or column of a slice."""
-    if size < 2:
+#: Cells along a side of a block whose gradients are one task's work.
+BLOCK = 128
+
+
+def gradients(data: Cube, value: Column) -> DataFrame:
+    """``t, y, x, _r, _c``: differences of a value down the rows and along the columns.
+
+    They are central, one-sided at the edges, and missing where a neighbour is.  Cells are dealt into blocks with
+    copies of the cells around them, so one shuffle serves both directions.
+    """
+    g = data.grid
+    if min(g.width, g.height) < 2:
         raise ProcessParameterInvalid("a gradient needs two cells at least")
-    w = Window.partitionBy(*by).orderBy(along)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    here = F.col(value)
-    return F.when(F.col(along) == 0, after - here).when(F.col(along) == size - 1, here - before).otherwise((after - before) / 2)
+    near = {n: F.explode(F.sequence(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK))) for n, c in (("by", "y"), ("bx", "x"))}
+    rows = data.df.select(*KEYS, value.alias("z")).withColumn("by", near["by"]).withColumn("bx", near["bx"])
+    rows = rows.where((F.col("by") >= 0) & (F.col("bx") >= 0))
+
+    def along(z: np.ndarray, first: int, size: int) -> np.ndarray:
+        """Differences down the rows of a block whose row 1 is row ``first`` of the image."""
+        out, last = (z[2:, 1:-1] - z[:-2, 1:-1]) / 2, size - 1 - first
+        if first == 0:
+            out[0] = z[2, 1:-1] - z[1, 1:-1]
+        if 0 <= last < BLOCK:
+            out[last] = z[last + 1, 1:-1] - z[last, 1:-1]
+        return out
+
+    def differ(block: pa.Table) -> pa.Table:
+        y0, x0 = block["by"][0].as_py() * BLOCK, block["bx"][0].as_py() * BLOCK
+        y, x = block["y"].to_numpy() - y0, block["x"].to_numpy() - x0
+        z = np.full((BLOCK + 2, BLOCK + 2), np.nan)
+        z[y + 1, x + 1] = block["z"].to_numpy()
+        own = np.flatnonzero((y >= 0) & (y < BLOCK) & (x >= 0) & (x < BLOCK))
+        down, right = along(z, y0, g.height), along(z.T, x0, g.width).T
+        part = block.select(list(KEYS)).take(pa.array(own))
+        for name, d in (("_r", down), ("_c", right)):
+            part = part.append_column(name, pa.array(d[y[own], x[own]], from_pandas=True))
+        return part
+
+    return rows.groupBy("t", "by", "bx").applyInArrow(differ, "t timestamp_ntz, y int, x int, _r double, _c double")
 
 
 def hillshade(data: Cube, azimuth: float = 315, angle_altitude: float = 45, buffer: int = 3, zfactor: float = 1.0) -> Cube:
     """Shaded relief of the first band, 0 to 255, without ``buffer`` cells at the edges."""
     g = data.grid
-    df = data.df.select(*KEYS, (data.band(data.bands[0]) * float(zfactor)).alias("_z"))
-    df = df.withColumn("_r", _gradient("_z", ["t", "x"], "y", g.height)).withColumn("_c", _gradient("_z", ["t", "y"], "x", g.width))
+    df = gradients(data, data.band(data.bands[0]) * float(zfactor))
     r, c = F.col("_r"), F.col("_c")
     slope = math.pi / 2 - F.atan(F.sqrt(r * r + c * c))
     aspect = F.atan2(-r, c)
@@ -36,7 +68,7 @@ def hillshade(data: Cube, azimuth: float = 315, angle_altitude: float = 45, buff
     shade = math.sin(alt) * F.sin(slope) + math.cos(alt) * F.cos(slope) * F.cos(F.lit(az) - aspect)
     value = F.floor(F.greatest(255 * (shade + 1) / 2, F.lit(0.0))).cast("double")
     inner = F.col("y").between(buffer, g.height - 1 - buffer) & F.col("x").between(buffer, g.width - 1 - buffer)
-    out = df.where(inner).select("t", (F.col("y") - buffer).cast("int").alias("y"), (F.col("x") - buffer).cast("int").alias("x"), value.alias("hillshade"))
+    out = df.where(inner).select("t", (F.col("y") - buffer).cast("int").alias("y"), (F.col("x") - buffer).cast("int").alias("x"), F.when(r.isNotNull() & c.isNotNull(), value).alias("hillshade"))
     b = g.bounds
     grid = Grid(g.width - 2 * buffer, g.height - 2 * buffer, (b[0] + buffer * g.dx, b[1] + buffer * g.dy, b[2] - buffer * g.dx, b[3] - buffer * g.dy), g.crs)
     return data.with_df(out, ["hillshade"], grid=grid, times=data.times)

@@ -298,7 +298,8 @@ def load_collection(
     if target != g:
         y0, y1, x0, x1 = g.window(reproject_bounds(bounds, crs, g.crs), KERNEL_REACH)
         pixels = pixels.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
-    cube = replace(mosaic(listed, pixels, names, g), times=times, footprints=marks)
+    # where each time has one item there is nothing to choose from
+    cube = replace(mosaic(listed, pixels, names, g, single=len(times) == len(found)), times=times, footprints=marks)
     return cube.dense(list(times)) if target == g else to_grid(cube, target, method)
 
 
@@ -310,12 +311,14 @@ def parse_crs(value: int | str) -> int:
     return int(text)
 
 
-def mosaic(items: DataFrame, pixels: DataFrame, bands: list[str], grid: Grid) -> Cube:
-    """One slice per timestamp out of the pixels of its items."""
+def mosaic(items: DataFrame, pixels: DataFrame, bands: list[str], grid: Grid, single: bool = False) -> Cube:
+    """One slice per timestamp out of the pixels of its items; ``single`` if each timestamp has one item."""
     when = items.select(F.col("id").alias("item_id"), F.col("datetime").alias("t"))
     rows = pixels.join(when, "item_id")
-    first = [F.min_by(F.col(f"`{b}`"), F.when(F.col(f"`{b}`").isNotNull(), F.col("item_id"))).alias(b) for b in bands]
-    return Cube(rows.groupBy("t", "y", "x").agg(*first).select("t", "y", "x", *[f"`{b}`" for b in bands]), tuple(bands), grid)
+    if not single:
+        first = [F.min_by(F.col(f"`{b}`"), F.when(F.col(f"`{b}`").isNotNull(), F.col("item_id"))).alias(b) for b in bands]
+        rows = rows.groupBy("t", "y", "x").agg(*first)
+    return Cube(rows.select("t", "y", "x", *[f"`{b}`" for b in bands]), tuple(bands), grid)
 
 
 def stac_items(spark: SparkSession, url: str) -> DataFrame:
