@@ -212,6 +212,18 @@ def parse(source: str) -> list[tuple]:
     return stack[0][1]
 
 
+def _typed(f: Callable) -> Callable:
+    """An operation on values that may not go together."""
+
+    def run(a: Any, b: Any) -> Any:
+        try:
+            return f(a, b)
+        except TypeError as e:
+            raise TemplateError(f"{a!r} and {b!r} don't go together") from e
+
+    return run
+
+
 _BINARY: dict[str, Callable] = {
     "+": lambda a, b: a + b,
     "~": lambda a, b: _text(a) + _text(b),
@@ -223,6 +235,7 @@ _BINARY: dict[str, Callable] = {
     ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in b,
 }
+_BINARY = {sign: _typed(f) for sign, f in _BINARY.items()}
 
 
 def _get(value: Any, key: Any) -> Any:
@@ -253,10 +266,7 @@ def fold(node: Any, pure: frozenset[str] = frozenset(FILTERS)) -> Any:
         if kind == "get":
             return ("const", _get(*values))
         if kind in _BINARY:
-            try:
-                return ("const", _BINARY[kind](*values))
-            except TypeError as e:
-                raise TemplateError(f"{values[0]!r} and {values[1]!r} don't go together") from e
+            return ("const", _BINARY[kind](*values))
     return (kind, *parts)
 
 

@@ -248,3 +248,9 @@ def test_what_is_passed_over_could_not_reach_the_threshold(spark, templates):
     got = {r["id"]: r["license"] for r in licenses.scan(files, "doc_id", "text", templates).collect()}
     want = {i: best(t) for i, t in enumerate(parts)}
     assert got == {i: n for i, n in want.items() if n} and 50 < len(got) < 390
+
+
+@pytest.mark.parametrize("source", ["{% if x < 'a' %}y{% endif %}", "{{ x + 'a' }}", "{% if 'a' in x %}y{% endif %}", "{{ 1 + 'a' }}"])
+def test_values_that_do_not_go_together(source):
+    with pytest.raises(TemplateError):
+        list(compile_template(source)(x=1))

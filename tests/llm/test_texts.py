@@ -334,3 +334,38 @@ def test_scores_equal_a_plain_version(spark, monkeypatch, lookup):
     assert {r["id"] for r in out if r["held_out"]} == held_out
     for r in out:
         assert abs(r["score"] - want[r["id"]]) < 1e-9 * max(1, abs(want[r["id"]]))
+
+
+def test_language_against_plain_trigrams(spark):
+    """Labels and scores of profiles that are made trigram by trigram."""
+
+    def vector(text):
+        kept = "".join(chr(low) if (low := int(langid._letters()[ord(c)])) else " " for c in text or "")
+        if not kept.strip():
+            return None
+        padded = " " + " ".join(kept.split()) + " "
+        out = np.zeros(langid.DIMENSIONS)
+        for i in range(len(padded) - 2):
+            one = np.ones(langid.DIMENSIONS)
+            for k in range(3):
+                one = one * np.roll(langid._letter_vector(ord(padded[i + k]), langid.DIMENSIONS), 2 - k)
+            out += one
+        return out
+
+    rows = sample(90) + [(900, None, "aa", "s"), (901, "12 -- 3", "bb", "s"), (902, "A.", None, "s"), (903, "kü-zwo, BA3be", "cc", "s"), (904, "", None, None)]
+    train = lambda i: i % 3 != 1
+    profiles = {}
+    for i, text, lang, _ in rows:
+        v = vector(text)
+        if train(i) and lang is not None and v is not None:
+            profiles[lang] = profiles.get(lang, 0) + v / np.linalg.norm(v)
+    got = {r["id"]: r for r in langid.identify(docs(spark, rows), F.col("doc_id") % 3 != 1).collect()}
+    for i, text, _, _ in rows:
+        v = vector(text)
+        if v is None:
+            want = ("und", 0.0)
+        else:
+            cosine = {lang: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for lang, p in profiles.items()}
+            best = min(cosine, key=lambda lang: (-cosine[lang], lang))
+            want = (best, max(0.0, cosine[best]))
+        assert got[i]["lang_pred"] == want[0] and got[i]["score"] == pytest.approx(want[1], abs=1e-9) and got[i]["held_out"] == (not train(i))
