@@ -300,7 +300,7 @@ def cutline_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Searches by geometry and by order over the catalogue of orders.
 
-_TRI = ((-40.3, -20.7), (30.2, 10.9), (-10.6, 60.1))
+_TRI = ((-140.3, -40.7), (60.2, 10.9), (-80.6, 60.1))
 
 
 def _separated_sql(corners: tuple) -> str:
