@@ -222,7 +222,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     ``k``.  Vectors that are null, empty, zero or hold null or non-finite parts take no
     part, nor do rows with a null id; vectors of different lengths are not compared.  A row
     is no candidate of a query with its id, so rows that share an id don't find each other.
-    ``m`` is even.  Other columns play no part.
+    ``m`` is even.  An empty table, or one without queries, gives an empty result.  Other columns play no part.
     """
     kind = "array<float>" if df.select(F.col(f"`{vec_col}`")).dtypes[0][1] == "array<float>" else "array<double>"
     vec = F.col(f"`{vec_col}`").cast(kind)

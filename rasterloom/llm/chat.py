@@ -85,7 +85,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, control: tu
 
     Turns are ordered by turn (null first), then role and text; repeated rows are turns of
     their own.  Null roles and texts are empty.  Rows with a null conversation id are one
-    conversation.  Other columns play no part.
+    conversation.  Texts are formatted whole; an empty table gives an empty result.  Other columns play no part.
     """
     conv = F.col(f"`{conv_col}`").cast("long")
     rows = turns.select(conv.isNull().alias("none"), conv.alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))

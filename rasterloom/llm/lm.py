@@ -497,7 +497,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Returns ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.  A null text
     is empty: one token, its end.  A null ``train`` counts as true.  Rows that share an id
     are scored each on its own.  Without training rows every word is unknown and the base
-    gives each the probability 1.  Other columns play no part.
+    gives each the probability 1.  Words of one count are ranked by their bytes.  Texts are scored whole, however long; an
+    empty table gives an empty result.  Other columns play no part.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), (~F.coalesce(train, F.lit(True))).alias("held_out"))

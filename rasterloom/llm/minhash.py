@@ -252,8 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable by links, and whether that is the row's own.  A null or wordless
     text has no shingles and links with nothing; so does a row with a null id, whose
     ``component_id`` is null.  Rows that share an id are one node with the links of all.
-    Copies (equal sets) are one node from the first step on.  Columns other than the two
-    named play no part.
+    Copies (equal sets) are one node from the first step on.  Texts are read whole; an empty table gives
+    an empty result.  Columns other than the two named play no part.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     seen = cut(src.mapInArrow(_describe(shingle, ROWS), "id long, n long, d1 long, d2 long, bands array<long>, marks binary"), "sketches")

@@ -121,7 +121,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Returns the columns of ``docs``; a document taken in part keeps its first words, blanks
     between.  Rows that share an id and a source are told apart by size; equal ones
-    are treated alike.
+    are treated alike.  A null text has no words, so it is not taken; a null source is one of its own; rows without an
+    id are taken as others are.  Equal positions are ordered by source, place in it and copy, so reruns agree.  An empty table gives an
+    empty result.
     """
     decided = plan(docs, id_col, text_col, source_col, schedules=schedules, **how).where("taken > 0")
     decided = cut(decided.groupBy("id", "source", "size").agg(*[F.max(c).alias(c) for c in ("taken", "lead", "turn", "source_size", "target")]), "plan")

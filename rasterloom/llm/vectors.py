@@ -206,7 +206,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     are null, empty, zero or hold null or non-finite parts link with nothing; vectors of
     different lengths don't link.  Rows that share an id are one node; their vectors are
     counted as the rows they are.  A row with a null id has neither links nor component.
-    Other columns play no part.
+    A cosine equal to the threshold links; an empty table gives an empty result.  Other columns play no part.
     """
     kind = "array<float>" if df.select(F.col(f"`{vec_col}`")).dtypes[0][1] == "array<float>" else "array<double>"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast(kind).alias("vec"))
