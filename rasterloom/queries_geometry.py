@@ -18,7 +18,7 @@ from rasterloom.sources import annotation
 from rasterloom.sources.bandsources import Radar
 from rasterloom.sources.catalog import BandInfo, load_collection, search
 from rasterloom.sources.images import FRAMES, Images
-from rasterloom.sources.tables import SCENE_BANDS, events_cube, order_catalog, scene_cube, scenes, table
+from rasterloom.sources.tables import SCENE_BANDS, events_cube, first_by_order, order_catalog, scene_cube, scenes, table, with_row_order
 
 # Radar images out of line items: one per line number, lines by part and pixels by supplier.  Their control
 # points lie on a bent sheet whose bend is the image's mean discount.
@@ -76,7 +76,7 @@ def _images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pixels and control points of the radar images."""
     li = table(spark, sf_dir, "lineitem")
     item = F.col("l_linenumber").cast("string").alias("item_id")
-    pixels = li.groupBy(item, (F.col("l_partkey") % RADAR_SIDE).alias("line"), (F.col("l_suppkey") % RADAR_SIDE).alias("pixel")).agg(F.min_by("l_quantity", "l_orderkey").alias("dn"))
+    pixels = with_row_order(li, "l_orderkey").groupBy(item, (F.col("l_partkey") % RADAR_SIDE).alias("line"), (F.col("l_suppkey") % RADAR_SIDE).alias("pixel")).agg(first_by_order("l_quantity").alias("dn"))
     bend = li.groupBy(item).agg((10 * F.avg("l_discount")).alias("c"))
     at = F.explode(F.array(*[F.lit(8.0 * i) for i in range(5)]))
     points = bend.withColumn("line", at).withColumn("pixel", at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.cube import Cube, Grid, clean
@@ -21,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_order(df: DataFrame, by: str) -> DataFrame:
+    """Rows of a Parquet table with ``_order``: by a column of whole numbers, equal ones as the rows stand in the table.
+
+    Files stand in the order of their names.  The order is one number, which aggregations by hash can hold.
+    """
+    files, file = sorted(df.inputFiles()), F.lit(0)
+    place = F.col("_metadata.row_index").alias("_row")
+    if len(files) > 1:
+        # a path may begin with one slash or three
+        short = lambda path: F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+        known = df.sparkSession.createDataFrame([(i, f) for i, f in enumerate(files)], "_file long, _path string").withColumn("_path", short("_path"))
+        df = df.select("*", place, short("_metadata.file_path").alias("_in")).join(F.broadcast(known), F.col("_in") == F.col("_path"), "left").drop("_in", "_path")
+        file = F.coalesce("_file", F.lit(0))
+    else:
+        df = df.select("*", place)
+    order = F.col(by).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + file.cast("decimal(38,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("_row").cast("decimal(38,0)")
+    return df.withColumn("_order", order.cast("decimal(38,0)")).drop("_row", "_file")
+
+
+def first_by_order(column: str) -> Column:
+    """A column's value, nulls left out, in the first row by ``_order``."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_order")))
+
+
 def events_cube(spark: SparkSession, sf_dir: str, hours: int = 24, temporal_extent: list | None = None) -> Cube:
     """Mean value by event type, users on an 8 x 8 grid, a slice per ``hours``.
 
@@ -49,9 +73,9 @@ def scenes(spark: SparkSession, sf_dir: str, start: datetime | None = None, end:
         li = li.where(F.col("l_shipdate") < F.lit(end + timedelta(days=31)).cast(li.schema["l_shipdate"].dataType))
     month = F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz")
     name = F.concat_ws("-", F.date_format("l_shipdate", "yyyy-MM"), F.col("l_linenumber").cast("string"))
-    rows = li.select(name.alias("item_id"), month.alias("t"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "l_orderkey", *[f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")])
+    rows = with_row_order(li, "l_orderkey").select(name.alias("item_id"), month.alias("t"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "_order", *[f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")])
     source = dict(zip(SCENE_BANDS, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), strict=True))
-    pixels = rows.groupBy("item_id", "y", "x").agg(*[F.min_by(c, "l_orderkey").alias(b) for b, c in source.items()])
+    pixels = rows.groupBy("item_id", "y", "x").agg(*[first_by_order(c).alias(b) for b, c in source.items()])
     box = [F.lit(float(v)).alias(n) for n, v in zip(("west", "south", "east", "north"), SCENE_GRID.bounds, strict=True)]
     items = rows.groupBy("item_id").agg(F.min("t").alias("datetime")).select(F.col("item_id").alias("id"), F.lit("scenes").alias("collection"), "datetime", *box, F.create_map(F.lit("line"), F.element_at(F.split("item_id", "-"), -1)).alias("properties"))
     return Collection("scenes", items, pixels, SCENE_GRID, {b: BandInfo() for b in SCENE_BANDS}, lambda a, b: scenes(spark, sf_dir, a, b))

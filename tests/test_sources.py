@@ -142,3 +142,23 @@ def test_static_catalogues_and_tables_as_processes(spark, tmp_path):
     assert one.bands == ("a", "b") and (one.grid.width, one.grid.height) == (3, 2)
     with pytest.raises(errors.ProcessUnsupported):
         execute({"l": {"process_id": "load_url", "arguments": {"url": "x"}, "result": True}})
+
+
+def test_of_equal_orders_the_first_row_is_taken(spark, tmp_path):
+    """As the SQL does with threads = 1: the order number leaves it open, the place in the table tells."""
+    from rasterloom.queries_geometry import _images
+    from rasterloom.sources.tables import scenes
+
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    day = datetime(2024, 1, 5)
+    parts = [[(9, 1, 3, 4, 8.0, 1.0, 0.1, 0.0, day), (7, 1, 3, 4, None, 2.0, 0.1, 0.0, day), (7, 1, 3, 4, 5.0, 3.0, 0.1, 0.0, day)], [(7, 1, 3, 4, 6.0, 4.0, 0.1, 0.0, day), (8, 1, 3, 4, 9.0, 5.0, 0.1, 0.0, day)]]
+    for files in (1, 2):
+        d = tmp_path / str(files)
+        (d / "lineitem.parquet").mkdir(parents=True)
+        for i, rows in enumerate(parts if files == 2 else [parts[0] + parts[1]]):
+            one = spark.createDataFrame(rows, schema).coalesce(1)
+            one.write.parquet(str(tmp_path / f"{files}-{i}"))
+            next((tmp_path / f"{files}-{i}").glob("part-*.parquet")).rename(d / "lineitem.parquet" / f"{i}.parquet")
+        pixels, _ = _images(spark, str(d))
+        assert [tuple(r) for r in pixels.collect()] == [("1", 3, 4, 5.0)]
+        assert [(r["quantity"], r["price"]) for r in scenes(spark, str(d)).pixels.collect()] == [(5.0, 2.0)]
