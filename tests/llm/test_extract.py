@@ -172,3 +172,22 @@ def test_kept_blocks():
     assert kept_blocks(regions, np.array([5, 0, 2])).tolist() == [False, False, True]
     assert kept_blocks([(MARKED, "b")], np.array([0])).tolist() == [False]
     assert kept_blocks([], np.array([], dtype=np.int64)).tolist() == []
+
+
+def test_results_do_not_depend_on_the_parts_of_a_host(spark, monkeypatch):
+    """Runs on two pages, copies in several parts and quotations, in one part and in many."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "el")]
+    lines = [" ".join(rng.choice(words, 10)) for _ in range(90)]
+    rows = []
+    for i in range(120):
+        own = "".join(f"<div>{' '.join(rng.choice(words, 14))}</div>" for _ in range(2))
+        body = own + "".join(f"<p>{lines[k]}</p>" for k in (i // 2 % 45, 45 + i * 7 % 45)) if i % 10 else f"<p>{lines[i // 30]}</p><p>{lines[9]}</p>"
+        rows.append((i, f"http://a.example/{i}", page(body, menu=MENU if i % 2 else "<div>Only some few pages have this</div>")))
+    rows += [(200 + i, f"http://a.example/copy/{i}", rows[i % 3][2]) for i in range(40)]
+    want = extracted(spark, rows)
+    total = sum(len(h) for *_, h in rows)
+    assert total < extract.PART
+    for size in (total // 3, total // 40):
+        monkeypatch.setattr(extract, "PART", size)
+        assert extracted(spark, rows) == want
