@@ -1,14 +1,15 @@
 """Items that meet a geometry: which of a table's footprints share a point with a given one.
 
-The geometry's edges are a table cut into bands of latitude; an item's edges meet those of its bands.  A polygon
-that crosses no edge is inside of the other one or holds it, which vertices of each part tell.
+The geometry's edges are cut into bands of latitude, one value for all items; an item's edges meet those of its bands, so a
+search is a filter that moves and holds no items.  A polygon that crosses no edge is inside of the other one or holds it,
+which vertices of each part tell.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.cube import column_names
@@ -50,17 +51,17 @@ def crosses(a: Column, b: Column) -> Column:
     return boxes & (side(a, b["x1"], b["y1"]) * side(a, b["x2"], b["y2"]) <= 0) & (side(b, a["x1"], a["y1"]) * side(b, a["x2"], a["y2"]) <= 0)
 
 
-def _bands(spark: SparkSession, edges: list[tuple[float, float, float, float]]) -> tuple[DataFrame, float, float, int]:
-    """``band, theirs ARRAY``: the edges by band of latitude, the first one's lower end, their height and number."""
+def _bands(edges: list[tuple[float, float, float, float]]) -> tuple[list[list], float, float, int]:
+    """The edges by band of latitude, the first one's lower end, their height and number."""
     south, north = min(min(e[1], e[3]) for e in edges), max(max(e[1], e[3]) for e in edges)
     n = max(1, min(BANDS, len(edges) // EDGES))
     height = (north - south) / n or 1.0
-    rows: dict[int, list] = {}
+    rows: list[list] = [[] for _ in range(n)]
     for e in edges:
         low, high = (min(n - 1, max(0, math.floor((f(e[1], e[3]) - south) / height))) for f in (min, max))
         for band in range(low, high + 1):
-            rows.setdefault(band, []).append(e)
-    return spark.createDataFrame(list(rows.items()), f"band int, theirs array<{_EDGE}>"), south, height, n
+            rows[band].append(e)
+    return rows, south, height, n
 
 
 def intersecting(items: DataFrame, geometry: dict) -> DataFrame:
@@ -76,18 +77,18 @@ def intersecting(items: DataFrame, geometry: dict) -> DataFrame:
     near = items.where((F.col("west") <= max(xs)) & (F.col("east") >= min(xs)) & (F.col("south") <= max(ys)) & (F.col("north") >= min(ys)))
     corners = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")]
     box = F.array(*[F.struct(*[F.col(c).cast("double").alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), (*a, *b), strict=True)]) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)])
-    own, key, low, high, band = column_names(items, 5, "band", "theirs")
+    own, low, high, theirs = column_names(items, 4)
     shape = F.coalesce(F.nullif(edges_of(F.col("geometry")), F.array().cast(f"array<{_EDGE}>")), box) if "geometry" in items.columns else box
-    table, south, height, n = _bands(spark, edges)
+    bands, south, height, n = _bands(edges)
+    # one value for the whole search, of which an item takes its own bands
+    given = spark.createDataFrame([(bands,)], f"bands array<array<{_EDGE}>>").scalar()
     place = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - south) / height))).cast("int")
-    named = near.withColumn(own, shape).withColumn(key, F.monotonically_increasing_id())
-    tall = named.select(key, own, F.array_min(F.transform(own, lambda e: F.least(e["y1"], e["y2"]))).alias(low), F.array_max(F.transform(own, lambda e: F.greatest(e["y1"], e["y2"]))).alias(high))
-    placed = tall.select(key, own, F.explode(F.sequence(place(F.col(low)), place(F.col(high)))).alias(band)).join(table, F.col(band) == F.col("band"))
-    hit = F.exists(own, lambda a: F.exists("theirs", lambda b: crosses(a, b)))
+    ends = {name: place(f(F.transform(own, lambda e: g(e["y1"], e["y2"])))) for name, f, g in ((low, F.array_min, F.least), (high, F.array_max, F.greatest))}
+    placed = near.withColumn(own, shape).withColumns(ends).withColumn(theirs, F.slice(given, F.col(low) + 1, F.col(high) - F.col(low) + 1))
+    hit = F.exists(theirs, lambda band: F.exists(band, lambda b: F.exists(own, lambda a: crosses(a, b))))
     if area:
         # a vertex of the footprint in the geometry: all edges that its parallel crosses are in the vertex's own band
-        hit = hit | F.exists(own, lambda e: (place(e["y1"]) == F.col(band)) & contains(F.col("theirs"), e["x1"], e["y1"]))
+        hit = hit | F.exists(own, lambda e: contains(F.get(theirs, place(e["y1"]) - F.col(low)), e["x1"], e["y1"]))
     vertices = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in firsts])
     hit = hit | F.exists(vertices, lambda v: contains(F.col(own), v["x"], v["y"]))
-    found = placed.groupBy(key).agg(F.bool_or(hit).alias(high)).where(high).select(key)
-    return named.join(found, key, "left_semi").drop(own, key)
+    return placed.where(hit).drop(own, low, high, theirs)

@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 import random
 from datetime import datetime
 
@@ -113,3 +114,13 @@ def test_ids_order_fields_and_limit(spark):
     with pytest.raises(ProcessParameterInvalid):
         search(c, sortby="colour")
     assert len(ids(ids=[f"i{k}" for k in range(2000)])) == 5
+
+
+def test_a_search_by_geometry_is_a_filter(spark):
+    """Items are not moved, joined or held, whatever their number."""
+    df = spark.range(50).selectExpr("cast(id as string) as id", "id * 1.0 as west", "id * 1.0 as south", "id + 1.0 as east", "id + 1.0 as north")
+    ring = [[25 + 20 * math.cos(a / 50 * math.pi), 25 + 20 * math.sin(a / 50 * math.pi)] for a in range(100)]
+    found = intersecting(df, {"type": "Polygon", "coordinates": [[*ring, ring[0]]]})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Exchange", "Join", "Aggregate"))
+    assert {int(r["id"]) for r in found.collect()} == set(range(10, 40))
