@@ -267,6 +267,9 @@ def load_collection(
     missing = [b for b in names if b not in collection.bands]
     if missing:
         raise ProcessParameterInvalid(f"the collection has no band {missing[0]}")
+    if "geometry" in items.columns:
+        # they are read again as the cube's footprints
+        items = items.select("id", "datetime", F.col("geometry").cast("string").alias("geometry")).limit(max_items + 1).persist()
     found = items.select("id", "datetime").limit(max_items + 1).collect()
     if not found:
         raise NoDataAvailable("no item matches")
@@ -289,7 +292,7 @@ def load_collection(
     if w * h * len(times) * len(names) > max_pixels:
         raise OutputLimitExceeded(f"{w} x {h} cells at {len(times)} times in {len(names)} bands are more than {max_pixels} values")
     listed = items.sparkSession.createDataFrame([(r[0], r[1]) for r in found], items.select("id", "datetime").schema)
-    marks = Footprints(items.select(F.col("datetime").alias("t"), F.col("geometry").cast("string").alias("geometry"))) if "geometry" in items.columns else None
+    marks = Footprints(items.select(F.col("datetime").alias("t"), "geometry")) if "geometry" in items.columns else None
     if collection.reader is not None:
         return replace(collection.reader(listed, names, collection.bands, target, method), times=times, footprints=marks).dense(list(times))
     pixels = collection.between(temporal_extent).pixels.select("item_id", "y", "x", *read_bands(collection, names))

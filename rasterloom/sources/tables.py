@@ -72,12 +72,13 @@ def scenes(spark: SparkSession, sf_dir: str, start: datetime | None = None, end:
     if end:
         li = li.where(F.col("l_shipdate") < F.lit(end + timedelta(days=31)).cast(li.schema["l_shipdate"].dataType))
     month = F.date_trunc("month", F.col("l_shipdate")).cast("timestamp_ntz")
-    name = F.concat_ws("-", F.date_format("l_shipdate", "yyyy-MM"), F.col("l_linenumber").cast("string"))
-    rows = with_row_order(li, "l_orderkey").select(name.alias("item_id"), month.alias("t"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "_order", *[f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")])
+    rows = with_row_order(li, "l_orderkey").select(month.alias("t"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "_order", *[f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")])
+    # a group's name, not a row's: conditions on names are tested on groups
+    name = F.concat_ws("-", F.date_format(F.min("t"), "yyyy-MM"), F.min("line").cast("string"))
     source = dict(zip(SCENE_BANDS, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), strict=True))
-    pixels = rows.groupBy("item_id", "y", "x").agg(*[first_by_order(c).alias(b) for b, c in source.items()])
+    pixels = rows.groupBy("t", "line", "y", "x").agg(name.alias("item_id"), *[first_by_order(c).alias(b) for b, c in source.items()]).select("item_id", "y", "x", *source)
     box = [F.lit(float(v)).alias(n) for n, v in zip(("west", "south", "east", "north"), SCENE_GRID.bounds, strict=True)]
-    items = rows.groupBy("item_id").agg(F.min("t").alias("datetime")).select(F.col("item_id").alias("id"), F.lit("scenes").alias("collection"), "datetime", *box, F.create_map(F.lit("line"), F.element_at(F.split("item_id", "-"), -1)).alias("properties"))
+    items = rows.groupBy("t", "line").agg(F.min("t").alias("datetime"), name.alias("item_id")).select(F.col("item_id").alias("id"), F.lit("scenes").alias("collection"), "datetime", *box, F.create_map(F.lit("line"), F.element_at(F.split("item_id", "-"), -1)).alias("properties"))
     return Collection("scenes", items, pixels, SCENE_GRID, {b: BandInfo() for b in SCENE_BANDS}, lambda a, b: scenes(spark, sf_dir, a, b))
 
 

@@ -111,3 +111,22 @@ def test_footprints_are_degrees_on_any_grid(make, crs):
     got = seen(spatial.cutline(other))
     ones, alls = {k[1:] for k in got if k[0] == D1}, {k[1:] for k in got if k[0] == D2}
     assert ones < alls and 0.4 < len(ones) / len(alls) < 0.6
+
+
+def test_items_are_read_once_for_all_their_footprints(spark):
+    """The cells, the times and the items without a footprint all come from one reading of the items."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def shape(i):
+        read.add(1)
+        return '{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 2], [0, 2]]]}'
+
+    items = spark.range(3, numPartitions=1).selectExpr(
+        "cast(id as string) as id", "'c' as collection", "timestamp_ntz'2024-01-01' as datetime", "0.0 as west", "0.0 as south", "2.0 as east", "2.0 as north", "map('a', 'b') as properties"
+    )
+    pixels = spark.createDataFrame([("0", 0, 0, 1.0), ("1", 0, 1, 2.0)], "item_id string, y int, x int, a double")
+    c = load_collection(Collection("c", items.withColumn("geometry", shape("id")), pixels, Grid(2, 2, (0.0, 0.0, 2.0, 2.0)), {"a": BandInfo()}))
+    got = {(r["y"], r["x"]): r["a"] for r in spatial.cutline(c).df.collect()}
+    assert got == {(0, 0): 1.0, (0, 1): None, (1, 0): None, (1, 1): None}
+    assert read.value == 3
