@@ -191,3 +191,55 @@ def test_results_do_not_depend_on_the_parts_of_a_host(spark, monkeypatch):
     for size in (total // 3, total // 40):
         monkeypatch.setattr(extract, "PART", size)
         assert extracted(spark, rows) == want
+
+
+def test_adverts_that_quote_articles_of_other_parts(spark, monkeypatch):
+    """Runs of articles count for the blocks beside them, in whatever part of the host the articles are."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "el")]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(160)]
+    rows = []
+    for i in range(80):
+        advert = " ".join(rng.choice(words, 12)) if i % 3 else lines[(i * 2 + 31) % 160] + " and so on"
+        article = f"<article><h1>{lines[i * 2]}</h1><p>{lines[(i * 2 + 3) % 160]}</p></article>" if i % 8 else f"<div>{lines[i * 2]}</div>"
+        rows.append((i, f"http://a.example/{i}", page(f'<div class="ad">{advert}</div>{article}<div>{' '.join(rng.choice(words, 11)) if i % 5 else lines[i]}</div>')))
+    want = extracted(spark, rows)
+    assert len({r["n_repeated"] for r in want.values()}) > 2 and sum(r["n_marked"] for r in want.values()) > 100
+    total = sum(len(h) for *_, h in rows)
+    for size in (total // 2, total // 30):
+        monkeypatch.setattr(extract, "PART", size)
+        assert extracted(spark, rows) == want
+
+
+def test_parts_of_a_host_exchange_less_than_its_pages(spark, monkeypatch):
+    """What is shuffled stays below the html where all words of a host differ and it has many parts."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    text = lambda n: " ".join(map("".join, rng.choice(letters, (n, 7))))
+    rows = [(i, f"http://a.example/{i}", page(f"<article><p>{text(300)}</p></article>")) for i in range(400)]
+    total = sum(len(h) for *_, h in rows)
+    monkeypatch.setattr(extract, "PART", total // 12)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = extracted(spark, rows)
+    assert len(got) == 400 and all(r["n_chars"] == 300 * 8 - 1 and r["n_repeated"] == 19 for r in got.values())
+    assert 0 < written() - before < total
+
+
+def test_codes_of_rising_integers():
+    rng = np.random.default_rng(6)
+    for n, top in ((0, 9), (1, 2**64 - 1), (2, 2**64 - 1), (40, 50), (3000, 2**20), (3000, 2**50)):
+        values = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        data = extract._pack(values)
+        assert np.array_equal(extract._unpack(data), values)
+        assert len(data) <= 16 + len(values) / 8 * (3 + max(0.0, np.log2(max(1, top) / max(1, len(values)))))
+
+
+def test_parts_without_shared_runs_or_text(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PART", 400)
+    words = [f"{a}{b}{c}" for a in "bcdfgklmnp" for b in "aeiou" for c in "rstxyz"]
+    rows = [(i, f"http://a.example/{i}", f"<article>{' '.join(words[i * 10 : i * 10 + 10])}</article><i>") for i in range(30)]
+    rows += [(100 + i, f"http://b.example/{i}", "<!-- " + "x" * 300 + " -->") for i in range(9)]
+    got = extracted(spark, rows)
+    assert len(got) == 39 and all(got[i]["n_chars"] == 39 for i in range(30)) and all(got[100 + i]["text"] == "" for i in range(9))
+    assert {(r["n_repeated"], r["n_marked"]) for r in got.values()} == {(0, 0)}
